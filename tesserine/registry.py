@@ -1,19 +1,643 @@
-"""All registered queries of the library's own operators."""
+"""All registered queries of the library's own operators, each with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import predicates as P
+from .functions import temporal as T
+from .functions import vectors as V
+from .operators import estimators as E
+from .operators import graph as G
+from .operators import guard as U
+from .operators import layers as L
+from .operators import recurrence as R
+from .operators import search as S
+from .operators import stats as Q
+from .plans.cypher import Cypher
+from .plans.universal import UniversalQuery
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+NOW = 1_706_745_600  # 2024-02-01 00:00:00, the injected clock of the queries below
+EPOCH = "CAST(floor(epoch(ts)) AS BIGINT)"
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(s: SparkSession, d: str, table: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{table}.parquet")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """Large open orders of one year, totals per customer segment."""
+    o = P.where_all(read(s, d, "orders"), [("o_totalprice", "gt", 1000.0), ("o_orderstatus", "ne", "X")])
+    j = L.fk_join(o, read(s, d, "customer"), "o_custkey", "c_custkey")
+    return j.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+query("flagship", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 AND o_orderstatus <> 'X' GROUP BY 1")(flagship)
+
+# --- relational, documents, key-value, time series
+
+
+@query("rel_range_scan", "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 5000 ORDER BY o_orderkey LIMIT 500")
+def _(s, d):
+    return L.range_scan(read(s, d, "orders"), "o_orderkey", 100, 5000, 500).select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("price"))
+
+
+@query("rel_point_get", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
+def _(s, d):
+    return P.where_all(read(s, d, "customer"), [("c_custkey", "eq", 7)]).select("c_custkey", "c_name")
+
+
+@query("rel_predicates", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 30 AND l_discount < 0.05 AND l_returnflag <> 'R'")
+def _(s, d):
+    return P.where_all(read(s, d, "lineitem"), [("l_quantity", "gte", 30), ("l_discount", "lt", 0.05), ("l_returnflag", "ne", "R")]).select("l_orderkey", "l_linenumber")
+
+
+@query("rel_contains", "SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'A')")
+def _(s, d):
+    return P.where_all(read(s, d, "part"), [("p_type", "contains", "A")]).select("p_partkey", "p_type")
+
+
+@query("rel_index_count", "SELECT count(*) AS n FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000")
+def _(s, d):
+    return P.where_all(read(s, d, "orders"), [("o_totalprice", "gte", 1000), ("o_totalprice", "lte", 200000)]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg_global", "SELECT count(*) AS n, round(coalesce(sum(l_quantity), 0), 2) AS total, min(l_quantity) AS low, max(l_quantity) AS high, round(coalesce(avg(l_quantity), 0), 6) AS mean FROM lineitem WHERE l_tax > 0.02")
+def _(s, d):
+    return P.where_all(read(s, d, "lineitem"), [("l_tax", "gt", 0.02)]).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), r6(F.coalesce(F.avg("l_quantity"), F.lit(0.0))).alias("mean"))
+
+
+@query("olap_slot_aggregate", "SELECT label, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS total, round(min(CAST(embedding[1] AS DOUBLE)), 6) AS low, round(max(CAST(embedding[1] AS DOUBLE)), 6) AS high, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean FROM embeddings GROUP BY label")
+def _(s, d):
+    v = F.element_at("embedding", 1).cast("double")
+    return read(s, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(v)).alias("total"), r6(F.min(v)).alias("low"), r6(F.max(v)).alias("high"), r6(F.avg(v)).alias("mean"))
+
+
+@query("fk_lookup_join", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _(s, d):
+    return L.fk_join(read(s, d, "orders"), read(s, d, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "c_name")
+
+
+@query("doc_path_present", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def _(s, d):
+    return read(s, d, "events").where(P.json_path("props", ["k"])).select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("doc_path_equal", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '69'")
+def _(s, d):
+    return read(s, d, "events").where(P.json_path("props", ["k"], "69")).select("event_id")
+
+
+_KV = f"SELECT event_type AS ns, user_id AS key, value, CASE WHEN event_id % 5 = 0 THEN 0 ELSE {EPOCH} + 864000 END AS expires_at, event_id AS seq FROM events"
+
+
+def _kv(s, d):
+    e = read(s, d, "events")
+    return e.select(F.col("event_type").alias("ns"), F.col("user_id").alias("key"), "value", F.when(F.col("event_id") % 5 == 0, 0).otherwise(T.epoch("ts") + 864000).alias("expires_at"), F.col("event_id").alias("seq"))
+
+
+@query("kv_ttl_range", f"SELECT ns, key, arg_max(value, seq) AS value FROM ({_KV}) WHERE ns = 'click' AND key >= 10 AND key < 60 AND NOT (expires_at <> 0 AND {NOW - 864000} >= expires_at) GROUP BY ns, key ORDER BY key LIMIT 100")
+def _(s, d):
+    kv = _kv(s, d).where((F.col("ns") == "click") & (F.col("key") >= 10) & (F.col("key") < 60) & P.live(NOW - 864000))
+    return L.latest(kv, ["ns", "key"], "seq").orderBy("key").limit(100).select("ns", "key", "value")
+
+
+def _points(s, d):
+    return read(s, d, "events").select(F.col("user_id").alias("series"), T.epoch("ts").alias("t"), F.col("value").alias("val"), F.col("event_id").alias("seq"))
+
+
+_POINTS = f"(SELECT user_id AS series, {EPOCH} AS t, value AS val, event_id AS seq FROM events)"
+
+
+@query("ts_range", f"SELECT series, t, arg_max(val, seq) AS val FROM {_POINTS} WHERE t BETWEEN 1704500000 AND 1705500000 GROUP BY series, t")
+def _(s, d):
+    return L.latest(_points(s, d).where(P.in_window("t", 1704500000, 1705500000)), ["series", "t"], "seq").select("series", "t", "val")
+
+
+for _span, _w in L.SPANS.items():
+    query(f"ts_rollup_{_span}", f"SELECT series, t - t % {_w} AS window_start, count(*) AS n, round(sum(val), 4) AS total, min(val) AS low, max(val) AS high FROM {_POINTS} GROUP BY 1, 2")(
+        lambda s, d, k=_span: L.rollup(_points(s, d), k).withColumn("total", F.round("total", 4))
+    )
+
+
+@query("time_travel_snapshot", "SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY user_id")
+def _(s, d):
+    return L.snapshot(read(s, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", 500).select("user_id", "value")
+
+
+@query("tombstones", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def _(s, d):
+    gone = read(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return L.without_tombstones(read(s, d, "orders").select("o_custkey", "o_orderkey"), gone, "o_custkey").select("o_orderkey")
+
+
+@query("as_of_join", f"WITH e AS (SELECT user_id, event_id, event_type, value, {EPOCH} AS t FROM events), p AS (SELECT * FROM e WHERE event_type = 'purchase'), v AS (SELECT * FROM e WHERE event_type = 'view') SELECT p.event_id, (SELECT v.value FROM v WHERE v.user_id = p.user_id AND v.t < p.t ORDER BY v.t DESC, v.value DESC LIMIT 1) AS as_of FROM p")
+def _(s, d):
+    e = read(s, d, "events").withColumn("t", T.epoch("ts"))
+    left = e.where("event_type = 'purchase'").select("user_id", "event_id", "t")
+    return U.as_of(left, e.where("event_type = 'view'"), "user_id", "t", "t", "value").select("event_id", "as_of")
+
+
+# --- retrieval
+
+QUERY = [((7 * i) % 13 - 6) / 6 for i in range(64)]
+_QL = "[" + ", ".join(repr(x) for x in QUERY) + "]::DOUBLE[]"
+
+
+def _cos_sql(a: str, b: str) -> str:
+    return f"list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
+
+
+@query("knn_cosine_topk", f"SELECT vec_id AS cx_id, round({_cos_sql('embedding::DOUBLE[]', _QL)}, 6) AS score FROM embeddings ORDER BY {_cos_sql('embedding::DOUBLE[]', _QL)} DESC, vec_id LIMIT 20")
+def _(s, d):
+    return S.knn(read(s, d, "embeddings"), QUERY, 20).select("cx_id", r6("score").alias("score"))
+
+
+def _slots(s, d):
+    e = read(s, d, "embeddings")
+    parts = F.array(*[F.struct(F.lit(k).alias("slot"), r6(V.cosine(V.slot(F.col("embedding"), k, 16), V.literal(QUERY[16 * k : 16 * k + 16]))).alias("score")) for k in range(4)])
+    return e.select(F.col("vec_id").alias("cx_id"), F.explode(parts).alias("p")).select("p.slot", "cx_id", "p.score")
+
+
+_SLOTS = "(" + " UNION ALL ".join(
+    f"SELECT {k} AS slot, vec_id AS cx_id, round({_cos_sql(f'embedding[{16 * k + 1}:{16 * k + 16}]::DOUBLE[]', '[' + ', '.join(map(repr, QUERY[16 * k : 16 * k + 16])) + ']::DOUBLE[]')}, 6) AS score FROM embeddings" for k in range(4)
+) + ")"
+_RANKED = f"(SELECT * FROM (SELECT slot, cx_id, score, row_number() OVER (PARTITION BY slot ORDER BY score DESC, cx_id) AS rank FROM {_SLOTS}) WHERE rank <= 50)"
+
+
+def _ranked(s, d):
+    return S.top_k(_slots(s, d), 50, ["slot"])
+
+
+@query("slot_topk", f"SELECT slot, cx_id, score, CAST(rank AS INTEGER) AS rank FROM {_RANKED}")
+def _(s, d):
+    return _ranked(s, d).select("slot", "cx_id", "score", "rank")
+
+
+@query("rrf_fuse", f"SELECT cx_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM {_RANKED} GROUP BY cx_id")
+def _(s, d):
+    return S.rrf(_ranked(s, d)).select("cx_id", F.round("score", 9).alias("score"))
+
+
+@query("weighted_rrf", f"SELECT cx_id, round(sum(w / (60 + rank)), 9) AS score FROM {_RANKED} r JOIN (VALUES (0, 1.0::DOUBLE), (1, 0.5::DOUBLE), (2, 0.25::DOUBLE), (3, 0.0::DOUBLE)) t(slot, w) ON r.slot = t.slot WHERE w > 0 GROUP BY cx_id")
+def _(s, d):
+    w = s.createDataFrame([(0, 1.0), (1, 0.5), (2, 0.25), (3, 0.0)], "slot int, w double")
+    return S.rrf(_ranked(s, d), w).select("cx_id", F.round("score", 9).alias("score"))
+
+
+@query("integer_rrf", f"SELECT cx_id, CAST(sum(1000000000 // (60 + rank)) AS BIGINT) AS score FROM {_RANKED} GROUP BY cx_id")
+def _(s, d):
+    return S.integer_rrf(_ranked(s, d))
+
+
+@query("pipeline_fuse", f"SELECT cx_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM {_RANKED} WHERE slot > 0 AND cx_id IN (SELECT cx_id FROM {_RANKED} WHERE slot = 0) GROUP BY cx_id")
+def _(s, d):
+    r = _ranked(s, d)
+    return S.pipeline_fuse(r.where("slot > 0"), r.where("slot = 0")).select("cx_id", F.round("score", 9).alias("score"))
+
+
+@query("agree_disagree", f"SELECT cx_id, min(score) AS agree, round(max(score) - min(score), 6) AS disagree, count(*) AS lenses FROM {_SLOTS} GROUP BY cx_id HAVING count(*) >= 2")
+def _(s, d):
+    return S.agreement(_slots(s, d)).withColumn("disagree", r6("disagree"))
+
+
+@query("maxsim", "WITH t AS (SELECT label AS cx_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), q AS (SELECT unnest([" + ", ".join("[" + ", ".join(map(repr, QUERY[16 * k : 16 * k + 16])) + "]" for k in range(4)) + "]) AS qv), b AS (SELECT cx_id, qv, max(" + _cos_sql("v", "qv::DOUBLE[]") + ") AS best FROM t, q GROUP BY cx_id, qv) SELECT cx_id, round(sum(best), 6) AS score FROM b GROUP BY cx_id")
+def _(s, d):
+    t = read(s, d, "embeddings").select(F.col("label").alias("cx_id"), F.slice("embedding", 1, 16).alias("tv"))
+    return S.maxsim([QUERY[16 * k : 16 * k + 16] for k in range(4)], t).select("cx_id", r6("score").alias("score"))
+
+
+def _bm25_sql(terms: list[str], mode: str) -> str:
+    tf = ", ".join(f"len([x FOR x IN w IF x = '{t}']) AS tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) AS df{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(terms)))
+    return (
+        f"WITH d AS (SELECT doc_id, len(w) AS len, {tf} FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)), "
+        f"s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS mean, {df} FROM d) SELECT doc_id AS cx_id, round({score}, 6) AS score FROM d, s WHERE " + (" OR " if mode == "or" else " AND ").join(f"tf{i} > 0" for i in range(len(terms)))
+    )
+
+
+for _mode in ("or", "and"):
+    query(f"bm25_{_mode}", _bm25_sql(["idiot", "thing", "estion"], _mode) if _mode == "or" else _bm25_sql(["the", "thing"], _mode))(
+        lambda s, d, m=_mode: S.bm25(read(s, d, "documents"), ["idiot", "thing", "estion"] if m == "or" else ["the", "thing"], m).select("cx_id", r6("score").alias("score"))
+    )
+
+
+@query("sparse_dot", "WITH p AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings) SELECT vec_id AS cx_id, round(sum(v * w), 6) AS score FROM p JOIN (VALUES (3, 0.5::DOUBLE), (17, -1.0::DOUBLE), (40, 2.0::DOUBLE)) q(i, w) ON p.i = q.i GROUP BY vec_id")
+def _(s, d):
+    p = read(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    q = s.createDataFrame([(2, 0.5), (16, -1.0), (39, 2.0)], "i int, w double")
+    return p.join(q, "i").groupBy(F.col("vec_id").alias("cx_id")).agg(r6(F.sum(F.col("v").cast("double") * F.col("w"))).alias("score"))
+
+
+@query("hamming_codes", "SELECT vec_id, CAST(bit_count(c) AS BIGINT) AS ones FROM (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(32 - i AS BIGINT) ELSE 0 END FOR i IN range(1, 33)])::BIGINT AS c FROM embeddings)")
+def _(s, d):
+    return read(s, d, "embeddings").select("vec_id", F.bit_count(V.sign_code(F.slice("embedding", 1, 32))).cast("long").alias("ones"))
+
+
+# --- temporal scores and recurrence
+
+_OCC = f"(SELECT event_type || ':' || CAST(user_id AS VARCHAR) AS key, {EPOCH} AS t FROM events)"
+
+
+def _occ(s, d):
+    return read(s, d, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), T.epoch("ts").alias("t"))
+
+
+_HOUR, _DAY = f"CAST({EPOCH} % 86400 // 3600 AS INTEGER)", f"CAST(({EPOCH} // 86400 + 3) % 7 AS INTEGER)"
+
+
+@query("recency_decay", f"SELECT event_id, round(greatest(0, 1 - a / 2592000.0::DOUBLE), 9) AS lin, round(exp(-a * 0.693::DOUBLE / 86400), 9) AS expo, CASE WHEN a < 3600 THEN 0.8::DOUBLE WHEN a < 86400 THEN 0.5 ELSE 0.1 END AS step FROM (SELECT event_id, {NOW} - {EPOCH} AS a FROM events)")
+def _(s, d):
+    a = F.lit(NOW) - T.epoch("ts")
+    return read(s, d, "events").select("event_id", F.round(T.linear_decay(a, 2592000), 9).alias("lin"), F.round(T.exponential_decay(a, 86400), 9).alias("expo"), T.step_decay(a).alias("step"))
+
+
+@query("periodic_score", f"SELECT event_id, CASE WHEN {_HOUR} = 9 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN {_DAY} = 2 THEN 0.5::DOUBLE ELSE 0 END AS score FROM events")
+def _(s, d):
+    return read(s, d, "events").select("event_id", T.periodic_score(T.epoch("ts"), 9, 2).alias("score"))
+
+
+@query("temporal_boost", f"WITH e AS (SELECT event_id, value AS sc, {NOW} - {EPOCH} AS a, {_HOUR} AS h, {_DAY} AS w FROM events) SELECT event_id, round(CASE WHEN sc > 0 THEN sc + sc * (0.1::DOUBLE * (0.5::DOUBLE * exp(-a * 0.693::DOUBLE / 86400) + 0.35::DOUBLE + 0.15::DOUBLE * (CASE WHEN h = 9 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN w = 2 THEN 0.5::DOUBLE ELSE 0 END))) ELSE sc END, 5) AS score FROM e")
+def _(s, d):
+    t = T.epoch("ts")
+    fuse = T.fused(T.exponential_decay(F.lit(NOW) - t, 86400), F.lit(1.0), T.periodic_score(t, 9, 2))
+    return read(s, d, "events").select("event_id", F.round(T.boosted(F.col("value"), fuse, F.lit(0.0)), 5).alias("score"))
+
+
+@query("causal_gate", "SELECT event_id, round(value * CASE WHEN event_type = 'purchase' THEN 1.10::DOUBLE WHEN event_type = 'error' THEN 0.85::DOUBLE ELSE 1 END, 5) AS score FROM events")
+def _(s, d):
+    m = F.when(F.col("event_type") == "purchase", T.CAUSAL_HIGH).when(F.col("event_type") == "error", T.CAUSAL_LOW).otherwise(1.0)
+    return read(s, d, "events").select("event_id", F.round(F.col("value") * m, 5).alias("score"))
+
+
+@query("sequence_score", f"SELECT event_id, round(1 - CAST(row_number() OVER (PARTITION BY user_id ORDER BY {EPOCH}, event_id) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY user_id), 6) AS score FROM events")
+def _(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id")
+    e = read(s, d, "events").withColumn("t", T.epoch("ts"))
+    return e.select("event_id", r6(T.sequence_score(F.row_number().over(w.orderBy("t", "event_id")) - 1, F.count(F.lit(1)).over(w))).alias("score"))
+
+
+@query("recurrence_boost", f"WITH c AS (SELECT key, count(*) AS n, max(t) AS t FROM {_OCC} GROUP BY key) SELECT key, round(least(0.05::DOUBLE * ln(least(n, 10000) + 1) / ln(10001.0::DOUBLE) + 0.05::DOUBLE * exp(-({NOW} - t) * 0.693::DOUBLE / 3600), 0.1::DOUBLE), 6) AS boost FROM c")
+def _(s, d):
+    c = _occ(s, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"))
+    return c.select("key", r6(T.recurrence_boost(F.col("n"), F.lit(NOW) - F.col("t"))).alias("boost"))
+
+
+_CAD = f"(SELECT key, count(*) AS n, min(t) AS first_t, max(t) AS last_t, quantile_cont(gap, 0.5) AS cadence FROM (SELECT *, t - lag(t) OVER (PARTITION BY key ORDER BY t) AS gap FROM {_OCC}) GROUP BY key)"
+
+
+@query("cadence", f"SELECT key, n, first_t, last_t, cadence FROM {_CAD}")
+def _(s, d):
+    return R.cadence(_occ(s, d))
+
+
+@query("periodic_mode", f"WITH c AS (SELECT key, t % 86400 // 3600 AS m, count(*) AS c FROM {_OCC} GROUP BY 1, 2), s AS (SELECT key, sum(c) AS n, max(c) AS top, arg_max(m, c) AS m, list(c) AS cs FROM c GROUP BY key) SELECT key, CAST(CASE WHEN n >= 2 AND len([x FOR x IN cs IF x = top]) = 1 THEN m END AS DOUBLE) AS mode, CASE WHEN n >= 2 THEN round(CAST(top AS DOUBLE) / n, 6) ELSE 0 END AS confidence FROM s")
+def _(s, d):
+    return R.hour_mode(_occ(s, d)).select("key", F.col("mode").cast("double").alias("mode"), r6("confidence").alias("confidence"))
+
+
+_AB = f"(SELECT a.t AS ta, a.event_id AS ida, b.t AS tb, b.event_id AS idb FROM (SELECT {EPOCH} AS t, event_id FROM events WHERE event_type = 'view' AND user_id = 3) a, (SELECT {EPOCH} AS t, event_id FROM events WHERE event_type = 'purchase') b WHERE abs(b.t - a.t) < 3600)"
+
+
+def _pairs(s, d):
+    e = read(s, d, "events").select("event_type", "user_id", T.epoch("ts").alias("t"), F.col("event_id").alias("id"))
+    return R.co_occurrence(e.where("event_type = 'view' AND user_id = 3"), e.where("event_type = 'purchase'"), 3600)
+
+
+@query("co_occurrence", f"SELECT ida, idb, tb - ta AS delta FROM {_AB}")
+def _(s, d):
+    return _pairs(s, d).select("ida", "idb", (F.col("tb") - F.col("ta")).alias("delta"))
+
+
+@query("lead_lag", f"SELECT count(*) AS n, CASE WHEN count(*) >= 3 THEN quantile_cont(tb - ta, 0.5) END AS lag FROM {_AB}")
+def _(s, d):
+    return R.lead_lag(_pairs(s, d))
+
+
+@query("novelty", f"SELECT key, n, CASE WHEN n <= 1 THEN 'NonRecurring' WHEN n >= 3 AND {NOW} > last_t + 2 * cadence THEN 'Overdue' ELSE 'Recurring' END AS novelty FROM {_CAD}")
+def _(s, d):
+    return R.novelty(_occ(s, d), NOW)
+
+
+@query("surprise_bits", f"SELECT key, n, round(-log2(CAST(n AS DOUBLE) / sum(n) OVER ()), 6) AS bits FROM (SELECT key, count(*) AS n FROM {_OCC} GROUP BY key)")
+def _(s, d):
+    return R.surprise_bits(_occ(s, d)).withColumn("bits", r6("bits"))
+
+
+@query("next_occurrence", f"WITH g AS (SELECT *, t - lag(t) OVER (PARTITION BY key ORDER BY t) AS gap FROM {_OCC}), m AS (SELECT g.key, quantile_cont(abs(gap - cadence), 0.5) AS mad FROM g JOIN {_CAD} c ON g.key = c.key WHERE gap IS NOT NULL GROUP BY g.key) SELECT c.key, n, last_t + CAST(round(cadence) AS BIGINT) AS next_t, mad FROM {_CAD} c JOIN m ON c.key = m.key WHERE n >= 3")
+def _(s, d):
+    return R.next_occurrence(_occ(s, d))
+
+
+# --- dedup
+
+
+@query("exact_dedup", "SELECT sha256(coalesce(text, '')) AS content_id, min(doc_id) AS kept_id, count(*) AS copies FROM documents GROUP BY 1")
+def _(s, d):
+    return L.exact_dedup(read(s, d, "documents"), "doc_id", "text")
+
+
+@query("dedup_compression_ratio", "SELECT round(CAST(count(DISTINCT sha256(coalesce(text, ''))) AS DOUBLE) / count(*), 6) AS ratio FROM documents")
+def _(s, d):
+    return L.exact_dedup(read(s, d, "documents"), "doc_id", "text").agg(r6(F.count(F.lit(1)) / F.sum("copies")).alias("ratio"))
+
+
+# --- statistics
+
+_LI = "lineitem"
+
+
+@query("pearson", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n FROM lineitem")
+def _(s, d):
+    return read(s, d, _LI).agg(r6(F.corr("l_quantity", "l_extendedprice")).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+@query("spearman", "WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r")
+def _(s, d):
+    return Q.spearman(read(s, d, _LI), "l_quantity", "l_discount").withColumn("rho", r6("rho"))
+
+
+@query("partial_correlation", "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem) SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS r FROM c")
+def _(s, d):
+    return Q.partial_corr(read(s, d, _LI), "l_quantity", "l_extendedprice", "l_discount").select(r6("r").alias("r"))
+
+
+@query("conditional_mi_gauss", "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem) SELECT round(-0.5 * log2(1 - pow((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 2)), 6) AS bits FROM c")
+def _(s, d):
+    return Q.partial_corr(read(s, d, _LI), "l_quantity", "l_extendedprice", "l_discount").select(r6(-0.5 * F.log2(1 - F.col("r") * F.col("r"))).alias("bits"))
+
+
+_CT = "WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, CAST(count(*) AS DOUBLE) AS o FROM lineitem GROUP BY 1, 2), m AS (SELECT *, sum(o) OVER (PARTITION BY x) AS r, sum(o) OVER (PARTITION BY y) AS k, sum(o) OVER () AS n FROM c), a AS (SELECT sum(o * o / (r * k)) AS q, max(n) AS n, count(DISTINCT x) AS kx, count(DISTINCT y) AS ky, sum(o * ln(o * n / (r * k))) AS g, sum(-o / n * log2(k / n)) AS hy FROM m)"
+
+
+@query("categorical_association", _CT + " SELECT round(n * (q - 1), 3) AS chi2, round(2 * g, 3) AS g, round(sqrt(q - 1), 6) AS phi, round(least(1, sqrt((q - 1) / (least(kx, ky) - 1))), 6) AS cramers_v, round(g / n / ln(2), 6) AS mi_bits, round(g / n / ln(2) / hy, 6) AS theil_u, (kx - 1) * (ky - 1) AS dof FROM a")
+def _(s, d):
+    c = Q.categorical(read(s, d, _LI), "l_returnflag", "l_linestatus")
+    return c.select(F.round("chi2", 3).alias("chi2"), F.round("g", 3).alias("g"), *[r6(x).alias(x) for x in ("phi", "cramers_v", "mi_bits", "theil_u")], "dof")
+
+
+@query("point_biserial", "SELECT round(corr(CAST(l_returnflag = 'R' AS DOUBLE), l_extendedprice), 6) AS r FROM lineitem")
+def _(s, d):
+    return read(s, d, _LI).agg(r6(F.corr((F.col("l_returnflag") == "R").cast("double"), "l_extendedprice")).alias("r"))
+
+
+@query("entropy", "WITH c AS (SELECT CAST(count(*) AS DOUBLE) AS o FROM events GROUP BY event_type), n AS (SELECT sum(o) AS n FROM c) SELECT round(sum(-o / n * log2(o / n)), 6) AS bits FROM c, n")
+def _(s, d):
+    from pyspark.sql import Window
+
+    c = read(s, d, "events").groupBy("event_type").count().withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    return c.agg(r6(F.sum(-F.col("p") * F.log2("p"))).alias("bits"))
+
+
+@query("nmi", "WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem), b AS (SELECT least(floor((l_quantity - x0) / (x1 - x0) * 10), 9) AS x, least(floor((l_extendedprice - y0) / (y1 - y0) * 10), 9) AS y FROM lineitem, e), c AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS o FROM b GROUP BY 1, 2), m AS (SELECT *, sum(o) OVER (PARTITION BY x) AS r, sum(o) OVER (PARTITION BY y) AS k, sum(o) OVER () AS n FROM c), h AS (SELECT sum(-o / n * log2(o / n)) AS hxy, sum(-o / n * log2(r / n)) AS hx, sum(-o / n * log2(k / n)) AS hy FROM m) SELECT round(greatest(hx + hy - hxy, 0), 6) AS mi_bits, round(greatest(hx + hy - hxy, 0) / sqrt(hx * hy), 6) AS nmi FROM h")
+def _(s, d):
+    return Q.nmi(read(s, d, _LI), "l_quantity", "l_extendedprice").select(r6("mi_bits").alias("mi_bits"), r6("nmi").alias("nmi"))
+
+
+@query("concentration", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS x FROM orders GROUP BY 1) SELECT round(sum(x * x) / (sum(x) * sum(x)), 9) AS herfindahl, round(max(x) / sum(x), 9) AS top_share FROM a WHERE x > 0")
+def _(s, d):
+    a = read(s, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("x"))
+    return Q.concentration(a, "x").select(F.round("herfindahl", 9).alias("herfindahl"), F.round("top_share", 9).alias("top_share"))
+
+
+@query("realized_volatility", f"SELECT user_id, round(stddev_samp(ret), 6) AS vol FROM (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY {EPOCH}, event_id) AS ret FROM events) GROUP BY user_id HAVING count(ret) >= 2")
+def _(s, d):
+    from pyspark.sql import Window
+
+    e = read(s, d, "events").withColumn("t", T.epoch("ts"))
+    e = e.withColumn("ret", F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("t", "event_id")))
+    return e.groupBy("user_id").agg(r6(F.stddev_samp("ret")).alias("vol"), F.count("ret").alias("n")).where("n >= 2").select("user_id", "vol")
+
+
+@query("brier_by_bin", "SELECT CAST(floor(l_discount * 100) AS INTEGER) AS bin, count(*) AS n, round(avg(pow(l_discount - CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, 2)), 6) AS brier FROM lineitem GROUP BY 1")
+def _(s, d):
+    y = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
+    return read(s, d, _LI).groupBy(F.floor(F.col("l_discount") * 100).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("l_discount") - y) ** 2)).alias("brier"))
+
+
+@query("cross_correlation", f"WITH h AS (SELECT {EPOCH} // 3600 AS t, count(*)::DOUBLE AS n, sum(value) AS v FROM events GROUP BY 1) SELECT k AS lag, round(corr(a.n, b.v), 6) AS r, count(*) AS n FROM h a, (SELECT unnest([-2, -1, 0, 1, 2]) AS k), h b WHERE b.t = a.t + k GROUP BY k")
+def _(s, d):
+    h = read(s, d, "events").groupBy(F.floor(T.epoch("ts") / 3600).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("v"))
+    return Q.cross_correlation(h, "t", "n", "v", range(-2, 3)).withColumn("r", r6("r"))
+
+
+@query("wilson_interval", "WITH c AS (SELECT l_linestatus, count(*)::DOUBLE AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END) AS h FROM lineitem GROUP BY 1), p AS (SELECT *, h / n AS p, 1.959963984540054::DOUBLE AS z FROM c) SELECT l_linestatus, round((p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 6) AS high FROM p")
+def _(s, d):
+    c = read(s, d, _LI).groupBy("l_linestatus").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("l_returnflag") == "R").cast("double").alias("h"))
+    low, high = Q.wilson(F.col("h"), F.col("n"))
+    return c.select("l_linestatus", r6(low).alias("low"), r6(high).alias("high"))
+
+
+@query("beta_posterior", "SELECT event_type, round((1.0 + sum(CASE WHEN value > 250 THEN 1 ELSE 0 END)) / (2.0 + count(*)), 6) AS mean FROM events GROUP BY 1")
+def _(s, d):
+    return read(s, d, "events").groupBy("event_type").agg(r6((1.0 + F.count_if(F.col("value") > 250)) / (2.0 + F.count(F.lit(1)))).alias("mean"))
+
+
+@query("group_split", "SELECT user_id, count(*) AS n, bool_and(held) AS held_out FROM (SELECT user_id, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20 AS held FROM events) GROUP BY user_id")
+def _(s, d):
+    return L.group_split(read(s, d, "events"), "user_id", 20).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("held_out").alias("held_out"))
+
+
+# --- graph: nations, suppliers and customers
+
+_EDGES = "(SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 0.5::DOUBLE FROM supplier UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 0.25::DOUBLE FROM nation)"
+
+
+def _edges(s, d):
+    n, u = read(s, d, "nation"), read(s, d, "supplier")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"), F.lit(1.0).alias("weight"))
+    e = e.unionByName(u.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"), F.lit(0.5).alias("weight")))
+    return e.unionByName(n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"), F.lit(0.25).alias("weight")))
+
+
+@query("graph_neighbours", f"SELECT dst AS node, weight FROM {_EDGES} WHERE src = 'r1'")
+def _(s, d):
+    return G.neighbours(_edges(s, d), "r1")
+
+
+@query("graph_degrees", f"SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {_EDGES} UNION ALL SELECT dst, 0, 1 FROM {_EDGES}) GROUP BY node")
+def _(s, d):
+    return G.degrees(_edges(s, d))
+
+
+@query("graph_normalise", f"SELECT src, dst, weight / max(weight) OVER () AS weight FROM {_EDGES}")
+def _(s, d):
+    return G.normalised(_edges(s, d))
+
+
+_BFS = "WITH RECURSIVE e AS (SELECT * FROM {e}), w(node, hop) AS (SELECT '{s}', 0 UNION SELECT {b}, hop + 1 FROM w JOIN e ON w.node = e.{a} WHERE hop < 3) "
+
+
+@query("graph_bfs", _BFS.format(e=_EDGES, s="s1", a="src", b="dst") + "SELECT node, min(hop) AS hop FROM w GROUP BY node HAVING min(hop) > 0")
+def _(s, d):
+    return G.bfs(_edges(s, d), ["s1"], 3)
+
+
+@query("graph_groundedness", _BFS.format(e=_EDGES, s="r2", a="dst", b="src") + "SELECT node, min(hop) AS hop FROM w GROUP BY node")
+def _(s, d):
+    return G.groundedness(_edges(s, d), ["r2"], 3)
+
+
+@query("graph_scored_traverse", f"WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), w(node, score, hop) AS (SELECT 's1', 1.0::DOUBLE, 0 UNION ALL SELECT dst, score * weight * 0.9::DOUBLE, hop + 1 FROM w JOIN e ON w.node = e.src WHERE hop < 3) SELECT node, round(max(score), 6) AS score FROM w WHERE hop > 0 AND node <> 's1' GROUP BY node")
+def _(s, d):
+    return G.scored_traverse(_edges(s, d), "s1", 3).withColumn("score", r6("score"))
+
+
+def _propagate_sql(rounds: int) -> str:
+    sql = f"WITH e AS (SELECT src, dst, weight FROM {_EDGES}), b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), s(node, label) AS (VALUES ('r0', 1.0::DOUBLE), ('r1', -1.0::DOUBLE)), v0 AS (SELECT node, coalesce(label, 0) AS v FROM (SELECT DISTINCT src AS node FROM b) LEFT JOIN s USING (node))"
+    for i in range(rounds):
+        sql += f", v{i + 1} AS (SELECT n.node, coalesce(s.label, m, 0) AS v FROM v{i} n LEFT JOIN (SELECT b.src AS node, sum(b.weight * v) / sum(b.weight) AS m FROM b JOIN v{i} x ON b.dst = x.node GROUP BY 1) g ON n.node = g.node LEFT JOIN s ON n.node = s.node)"
+    return sql + f" SELECT node, round(v, 6) AS v FROM v{rounds}"
+
+
+@query("graph_label_propagation", _propagate_sql(4))
+def _(s, d):
+    return G.propagate(_edges(s, d), s.createDataFrame([("r0", 1.0), ("r1", -1.0)], "node string, label double"), 4).select("node", r6("v").alias("v"))
+
+
+@query("agreement_graph", "WITH p AS (" + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, {_cos_sql(f'embedding[{16 * a + 1}:{16 * a + 16}]::DOUBLE[]', f'embedding[{16 * b + 1}:{16 * b + 16}]::DOUBLE[]')} AS c FROM embeddings" for a in range(4) for b in range(a + 1, 4)) + ") SELECT a, b, round(avg(c), 6) AS mean, round(least(greatest(avg(c), 0), 1), 6) AS weight, count(*) AS n FROM p GROUP BY a, b")
+def _(s, d):
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), V.cosine(V.slot(F.col("embedding"), a, 16), V.slot(F.col("embedding"), b, 16)).alias("c")) for a in range(4) for b in range(a + 1, 4)])
+    p = read(s, d, "embeddings").select(F.explode(pairs).alias("p")).select("p.*")
+    return p.groupBy("a", "b").agg(r6(F.avg("c")).alias("mean"), r6(F.least(F.greatest(F.avg("c"), F.lit(0.0)), F.lit(1.0))).alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
+@query("graph_betweenness")
+def _(s, d):
+    return G.betweenness(_edges(s, d))
+
+
+# --- guard, ledger, prediction
+
+
+@query("guard_all_required", f"SELECT cx_id, CAST(sum(CASE WHEN score >= -0.2 THEN 1 ELSE 0 END) AS BIGINT) AS passed, sum(CASE WHEN score >= -0.2 THEN 1 ELSE 0 END) >= count(*) AS pass FROM {_SLOTS} GROUP BY cx_id")
+def _(s, d):
+    return U.verdict(_slots(s, d), -0.2)
+
+
+@query("guard_k_of_n", f"SELECT cx_id, CAST(sum(CASE WHEN score >= 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS passed, sum(CASE WHEN score >= 0.1 THEN 1 ELSE 0 END) >= 2 AS pass FROM {_SLOTS} GROUP BY cx_id")
+def _(s, d):
+    return U.verdict(_slots(s, d), 0.1, 2)
+
+
+@query("conformal_tau", "WITH x AS (SELECT l_extendedprice AS score, l_returnflag = 'R' AS bad FROM lineitem), g AS (SELECT score, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS b, sum(CASE WHEN bad THEN 0 ELSE 1 END) AS g FROM x GROUP BY score), c AS (SELECT score, sum(b) OVER w AS above, sum(b) OVER () AS nb, sum(g) OVER () - sum(g) OVER w AS missed FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT min(score) AS tau, CAST(max(above) AS BIGINT) AS false_accepts, CAST(min(missed) AS BIGINT) AS false_rejects FROM c WHERE above <= 0.05 * nb AND nb >= 50")
+def _(s, d):
+    x = read(s, d, _LI).select(F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").alias("bad"))
+    return U.conformal_tau(x, 0.05)
+
+
+@query("guard_drift", "SELECT event_id, round(avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING), 6) AS drift FROM events")
+def _(s, d):
+    e = read(s, d, "events").withColumn("failed", F.col("event_type") == "error")
+    return U.drift(e, "user_id", "event_id", "failed", 10).select("event_id", r6("drift").alias("drift"))
+
+
+@query("predict_mode", "SELECT user_id, event_type AS prediction, round(CAST(c AS DOUBLE) / n, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) AS k, sum(c) OVER (PARTITION BY user_id) AS n FROM (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2)) WHERE k = 1")
+def _(s, d):
+    return U.predict_mode(read(s, d, "events"), ["user_id"], "event_type").withColumn("confidence", r6("confidence"))
+
+
+@query("ledger_verify", "SELECT event_id AS seq, 'broken' AS state FROM events WHERE event_id % 97 = 96")
+def _(s, d):
+    e = read(s, d, "events").select(F.col("event_id").alias("seq"), F.sha2(F.concat(F.lit("e"), (F.col("event_id") - 1).cast("string")), 256).alias("p0"))
+    e = e.withColumn("payload", F.concat(F.lit("v"), F.col("seq").cast("string"))).withColumn("prev_hash", F.lit("0" * 64)).withColumn("entry_hash", U.entry_hash(F.col("prev_hash"), F.col("payload")))
+    # One link per seq: every entry names the fixed root, so only tampered payloads break.
+    tampered = e.withColumn("payload", F.when(F.col("seq") % 97 == 96, "x").otherwise(F.col("payload")))
+    own = tampered.withColumn("bad", F.col("entry_hash") != U.entry_hash(F.col("prev_hash"), F.col("payload")))
+    return own.where("bad").select("seq", F.lit("broken").alias("state"))
+
+
+def _merkle_sql(n: int) -> str:
+    sql = "WITH l0 AS (SELECT n_nationkey AS i, sha256('leaf' || sha256(n_name)) AS h FROM nation)"
+    k = 0
+    while n > 1:
+        k, n = k + 1, (n + 1) // 2
+        sql += f", l{k} AS (SELECT i // 2 AS i, sha256('node' || arg_min(h, i) || arg_max(h, i)) AS h FROM (SELECT CAST(i AS BIGINT) AS i, h FROM l{k - 1}) GROUP BY i // 2)"
+    return sql + f" SELECT i, h FROM l{k}"
+
+
+@query("merkle_root", _merkle_sql(25))
+def _(s, d):
+    return U.merkle_root(read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.sha2("n_name", 256).alias("entry_hash")), 25)
+
+
+# --- Cypher over nations and suppliers
+
+
+def _cypher(s, d) -> Cypher:
+    n, r, u = read(s, d, "nation"), read(s, d, "region"), read(s, d, "supplier")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
+    nodes = n.select(key("n", "n_nationkey"), F.lit("Nation").alias("label"), F.col("n_name").alias("name"), F.lit(None).cast("double").alias("bal"))
+    nodes = nodes.unionByName(r.select(key("r", "r_regionkey"), F.lit("Region").alias("label"), F.col("r_name").alias("name"), F.lit(None).cast("double").alias("bal")))
+    nodes = nodes.unionByName(u.select(key("s", "s_suppkey"), F.lit("Supplier").alias("label"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")))
+    e = n.select(key("n", "n_nationkey"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"))
+    e = e.unionByName(u.select(key("s", "s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst")))
+    return Cypher(nodes, e.select(F.col("id").alias("src"), "dst", F.lit("IN").alias("type")))
+
+
+_CYPHER = {
+    "cypher_match": ('MATCH (s:Supplier)-[:IN]->(n:Nation) WHERE s.bal > 0 AND NOT n.name STARTS WITH "A" RETURN s.name AS supplier, n.name AS nation', "SELECT s_name AS supplier, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 AND NOT starts_with(n_name, 'A')"),
+    "cypher_aggregate": ("MATCH (n:Nation)-[:IN]->(r:Region) RETURN r.name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "cypher_optional": ("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN]-(s:Supplier) RETURN n.name AS nation, count(s.id) AS n", "SELECT n_name AS nation, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
+    "cypher_not_exists": ("MATCH (s:Supplier) WHERE NOT EXISTS { (s)<-[:IN]-() } RETURN s.name AS name", "SELECT s_name AS name FROM supplier"),
+    "cypher_exists": ("MATCH (n:Nation) WHERE EXISTS { (n)<-[:IN]-() } RETURN n.name AS nation", "SELECT n_name AS nation FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)"),
+    "cypher_var_length": ("MATCH (s:Supplier)-[:IN*1..2]->(x) RETURN s.name AS supplier, x.name AS place", "SELECT s_name AS supplier, n_name AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "cypher_union": ("MATCH (n:Nation) RETURN n.name AS name UNION MATCH (r:Region) RETURN r.name AS name", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region"),
+    "cypher_order_limit": ("MATCH (s:Supplier) WHERE s.name CONTAINS \"1\" RETURN s.name AS name ORDER BY name DESC SKIP 1 LIMIT 5", "SELECT s_name AS name FROM supplier WHERE contains(s_name, '1') ORDER BY 1 DESC LIMIT 5 OFFSET 1"),
+}
+for _name, (_text, _sql) in _CYPHER.items():
+    query(_name, _sql)(lambda s, d, t=_text: _cypher(s, d).run(t))
+
+
+@query("universal_query", f"WITH c AS (SELECT vec_id FROM embeddings WHERE label >= 5) SELECT vec_id AS cx_id, round({_cos_sql('embedding::DOUBLE[]', _QL)}, 6) AS score FROM embeddings WHERE vec_id IN (SELECT vec_id FROM c) ORDER BY {_cos_sql('embedding::DOUBLE[]', _QL)} DESC, vec_id LIMIT 10")
+def _(s, d):
+    e = read(s, d, "embeddings")
+    return UniversalQuery(relational=(e, [("label", "gte", 5)]), vector=(e, QUERY, 10, "vec_id", "embedding")).run().select("cx_id", r6("score").alias("score"))
+
+
+# --- estimators on bounded series: hourly activity
+
+
+def _hourly(s, d):
+    return read(s, d, "events").groupBy(F.floor(T.epoch("ts") / 3600).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("v"))
+
+
+query("ksg_mutual_information")(lambda s, d: E.ksg_mi(_hourly(s, d), "n", "v"))
+query("distance_correlation")(lambda s, d: E.distance_correlation(_hourly(s, d), "n", "v"))
+query("hsic")(lambda s, d: E.hsic(_hourly(s, d), "n", "v"))
+query("granger")(lambda s, d: E.granger(_hourly(s, d), "t", "n", "v"))
+query("lomb_scargle")(lambda s, d: E.lomb_scargle(_hourly(s, d), "t", "n", [6.0, 12.0, 24.0, 168.0]))
+query("mmd_two_sample")(lambda s, d: E.mmd(_hourly(s, d).withColumn("g", (F.col("t") % 2).cast("double")), "v", "g"))
