@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import narrow, record_batch
 
 CELLS = 1 << 20
-MAX_FIT_ROWS = 6000
+MAX_FIT_ROWS = 8000
 SCHEMA = "doc_id long, score double, p_grades array<double>, severity double, rejected boolean"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -76,7 +76,7 @@ def select(rows: list[np.ndarray], toxic: np.ndarray, z: float = 6.0) -> np.ndar
     n = [int((toxic == k).sum()) for k in (0, 1)]
     p = (df[0] + df[1] + 1) / (sum(n) + 2)
     score = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    return np.flatnonzero((score >= min(z, 0.5 * score.max())) & (df[1] >= 2) & (df[1] / n[1] > 5 * df[0] / n[0]))
+    return np.flatnonzero((score >= min(z, 0.5 * score.max())) & (df[1] >= 2) & (df[1] / n[1] > 8 * df[0] / n[0]))
 
 
 def grades(rows: list[np.ndarray], toxic: np.ndarray, bound: np.ndarray) -> np.ndarray:
