@@ -205,8 +205,8 @@ def sort_suffixes(word: np.ndarray, starts: np.ndarray, bucket_size: int = 1 <<
         yield b[np.lexsort((place, tie))]
 
 
-def repeated_windows(contents: list[bytes], docs: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
-    """For each piece which of its windows also start in a piece of a smaller document."""
+def repeated_windows(contents: list[bytes], docs: np.ndarray, span: int = SPAN) -> list[np.ndarray | None]:
+    """For each piece which of its windows also start in a piece of a smaller document; None for none of them."""
     size = np.array([len(c) for c in contents])
     windows = size - span + 1
     begin = np.cumsum(size) - size
@@ -226,7 +226,9 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, span: int = SPAN)
         d = docs[owner[order]]
         least = np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(s))))
         gone[order] = d > least
-    return np.split(gone, np.cumsum(windows)[:-1])
+    end = np.cumsum(windows)
+    some = np.logical_or.reduceat(gone, end - windows)
+    return [gone[e - w : e] if s else None for e, w, s in zip(end.tolist(), windows.tolist(), some.tolist(), strict=True)]
 
 
 def _table(schema: str, rows: list[list]) -> pa.Table:
@@ -321,18 +323,19 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, docs_per_gr
         end = np.cumsum(size)
         contents = [data[e - n : e] for e, n in zip(end.tolist(), size.tolist(), strict=True)]
         # Classes of equal pieces, and the smallest document of each.
-        number: dict[tuple[int, bytes], int] = {}
-        cls = np.array([number.setdefault(k, len(number)) for k in zip(h.tolist(), contents, strict=True)], np.int64)
+        number: dict[bytes, int] = {}
+        cls = np.array([number.setdefault(k, len(number)) for k in contents], np.int64)
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, cls, doc)
         keys = list(number)
-        heads = np.array([k[0] for k in keys], _U)
+        heads = np.zeros(len(keys), _U)
+        heads[cls] = h  # a piece's text determines its minimum
         _, back, count = np.unique(heads, return_inverse=True, return_counts=True)
         open_ = np.flatnonzero(count[back] > 1)  # minima with different pieces
         masks: dict[int, np.ndarray] = {}
         if len(open_):
-            for c, m in zip(open_.tolist(), repeated_windows([keys[c][1] for c in open_], least[open_], span), strict=True):
-                if m.any():
+            for c, m in zip(open_.tolist(), repeated_windows([keys[c] for c in open_.tolist()], least[open_], span), strict=True):
+                if m is not None:
                     masks[c] = m
         code = np.where(doc > least[cls], 1, 0)
         has = np.isin(cls, np.fromiter(masks, np.int64, len(masks)))
@@ -354,15 +357,10 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, docs_per_gr
             return _table(schema, [[]] * (5 + keep_text))
         t, ids, p = load(t)
         texts = p.texts
-        mark = [None] * len(texts)
-
-        def cover(i: int, windows: np.ndarray) -> None:
-            d = int(p.doc[i])
-            if mark[d] is None:
-                mark[d] = np.zeros(len(texts[d]) + 1, np.int32)
-            w = windows + int(p.start[i])
-            np.add.at(mark[d], w, 1)
-            np.add.at(mark[d], w + span, -1)
+        length = np.array([len(x) for x in texts])
+        base = np.cumsum(length + 1) - length - 1
+        whole: list[int] = []
+        single: list[np.ndarray] = []
 
         told: dict[bytes, tuple[int, int, np.ndarray | None]] = {}
         for r, c, n, m in zip(*(reply.column(x).to_pylist() for x in ("ref", "code", "windows", "mask")), strict=True):
@@ -378,15 +376,25 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, docs_per_gr
                 if (known := told.get(p.content(i))) is not None:
                     k, least, bits = known
                     if k == 1 or ids[p.doc[i]] > least:
-                        cover(i, np.arange(int(p.windows[i])))
+                        whole.append(i)
                     elif k == 2:
-                        cover(i, np.flatnonzero(bits))
+                        single.append(np.flatnonzero(bits) + int(base[p.doc[i]] + p.start[i]))
+        # +1 where a covered stretch of bytes begins, -1 after its end.
+        at = np.array(whole, np.int64)
+        begin = base[p.doc[at]] + p.start[at]
+        last = begin + p.windows[at] + span - 1
+        one = np.concatenate(single) if single else np.zeros(0, np.int64)
+        room = int(length.sum()) + len(texts) + 1
+        depth = np.bincount(np.concatenate([begin, one]), minlength=room) - np.bincount(np.concatenate([last, one + span]), minlength=room)
+        covered = np.cumsum(depth) > 0
+        touched = np.zeros(len(texts), bool)
+        touched[np.searchsorted(base, np.concatenate([begin, one]), side="right") - 1] = True
         out: list[list] = [[] for _ in range(5 + keep_text)]
         for d, (x, i, none) in enumerate(zip(texts, ids.tolist(), t.column("no_id").to_pylist(), strict=True)):
             spans = removed = 0
             kept = x
-            if mark[d] is not None:
-                gone = np.cumsum(mark[d][:-1]) > 0
+            if touched[d]:
+                gone = covered[base[d] : base[d] + len(x)]
                 spans = int((gone & ~np.append(False, gone[:-1])).sum())
                 removed = int(gone.sum())
                 kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
