@@ -308,7 +308,7 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, docs_per_gr
             x, z = cut[b], cut[b + 1]
             if x < z:
                 m = mine[x:z]
-                row = (b, g, p.h[m].tobytes(), ids[p.doc[m]].astype("<i8").tobytes(), bytes(i in shared for i in m.tolist()), m.astype("<i8").tobytes(), np.array([len(c) for c in content[x:z]], "<i8").tobytes(), b"".join(content[x:z]))
+                row = (b, g, p.h[m].astype("<u4").tobytes(), ids[p.doc[m]].astype("<i8").tobytes(), bytes(i in shared for i in m.tolist()), m.astype("<u4").tobytes(), np.array([len(c) for c in content[x:z]], "<u4").tobytes(), b"".join(content[x:z]))
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
         return _table(s_c, out)
@@ -317,8 +317,8 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, docs_per_gr
 
     def decide(t: pa.Table) -> pa.Table:
         get = lambda c, k: np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()])
-        h, doc, shared, ref, size = get("h", "<u8"), get("doc", "<i8"), get("shared", np.uint8), get("ref", "<i8"), get("size", "<i8")
-        source = np.repeat(np.arange(t.num_rows), [len(x) // 8 for x in t.column("h").to_pylist()])
+        h, doc, shared, ref, size = get("h", "<u4"), get("doc", "<i8"), get("shared", np.uint8), get("ref", "<u4"), get("size", "<u4").astype(np.int64)
+        source = np.repeat(np.arange(t.num_rows), [len(x) // 4 for x in t.column("h").to_pylist()])
         data = b"".join(t.column("data").to_pylist())
         end = np.cumsum(size)
         contents = [data[e - n : e] for e, n in zip(end.tolist(), size.tolist(), strict=True)]
@@ -328,8 +328,8 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, docs_per_gr
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, cls, doc)
         keys = list(number)
-        heads = np.zeros(len(keys), _U)
-        heads[cls] = h  # a piece's text determines its minimum
+        heads = np.zeros(len(keys), np.uint32)
+        heads[cls] = h  # a piece's text determines its minimum; minima with the same low bits only share a sort
         _, back, count = np.unique(heads, return_inverse=True, return_counts=True)
         open_ = np.flatnonzero(count[back] > 1)  # minima with different pieces
         masks: dict[int, np.ndarray] = {}
@@ -366,10 +366,10 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, docs_per_gr
         for r, c, n, m in zip(*(reply.column(x).to_pylist() for x in ("ref", "code", "windows", "mask")), strict=True):
             n = np.frombuffer(n, "<i8")
             bits = iter(np.split(np.unpackbits(np.frombuffer(m, np.uint8), count=int(n.sum())).astype(bool), np.cumsum(n)[:-1]) if len(n) else [])
-            for i, k in zip(np.frombuffer(r, "<i8").tolist(), c, strict=True):
+            for i, k in zip(np.frombuffer(r, "<u4").tolist(), c, strict=True):
                 told[p.content(i)] = (k, int(ids[p.doc[i]]), next(bits) if k == 2 else None)
         if told:
-            refs = np.concatenate([np.frombuffer(r, "<i8") for r in reply.column("ref").to_pylist()])
+            refs = np.concatenate([np.frombuffer(r, "<u4") for r in reply.column("ref").to_pylist()]).astype(np.int64)
             order = np.unique(p.h[refs])
             at = np.minimum(np.searchsorted(order, p.h), len(order) - 1)
             for i in np.flatnonzero(order[at] == p.h).tolist():
