@@ -80,3 +80,21 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     p, zz = hits / n, z * z
     mid, half = p + zz / (2 * n), z * F.sqrt((p * (1 - p) + zz / (4 * n)) / n)
     return (mid - half) / (1 + zz / n), (mid + half) / (1 + zz / n)
+
+
+def copula(df: DataFrame, x: str, y: str, q: float = 0.1) -> DataFrame:
+    """Blomqvist's beta and tail dependence of the ranks u = rank / (n + 1) of a bounded sample; ties are refused."""
+    n = Window.partitionBy()
+    u = df.select(*[(F.rank().over(Window.orderBy(c)) / (F.count(F.lit(1)).over(n) + 1)).alias(k) for c, k in ((x, "u"), (y, "v"))])
+    half = F.count_if((F.col("u") <= 0.5) & (F.col("v") <= 0.5)) / F.count(F.lit(1))
+    low = F.count_if((F.col("u") <= q) & (F.col("v") <= q)) / F.count(F.lit(1)) / q
+    high = F.count_if((F.col("u") > 1 - q) & (F.col("v") > 1 - q)) / F.count(F.lit(1)) / q
+    whole = F.assert_true((F.countDistinct("u") == F.count(F.lit(1))) & (F.countDistinct("v") == F.count(F.lit(1))), "ties")
+    a = u.agg((4 * half - 1).alias("beta"), F.least(low, F.lit(1.0)).alias("lower"), F.least(high, F.lit(1.0)).alias("upper"), whole.alias("_ok"))
+    return a.where(F.col("_ok").isNull()).select("beta", "lower", "upper")
+
+
+def base_rate(neighbours: DataFrame, outcome: str, score: str, saturation: int = 20) -> DataFrame:
+    """Mean outcome of the nearest neighbours; reliability is their mean similarity times min(k / saturation, 1)."""
+    sim = F.avg(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)))
+    return neighbours.agg(F.avg(F.col(outcome).cast("double")).alias("p"), (sim * F.least(F.count(F.lit(1)) / saturation, F.lit(1.0))).alias("reliability"))

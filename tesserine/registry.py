@@ -641,3 +641,36 @@ query("hsic")(lambda s, d: E.hsic(_hourly(s, d), "n", "v"))
 query("granger")(lambda s, d: E.granger(_hourly(s, d), "t", "n", "v"))
 query("lomb_scargle")(lambda s, d: E.lomb_scargle(_hourly(s, d), "t", "n", [6.0, 12.0, 24.0, 168.0]))
 query("mmd_two_sample")(lambda s, d: E.mmd(_hourly(s, d).withColumn("g", (F.col("t") % 2).cast("double")), "v", "g"))
+
+
+_HOURLY = f"(SELECT {EPOCH} // 3600 AS t, CAST(count(*) AS DOUBLE) AS n, sum(value) AS v, max(event_id) AS last FROM events GROUP BY 1)"
+
+
+@query("copula_tails", f"WITH r AS (SELECT CAST(rank() OVER (ORDER BY last) AS DOUBLE) / (count(*) OVER () + 1) AS u, CAST(rank() OVER (ORDER BY t) AS DOUBLE) / (count(*) OVER () + 1) AS v FROM {_HOURLY}), a AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE u <= 0.5 AND v <= 0.5) AS h, count(*) FILTER (WHERE u <= 0.1::DOUBLE AND v <= 0.1::DOUBLE) AS l, count(*) FILTER (WHERE u > 1 - 0.1::DOUBLE AND v > 1 - 0.1::DOUBLE) AS g FROM r) SELECT round(4 * (h / n) - 1, 6) AS beta, round(least(l / n / 0.1::DOUBLE, 1), 6) AS lower, round(least(g / n / 0.1::DOUBLE, 1), 6) AS upper FROM a")
+def _(s, d):
+    h = read(s, d, "events").groupBy(F.floor(T.epoch("ts") / 3600).alias("t")).agg(F.max("event_id").alias("last"))
+    c = Q.copula(h, "last", "t")
+    return c.select(*[r6(x).alias(x) for x in ("beta", "lower", "upper")])
+
+
+@query("cross_k", f"WITH e AS (SELECT event_type, user_id, {EPOCH} AS t FROM events), a AS (SELECT t FROM e WHERE event_type = 'view' AND user_id = 3), b AS (SELECT t FROM e WHERE event_type = 'purchase'), s AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT CAST(count(*) AS DOUBLE) / (max(t) - min(t)) FROM b) AS lb) SELECT round(count(*) / (na * lb), 4) AS k FROM a, b, s WHERE abs(a.t - b.t) < 3600 GROUP BY na, lb")
+def _(s, d):
+    e = read(s, d, "events").select("event_type", "user_id", T.epoch("ts").alias("t"))
+    b = e.where("event_type = 'purchase'").agg((F.count(F.lit(1)) / (F.max("t") - F.min("t"))).alias("lb")).first()["lb"]
+    na = e.where("event_type = 'view' AND user_id = 3").count()
+    return _pairs(s, d).agg(F.round(F.count(F.lit(1)) / F.lit(na * b), 4).alias("k"))
+
+
+@query("knn_base_rate", f"WITH n AS (SELECT label >= 5 AS y, {_cos_sql('embedding::DOUBLE[]', _QL)} AS s FROM embeddings ORDER BY 2 DESC, vec_id LIMIT 15) SELECT round(avg(CASE WHEN y THEN 1.0::DOUBLE ELSE 0 END), 6) AS p, round(avg(least(greatest(s, 0), 1)) * least(count(*) / 20.0::DOUBLE, 1), 6) AS reliability FROM n")
+def _(s, d):
+    e = read(s, d, "embeddings")
+    near = S.knn(e, QUERY, 15).join(e.select(F.col("vec_id").alias("cx_id"), (F.col("label") >= 5).cast("int").alias("y")), "cx_id")
+    return Q.base_rate(near, "y", "score").select(r6("p").alias("p"), r6("reliability").alias("reliability"))
+
+
+@query("graph_scc", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_EDGES}), r(a, b) AS (SELECT n, n FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) SELECT x.a AS node, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def _(s, d):
+    return G.components_strong(_edges(s, d))
+
+
+query("graph_kernel")(lambda s, d: G.kernel(_edges(s, d), ["r0", "r3"]))
