@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,12 @@ def bfs(edges: DataFrame, starts: list[str], hops: int = 3, cap: int = 10_000) -
     return seen.where("hop > 0")
 
 
-def scored_traverse(edges: DataFrame, start: str, hops: int = 3) -> DataFrame:
-    """Largest product of weights times 0.9 per hop over all walks of up to ``hops`` steps; a node keeps its best."""
+def scored_traverse(edges: DataFrame, start: str, hops: int = 3, attenuation: float = ATTENUATION) -> DataFrame:
+    """Largest product of weights times ``attenuation`` per hop (consequences use 0.7) over all walks of up to ``hops`` steps; a node keeps its best."""
     front = edges.sparkSession.createDataFrame([(start, 1.0)], "node string, score double")
     found = None
     for _ in range(hops):
-        front = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight") * ATTENUATION).alias("score"))
+        front = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight") * attenuation).alias("score"))
         found = front if found is None else found.unionByName(front)
     return found.groupBy("node").agg(F.max("score").alias("score")).where(F.col("node") != start)
 
@@ -134,3 +136,51 @@ def kernel(edges: DataFrame, anchors: list[str], fraction: float = 0.10) -> Data
     scored = all_.select("node", (0.40 * part("d") + 0.40 * part("betweenness") + 0.20 * (1 - F.least(F.coalesce("hop", F.lit(3)), F.lit(3)) / 3)).alias("score"), F.count(F.lit(1)).over(top).alias("n"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "node")))
     return ranked.where(F.col("rank") <= F.greatest(F.ceil(F.col("n") * fraction), F.lit(1))).select("node", "score", "rank")
+
+
+def centrality(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """Eigenvector centrality of the symmetric graph, largest value 1: power rounds of A + I, which bipartite graphs cannot make swing."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    value = both.select(F.col("src").alias("node")).distinct().withColumn("v", F.lit(1.0))
+    for _ in range(rounds):
+        got = both.join(value, both.dst == value.node).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("v")).alias("a"))
+        value = value.join(got, "node").withColumn("v", F.col("v") + F.col("a"))
+        value = value.select("node", (F.col("v") / F.max("v").over(Window.partitionBy())).alias("v"))
+    return value
+
+
+def feedback_vertices(edges: DataFrame, nodes_limit: int = 2000, exact: int = 20) -> list[str]:
+    """Nodes whose removal leaves no cycle: a smallest set for at most ``exact`` nodes on cycles, else greedy and then pruned. Larger graphs are refused."""
+    rows = edges.select("src", "dst").distinct().limit(nodes_limit * nodes_limit).collect()
+    after: dict[str, set[str]] = {}
+    for a, b in rows:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    if len(after) > nodes_limit:
+        raise RuntimeError(f"more than {nodes_limit} nodes")
+
+    def cyclic(gone: set[str]) -> set[str]:
+        """What is left when nodes without an edge in or out go, again and again."""
+        left = set(after) - gone
+        while True:
+            heads = {b for a in left for b in after[a]} & left
+            stay = {a for a in heads if after[a] & left}
+            if stay == left:
+                return left
+            left = stay
+
+    core = cyclic(set())
+    if len(core) <= exact:
+        for size in range(len(core) + 1):
+            for pick in combinations(sorted(core), size):
+                if not cyclic(set(pick)):
+                    return list(pick)
+    gone: set[str] = set()
+    while left := cyclic(gone):
+        into = {v: sum(v in after[a] for a in left) for v in left}
+        gone.add(min(left, key=lambda v: (v not in after[v], -into[v] * len(after[v] & left), v)))
+    for v in sorted(gone):
+        if not cyclic(gone - {v}):
+            gone.remove(v)
+    return sorted(gone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,52 @@ def base_rate(neighbours: DataFrame, outcome: str, score: str, saturation: int =
     """Mean outcome of the nearest neighbours; reliability is their mean similarity times min(k / saturation, 1)."""
     sim = F.avg(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)))
     return neighbours.agg(F.avg(F.col(outcome).cast("double")).alias("p"), (sim * F.least(F.count(F.lit(1)) / saturation, F.lit(1.0))).alias("reliability"))
+
+
+def information_parts(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """Total correlation and interaction information (H of singles - H of pairs + H of all) of three categories in bits, with the effective number of columns.
+
+    One shuffle counts the cells; every marginal is a window over the cells.
+    """
+    names = [x, y, z]
+    cells = df.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("_o"))
+    sets = [c for r in (1, 2, 3) for c in combinations(names, r)]
+    p = F.col("_o") / F.sum("_o").over(Window.partitionBy())
+    h = cells.select(p.alias("p"), *[(F.sum("_o").over(Window.partitionBy(*c)) / F.sum("_o").over(Window.partitionBy())).alias(f"m{i}") for i, c in enumerate(sets)])
+    h = h.agg(*[F.sum(-F.col("p") * F.log2(f"m{i}")).alias(f"h{i}") for i in range(7)])
+    single, pairs = F.col("h0") + F.col("h1") + F.col("h2"), F.col("h3") + F.col("h4") + F.col("h5")
+    total = F.greatest(single - F.col("h6"), F.lit(0.0))
+    n_eff = F.least(F.greatest(3 * (1 - F.coalesce(F.try_divide(total, single), F.lit(0.0))), F.lit(1.0)), F.lit(3.0))
+    return h.select(total.alias("total_correlation"), (single - pairs + F.col("h6")).alias("interaction"), n_eff.alias("n_eff"))
+
+
+def stable_rank(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Squared trace over squared Frobenius norm of the second-moment matrix. Each task adds up one matrix of dim x dim, so the shuffle does not grow with the rows."""
+    import numpy as np
+    import pandas as pd
+
+    def gram(batches):
+        total = None
+        for b in batches:
+            if len(b):
+                v = np.stack([np.asarray(x, float) for x in b["v"]])
+                total = v.T @ v if total is None else total + v.T @ v
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
+
+    cells = vectors.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).alias("v")).mapInPandas(gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("g")).otherwise(0.0))
+    return cells.agg(F.try_divide(trace * trace, F.sum(F.col("g") * F.col("g"))).alias("stable_rank"))
+
+
+def region_energy(scores: DataFrame, region: str, score: str, beta: float) -> DataFrame:
+    """(region, energy): -ln of the summed exp(beta * cosine). Cosines are at most 1, so exp(beta * (cosine - 1)) cannot overflow."""
+    if not 0 <= beta <= 300:
+        raise ValueError("beta from 0 to 300")
+    return scores.groupBy(region).agg((-(beta + F.ln(F.sum(F.exp(beta * (F.col(score) - 1)))))).alias("energy"))
+
+
+def gamma_poisson(events: Column, exposure: Column, shape: float = 1.0, rate: float = 1.0) -> Column:
+    """Posterior mean of a Poisson rate under a gamma prior."""
+    return (shape + events) / (rate + exposure)

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .functions import temporal as T
 from .functions import vectors as V
+from .operators import cluster as C
 from .operators import estimators as E
 from .operators import graph as G
 from .operators import guard as U
 from .operators import layers as L
 from .operators import recurrence as R
 from .operators import search as S
+from .operators import series as H
 from .operators import stats as Q
 from .plans.cypher import Cypher
+from .plans.intent import KEYWORDS, intent
 from .plans.universal import UniversalQuery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -674,3 +677,87 @@ def _(s, d):
 
 
 query("graph_kernel")(lambda s, d: G.kernel(_edges(s, d), ["r0", "r3"]))
+
+
+query("transfer_entropy")(lambda s, d: H.transfer_entropy(_hourly(s, d), "t", "n", "v"))
+query("cross_mapping")(lambda s, d: H.cross_mapping(_hourly(s, d), "t", "n", "v"))
+query("mic")(lambda s, d: H.mic(_hourly(s, d), "n", "v"))
+query("bootstrap_mean")(lambda s, d: H.bootstrap_mean(_hourly(s, d), "v"))
+query("density_clusters")(lambda s, d: C.density_clusters(read(s, d, "embeddings")))
+query("cell_search")(lambda s, d: C.CellIndex(read(s, d, "embeddings"), 16).search(QUERY, 20, 12).select("cx_id", r6("score").alias("score")))
+
+
+@query("hawkes")
+def _(s, d):
+    e = read(s, d, "events").where("user_id = 3").select("event_type", (T.epoch("ts") / 3600).alias("t"))
+    return H.hawkes(e, "t", "event_type", 0.5)
+
+
+@query("kendall_tau_b", f"WITH h AS {_HOURLY}, p AS (SELECT sign(b.n - a.n) AS x, sign(b.v - a.v) AS y FROM h a JOIN h b ON a.t < b.t) SELECT round(sum(x * y) / sqrt(CAST(sum(abs(x)) AS DOUBLE) * sum(abs(y))), 6) AS tau FROM p")
+def _(s, d):
+    return H.kendall_tau_b(_hourly(s, d), "n", "v").select(r6("tau").alias("tau"))
+
+
+@query("autocorrelation", f"WITH h AS {_HOURLY} SELECT k AS lag, round(corr(a.n, b.n), 6) AS r, count(*) AS n FROM h a, (SELECT unnest([1, 2, 24]) AS k) JOIN h b ON b.t = a.t + k GROUP BY k")
+def _(s, d):
+    return Q.cross_correlation(_hourly(s, d), "t", "n", "n", [1, 2, 24]).withColumn("r", r6("r"))
+
+
+_H3 = "(SELECT l_returnflag AS x, l_linestatus AS y, l_linenumber AS z FROM lineitem)"
+
+
+def _h_sql(c: str) -> str:
+    return f"(SELECT sum(-o / n * log2(o / n)) FROM (SELECT CAST(count(*) AS DOUBLE) AS o, sum(count(*)) OVER () AS n FROM {_H3} GROUP BY {c}))"
+
+
+_SINGLE, _ALL = " + ".join(map(_h_sql, ("x", "y", "z"))), _h_sql("x, y, z")
+_PAIRS3 = " + ".join(map(_h_sql, ("x, y", "x, z", "y, z")))
+
+
+@query("information_parts", f"SELECT round(greatest(a - c, 0), 6) AS total_correlation, round(a - b + c, 6) AS interaction, round(least(greatest(3 * (1 - greatest(a - c, 0) / a), 1), 3), 6) AS n_eff FROM (SELECT {_SINGLE} AS a, {_PAIRS3} AS b, {_ALL} AS c)")
+def _(s, d):
+    p = Q.information_parts(read(s, d, _LI), "l_returnflag", "l_linestatus", "l_linenumber")
+    return p.select(*[r6(c).alias(c) for c in ("total_correlation", "interaction", "n_eff")])
+
+
+@query("stable_rank", "WITH p AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings), g AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS g FROM p a JOIN p b USING (vec_id) GROUP BY 1, 2) SELECT round(pow(sum(CASE WHEN i = j THEN g ELSE 0 END), 2) / sum(g * g), 6) AS stable_rank FROM g")
+def _(s, d):
+    return Q.stable_rank(read(s, d, "embeddings")).select(r6("stable_rank").alias("stable_rank"))
+
+
+@query("region_energy", f"SELECT label, round(-ln(sum(exp(8 * {_cos_sql('embedding::DOUBLE[]', _QL)}))), 6) AS energy FROM embeddings GROUP BY label")
+def _(s, d):
+    e = read(s, d, "embeddings").select("label", V.cosine(F.col("embedding"), V.literal(QUERY)).alias("score"))
+    return Q.region_energy(e, "label", "score", 8.0).withColumn("energy", r6("energy"))
+
+
+@query("gamma_posterior", "SELECT user_id, round((1.0 + count(*)) / (1.0 + 30), 6) AS rate FROM events GROUP BY 1")
+def _(s, d):
+    return read(s, d, "events").groupBy("user_id").agg(r6(Q.gamma_poisson(F.count(F.lit(1)), F.lit(30))).alias("rate"))
+
+
+@query("intent_classify", "SELECT label, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {' OR '.join(f"contains(t, '{w}')" for w in ws)} THEN '{name}'" for name, ws in KEYWORDS) + " ELSE 'general' END AS label FROM (SELECT lower(coalesce(text, '')) AS t FROM conversations)) GROUP BY 1")
+def _(s, d):
+    return read(s, d, "conversations").groupBy(intent(F.col("text")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("consequences", f"WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), w(node, score, hop) AS (SELECT 's1', 1.0::DOUBLE, 0 UNION ALL SELECT dst, score * weight * 0.7, hop + 1 FROM w JOIN e ON node = src WHERE hop < 3) SELECT node, round(max(score), 6) AS score FROM w WHERE hop > 0 AND node <> 's1' GROUP BY node")
+def _(s, d):
+    return G.scored_traverse(_edges(s, d), "s1", 3, 0.7).withColumn("score", r6("score"))
+
+
+def _centrality_sql(rounds: int) -> str:
+    sql = f"WITH e AS (SELECT src, dst, weight FROM {_EDGES}), b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), v0 AS (SELECT DISTINCT src AS node, 1.0::DOUBLE AS v FROM b)"
+    for i in range(rounds):
+        sql += f", a{i} AS (SELECT n.node, any_value(n.v) + sum(b.weight * m.v) AS v FROM v{i} n JOIN b ON b.src = n.node JOIN v{i} m ON b.dst = m.node GROUP BY n.node), v{i + 1} AS (SELECT node, v / max(v) OVER () AS v FROM a{i})"
+    return sql + f" SELECT node, round(v, 6) AS v FROM v{rounds}"
+
+
+@query("graph_centrality", _centrality_sql(4))
+def _(s, d):
+    return G.centrality(_edges(s, d), 4).select("node", r6("v").alias("v"))
+
+
+@query("graph_feedback_vertices")
+def _(s, d):
+    return s.createDataFrame([(v,) for v in G.feedback_vertices(_edges(s, d))], "node string")
