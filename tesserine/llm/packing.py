@@ -1,23 +1,30 @@
-"""Lexical retrieval packing with a sharded BM25 inverted index.
+"""Lexical retrieval packing with BM25 over the whole corpus.
 
 Documents become token ids plus an end id. Every whole window of a document is a
-sequence of its own; what remains (less than a window) goes, by a hash of its id,
-to a shard of bounded size. A shard builds an inverted index over its remainders
-and packs them: the longest unused one is the seed, BM25 with the seed's heaviest
-terms returns unused neighbours, and these fill the window in order of score. A
-piece that does not fit is cut at the window's end and its rest stays unused, so
-every window but a shard's last is full; the last is split into sequences whose
-lengths are powers of two, which need no padding.
+sequence of its own; what remains (less than a window) is packed in rounds. A round
+takes the longest unused remainders as seeds, scores every unused document of the
+corpus against each with BM25 (whole texts on both sides; document frequencies and
+mean length of the whole corpus), and fills the seeds' windows in order of score
+with what is still unused. A piece that does not fit is cut at the window's end and
+its rest stays unused. A seed whose list runs out before its window is full waits
+for a later round, unless the list holds all documents that share a term with it:
+then the longest of the next seeds follow. At most ``docs_per_shard`` documents are
+left for one task, which has them all in one index; every window but its last is
+full, and the last is split into sequences whose lengths are powers of two, which
+need no padding.
+
+Every seed meets every unused document, so the work grows with the square of the
+input. The driver holds two bytes per document: the tokens it has left.
 
 Cases: null or empty text gives one piece with the end id alone; repeated rows are
-packed as often as they occur; very long texts never enter the index whole; ties
-of score go to the smaller position by (doc_id, tokens); an empty table gives an
-empty result.
+packed as often as they occur; ties of score go to the smaller position in the
+input; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, record_batch
+from .common import cut_lineage, ensure_checkpoint_dir, narrow, record_batch
 from .token_counts import byte_alphabet
 
+#: Seeds of one round, terms scored by matrix products, seeds scored at once.
+SEEDS, COMMON, AT_ONCE = 16_384, 512, 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long"
 #: Texts of these characters alone take the short way below: printable ASCII, line feeds and Latin-1 letters, all in composed form.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -101,9 +110,9 @@ def crc(ids: np.ndarray) -> int:
 
 
 class Index:
-    """BM25 inverted index over the remainders of one shard; terms are token ids."""
+    """BM25 inverted index over the given token ids; document frequencies and mean length are theirs unless given."""
 
-    def __init__(self, tails: list[np.ndarray], k1: float, b: float) -> None:
+    def __init__(self, tails: list[np.ndarray], k1: float, b: float, idf: np.ndarray | None = None, mean: float | None = None) -> None:
         n = len(tails)
         size = np.array([len(t) for t in tails], np.int64)
         doc = np.repeat(np.arange(n), size)
@@ -111,16 +120,16 @@ class Index:
         pair, tf = np.unique(term * max(n, 1) + doc, return_counts=True)
         self.doc, term = pair % max(n, 1), pair // max(n, 1)
         df = np.bincount(term) if len(term) else np.zeros(1, np.int64)
-        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
-        norm = k1 * (1 - b + b * size / max(size.mean(), 1)) if n else np.zeros(0)
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1) if idf is None else idf
+        norm = k1 * (1 - b + b * size / max(size.mean() if mean is None else mean, 1)) if n else np.zeros(0)
         self.impact = idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])
         self.start = np.concatenate([[0], np.cumsum(df)])
         order = np.lexsort((term, -self.impact, self.doc))
         self.by_doc, self.doc_start = term[order], np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
         self.n = n
 
-    def search(self, seed: int, terms: int) -> np.ndarray:
-        """Scores of all documents of the shard for the seed's heaviest terms."""
+    def search(self, seed: int, terms: int | None) -> np.ndarray:
+        """Scores of all documents of the index for the seed's heaviest terms; None: for all."""
         scores = np.zeros(self.n)
         for t in self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]][:terms]:
             a, z = self.start[t], self.start[t + 1]
@@ -128,14 +137,14 @@ class Index:
         return scores
 
 
-def pack_shard(ids: list[int], sizes: list[int], tails: list[np.ndarray], crcs: list[np.ndarray], first: int, window: int, terms: int, k1: float, b: float) -> list[tuple]:
+def pack_shard(ids: list[int], sizes: list[int], tails: list[np.ndarray], crcs: list[np.ndarray], first: int, window: int, terms: int | None, k1: float, b: float, index: Index | None = None) -> list[tuple]:
     """Pieces of one shard as tuples in the order of SCHEMA without the shard."""
     out, seq = [], first
     for d, n, full in zip(ids, sizes, crcs, strict=True):
         for i, c in enumerate(full.tolist()):
             out.append((d, i * window, window, c, n, seq, 0))
             seq += 1
-    index = Index(tails, k1, b)
+    index = index or Index(tails, k1, b)
     base = [n - len(t) for n, t in zip(sizes, tails, strict=True)]
     at = np.zeros(len(tails), np.int64)
     left = np.array([len(t) for t in tails], np.int64)
@@ -199,35 +208,219 @@ def pack_shard(ids: list[int], sizes: list[int], tails: list[np.ndarray], crcs:
         seq += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, docs_per_shard: int = 768, terms: int = 12, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; see SCHEMA. ``window`` is a power of two."""
+class Best:
+    """The best k documents of each seed; documents come in batches, in order of position."""
+
+    def __init__(self, seeds: list[np.ndarray], idf: np.ndarray, common: np.ndarray, k: int) -> None:
+        self.idf, self.k = idf, k
+        self.column = np.full(len(idf), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(seeds), len(common)), bool)
+        self.rare = []
+        for i, t in enumerate(seeds):
+            c = self.column[t]
+            self.dense[i, c[c >= 0]] = True
+            self.rare.append(t[c < 0].astype(np.int64))
+        self.found = [(np.zeros(0, np.float32), np.zeros(0, np.int64)) for _ in seeds]
+
+    def add(self, position: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """One batch: ``owner`` is the row in ``position``, ``weight`` the term's part of a score."""
+        n, column = len(position), self.column[term]
+        often = column >= 0
+        table = np.zeros((self.dense.shape[1], n), np.float32)
+        table[column[often], owner[often]] = weight[often]
+        order = np.argsort(term[~often], kind="stable")
+        doc, w = owner[~often][order], weight[~often][order]
+        start = np.concatenate([[0], np.cumsum(np.bincount(term[~often], minlength=len(self.idf)))])
+        for a in range(0, len(self.rare), AT_ONCE):
+            part = self.rare[a : a + AT_ONCE]
+            scores = self.dense[a : a + AT_ONCE].astype(np.float32) @ table
+            t, q = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
+            size = start[t + 1] - start[t]
+            at = np.arange(size.sum()) + np.repeat(start[t] - np.cumsum(size) + size, size)
+            np.add.at(scores.reshape(-1), np.repeat(q, size) * n + doc[at], w[at])
+            least = np.partition(scores, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.zeros(len(part))
+            for i, (s, low) in enumerate(zip(scores, least, strict=True)):
+                had, ids = self.found[a + i]
+                new = np.flatnonzero((s >= low) & (s > (had[-1] if len(had) == self.k else 0)))
+                if len(new):
+                    had, ids = np.append(had, s[new]), np.append(ids, position[new])
+                    keep = np.lexsort((ids, -had))[: self.k]
+                    self.found[a + i] = had[keep], ids[keep]
+
+
+def fill(seeds: np.ndarray, lists: list[np.ndarray], left: np.ndarray, window: int, k: int) -> list[tuple[int, int, int, int, int]]:
+    """(position, tokens left before, length, window, offset) of the windows that become full; ``left`` is updated."""
+    out, done, rows, filled = [], 0, [], 0
+
+    def take(i: int) -> None:
+        nonlocal filled
+        n = min(int(left[i]), window - filled)
+        rows.append((i, int(left[i]), n, done, filled))
+        left[i] -= n
+        filled += n
+
+    def undo() -> None:
+        for i, _, n, _, _ in rows:
+            left[i] += n
+
+    for seed, near in zip(seeds.tolist(), lists, strict=True):
+        # An open window is one whose seed has no neighbours left in the whole corpus.
+        while left[seed]:
+            was_open = filled > 0
+            take(seed)
+            if not was_open:
+                for i in near.tolist():
+                    if filled == window:
+                        break
+                    if left[i]:
+                        take(i)
+            if filled == window:
+                out += rows
+                done += 1
+            elif len(near) < k or was_open:
+                break
+            else:
+                undo()
+            full = filled == window
+            rows, filled = [], 0
+            if not full:
+                break
+    undo()
+    return out
+
+
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, docs_per_shard: int = 768, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece; see SCHEMA, whose ``shard`` is the round (0: whole windows). ``window`` is a power of two."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    shards = max(1, -(-docs.count() // docs_per_shard))
+    spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         for bt in batches:
-            sizes, tails, crcs = [], [], []
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for t in bt.column(1).to_pylist():
                 ids = np.append(tok.ids(t or ""), np.array([end_id], tok.type))
                 whole = len(ids) // window * window
-                sizes.append(len(ids))
-                tails.append(ids[whole:].tobytes())
-                crcs.append(np.array([crc(ids[i : i + window]) for i in range(0, whole, window)], "<u4").tobytes())
-            yield record_batch(["doc_id", "n", "tail", "crcs", "wide"], [bt.column(0), sizes, tails, crcs, [tok.type.itemsize] * len(sizes)], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()])
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("tail", "ascending")])
-        shard = group.column("shard")[0].as_py()
-        kind = f"<u{group.column('wide')[0].as_py()}"
-        rows = pack_shard(
-            group.column("doc_id").to_pylist(), group.column("n").to_pylist(), [np.frombuffer(x, kind) for x in group.column("tail").to_pylist()],
-            [np.frombuffer(x, "<u4") for x in group.column("crcs").to_pylist()], shard << 32, window, terms, k1, b,
-        )
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "shard"]
-        return pa.table([pa.array(c, pa.int64()) for c in [*cols, [shard] * len(rows)]], names=names)
-
-    encoded = narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, crcs binary, wide int")
-    return encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(run, SCHEMA)
+                term, tf = np.unique(ids[:-1].astype("<u4"), return_counts=True)
+                crcs = np.array([crc(ids[i : i + window]) for i in range(0, whole, window)], "<u4")
+                for c, v in zip(cols, (len(ids), ids[whole:].astype("<u4").tobytes(), crcs.tobytes(), term.tobytes(), tf.astype("<u4").tobytes()), strict=True):
+                    c.append(v)
+            yield record_batch(["doc_id", "n", "tail", "crcs", "term", "tf"], [bt.column(0), *cols], [pa.int64(), pa.int64(), *[pa.binary()] * 4])
+
+    encoded = cut_lineage(narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, crcs binary, term binary, tf binary"))
+    sizes = dict(encoded.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1))).collect())
+    first = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])])
+    total = int(first[-1])
+    begin = F.element_at(F.lit(first.tolist()).cast("array<long>"), F.spark_partition_id() + 1)
+    known = encoded.withColumn("position", begin + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for bt in batches:
+            c = np.bincount(np.frombuffer(b"".join(bt.column(0).to_pylist()), "<u4"))
+            c[: len(df)] += df[: len(c)]
+            df = np.append(c, df[len(c) :])
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["t", "c"])
+
+    seen = encoded.select("term").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c")).collect()
+    df = np.zeros(max((r[0] for r in seen), default=0) + 1)
+    for t, c in seen:
+        df[t] = c
+    idf = np.log((total - df + 0.5) / (df + 0.5) + 1)
+    mean = (encoded.agg(F.avg(F.col("n") - 1)).first()[0] or 0.0) if total else 0.0
+    common = np.argsort(-df, kind="stable")[:COMMON]
+
+    left = np.zeros(total, np.min_scalar_type(window))
+    for r in known.select("position", (F.col("n") % window).cast("int").alias("l")).toArrow().to_batches():
+        left[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    folder, rounds, k = f"{ensure_checkpoint_dir(spark).rstrip('/')}/packing-{uuid.uuid4().hex}", 0, 0
+    written = False
+
+    while (live := int(np.count_nonzero(left))) > docs_per_shard and (tokens := int(left.sum(dtype=np.int64))) >= window:
+        rounds += 1
+        k = max(k, 64, 4 * window * live // tokens)
+        m = min(SEEDS, live, max(docs_per_shard, tokens // window // 2))
+        seeds = np.argsort(-left.astype(np.int32), kind="stable")[:m]
+        at = spark.createDataFrame(pa.table({"position": pa.array(seeds), "q": pa.array(np.arange(m))}))
+        got = known.select("position", "term").join(F.broadcast(at), "position").select("q", "term").toArrow()
+        terms = [np.zeros(0, "<u4")] * m
+        for q, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+            terms[q] = np.frombuffer(t, "<u4")
+        sent = spark.sparkContext.broadcast((terms, np.packbits(left > 0), idf, common, mean, k))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            terms, bits, idf, common, mean, k = sent.value
+            unused, best = np.unpackbits(bits), Best(terms, idf, common, k)
+            for bt in batches:
+                position = bt.column(0).to_numpy()
+                rows = np.flatnonzero(unused[position])
+                for a in range(0, len(rows), 4096):
+                    some = pa.array(rows[a : a + 4096])
+                    term, tf = ([np.frombuffer(x, "<u4") for x in bt.column(c).take(some).to_pylist()] for c in (2, 3))
+                    owner = np.repeat(np.arange(len(some)), [len(t) for t in term])
+                    t, f, n = np.concatenate(term).astype(np.int64), np.concatenate(tf), bt.column(1).take(some).to_numpy() - 1
+                    weight = idf[t] * f * (k1 + 1) / (f + (k1 * (1 - b + b * n / max(mean, 1)))[owner])
+                    best.add(position[rows[a : a + 4096]], owner, t, weight.astype(np.float32))
+            q = [i for i, x in enumerate(best.found) if len(x[0])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q, pa.int64()), pa.array([best.found[i][0] for i in q], pa.list_(pa.float32())), pa.array([best.found[i][1] for i in q], pa.list_(pa.int64()))], names=["q", "s", "c"]
+            )
+
+        hits = known.select("position", "n", "term", "tf").mapInArrow(search, "q long, s array<float>, c array<long>")
+        pairs = hits.select("q", F.arrays_zip((F.transform("s", lambda x: -x)).alias("s"), "c").alias("z")).groupBy("q").agg(F.flatten(F.collect_list("z")).alias("z"))
+        lists = [np.zeros(0, np.int64)] * m
+        found = pairs.select("q", F.slice(F.array_sort("z"), 1, k).getField("c").alias("c")).toArrow()
+        for q, c in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            lists[q] = np.array(c, np.int64)
+        sent.unpersist()
+        rows = np.array(fill(seeds, lists, left, window, k), np.int64).reshape(-1, 5)
+        if 10 * rows[:, 2].sum() < tokens:  # lists ran out
+            k *= 2
+        if len(rows):
+            names = ["position", "before", "length", "k", "offset"]
+            spark.createDataFrame(pa.table(dict(zip(names, rows.T, strict=True)))).write.parquet(f"{folder}/round={rounds}")
+            written = True
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bt in batches:
+            out = []
+            for d, n, c, p in zip(*(x.to_pylist() for x in bt.columns), strict=True):
+                out += [(d, i * window, window, v, n, p << 24 | i, 0, 0) for i, v in enumerate(np.frombuffer(c, "<u4").tolist())]
+            yield table(out)
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 8)], names=names)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bt in batches:
+            out = []
+            for d, n, tail, before, length, k, offset, r in zip(*(x.to_pylist() for x in bt.columns), strict=True):
+                ids = np.frombuffer(tail, "<u4")
+                at = len(ids) - before
+                out.append((d, n - before, length, crc(ids[at : at + length]), n, 1 << 62 | r << 40 | k, offset, r))
+            yield table(out)
+
+    def last(group: pa.Table) -> pa.Table:
+        group = group.sort_by("position")
+        n, rest = group.column("n").to_pylist(), group.column("rest").to_pylist()
+        tails = [np.frombuffer(t, "<u4")[-r:] for t, r in zip(group.column("tail").to_pylist(), rest, strict=True)]
+        texts = [np.repeat(np.frombuffer(t, "<u4"), np.frombuffer(f, "<u4")) for t, f in zip(group.column("term").to_pylist(), group.column("tf").to_pylist(), strict=True)]
+        index, r = Index(texts, k1, b, idf, mean), rounds + 1
+        rows = pack_shard(group.column("doc_id").to_pylist(), n, tails, [np.zeros(0, "<u4")] * len(n), 1 << 62 | r << 40, window, None, k1, b, index)
+        return pa.Table.from_batches([table([(*x, r) for x in rows])])
+
+    out = known.select("doc_id", "n", "crcs", "position").mapInArrow(windows, SCHEMA)
+    if written:
+        done = spark.read.schema("position long, before long, length long, k long, offset long, round long").parquet(folder)
+        cut = known.select("position", "doc_id", "n", "tail").join(done, "position").select("doc_id", "n", "tail", "before", "length", "k", "offset", "round")
+        out = out.unionByName(cut.mapInArrow(pieces, SCHEMA))
+    at = np.flatnonzero(left)
+    if len(at):
+        few = spark.createDataFrame(pa.table({"position": pa.array(at), "rest": pa.array(left[at].astype(np.int64))}))
+        end = known.join(F.broadcast(few), "position").withColumn("_g", F.lit(1))
+        out = out.unionByName(end.groupBy("_g").applyInArrow(last, SCHEMA))
+    return out

@@ -383,3 +383,31 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(kept.collect(), kept.schema)
     pieces = corpus_pipeline.run(spark, SF)
     assert pieces.count() == corpus_pipeline.STAGES[-1][1](spark, kept, SF).count()
+
+
+def test_packing_finds_neighbours_across_the_corpus(spark):
+    """Pairs of copies far apart in the input and among many more documents than one index shard holds meet in one window."""
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)]
+    texts = [" ".join(rng.choice(vocabulary[40 * k : 40 * k + 60], 250)) for k in range(60)]
+    rows = [(i, texts[i % 60]) for i in range(120)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), tokenizer_path("word_bpe_49k.json"), window=2048, docs_per_shard=8).collect()
+    where = defaultdict(set)
+    for p in pieces:
+        where[p.doc_id].add(p.sequence_id)
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    assert sum(bool(where[i] & where[i + 60]) for i in range(60)) >= 54
+
+
+def test_packing_best_is_exact():
+    """Scores and order against brute force over all terms, in several batches."""
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 300, 40)) for _ in range(90)]
+    idf, best = rng.random(300) + 0.1, packing.Best(docs[:20], rng.random(300), np.arange(50), 10)
+    for a in range(0, 90, 30):
+        part = docs[a : a + 30]
+        owner, term = np.repeat(np.arange(30), [len(x) for x in part]), np.concatenate(part)
+        best.add(np.arange(a, a + 30), owner, term, idf[term].astype(np.float32))
+    for q in range(20):
+        scores = np.array([idf[np.intersect1d(docs[q], x)].sum() for x in docs])
+        assert best.found[q][1].tolist() == np.lexsort((np.arange(90), -scores))[:10].tolist()
