@@ -78,10 +78,11 @@ def cross_mapping(df: DataFrame, t: str, x: str, y: str, dim: int = 2, tau: int
     return _one(df.select(F.col(t).alias("t"), x, y), ["t", x, y], fn, "x_to_y double, x_to_y_gain double, y_to_x double, y_to_x_gain double", 20)
 
 
-def hawkes(df: DataFrame, t: str, process: str, decay: float, rounds: int = 50) -> DataFrame:
+def hawkes(df: DataFrame, t: str, process: str, decay: float, rounds: int = 50, by: str | None = None) -> DataFrame:
     """(target, source, branching, baseline) of mutually exciting processes with kernel decay * exp(-decay * age), by EM.
 
-    Only strictly earlier events excite; time starts at the first event and ends at the last.
+    Only strictly earlier events excite; time starts at the first event and ends at the last. With ``by`` one fit per
+    group, under its column; there a group in which no time passes has null values instead of an error.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -90,7 +91,9 @@ def hawkes(df: DataFrame, t: str, process: str, decay: float, rounds: int = 50)
         names = sorted(pdf["p"].unique())
         begin, end = pdf["t"].min(), pdf["t"].max() - pdf["t"].min()
         if not end > 0:
-            raise ValueError("no time passes")
+            if by is None:
+                raise ValueError("no time passes")
+            return pd.DataFrame([(a, b, None, None) for a in names for b in names], columns=["target", "source", "branching", "baseline"])
         times = [np.sort(pdf.loc[pdf["p"] == s, "t"].to_numpy(float) - begin) for s in names]
         exposure = np.array([(1 - np.exp(-decay * (end - e))).sum() for e in times])
         pull = []  # per target: kernel sums of every source at each event
@@ -109,7 +112,11 @@ def hawkes(df: DataFrame, t: str, process: str, decay: float, rounds: int = 50)
                 base[g], branch[g] = (base[g] / total).sum() / end, (share / total[:, None]).sum(axis=0) / np.maximum(exposure, 1e-12)
         return pd.DataFrame([(a, b, branch[i, j], base[i]) for i, a in enumerate(names) for j, b in enumerate(names)], columns=["target", "source", "branching", "baseline"])
 
-    rows = df.select(F.lit(1).alias("_g"), F.col(t).cast("double").alias("t"), F.col(process).cast("string").alias("p"))
+    rows = df.select((F.lit(1) if by is None else F.col(by)).alias("_g"), F.col(t).cast("double").alias("t"), F.col(process).cast("string").alias("p"))
+    if by is not None:
+        kind = rows.schema["_g"].dataType.simpleString()
+        keyed = lambda key, pdf: run(pdf).assign(**{by: key[0]})
+        return rows.groupBy("_g").applyInPandas(keyed, f"{by} {kind}, target string, source string, branching double, baseline double")
     return rows.groupBy("_g").applyInPandas(run, "target string, source string, branching double, baseline double")
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tesserine.operators import cluster, graph, series
+from tesserine import registry
 from tesserine.plans import intent
 
 RNG = np.random.default_rng(5)
@@ -88,3 +89,21 @@ def test_plan_refuses_instead_of_clamping():
     for bad in ({"k": 101}, {"ef": 513}, {"slots": tuple(range(17))}, {"index_size": 10**9}):
         with pytest.raises(ValueError):
             intent.plan(**{"text": "x", "slots": (1,), "k": 100, "index_size": 10, **bad})
+
+
+def test_pairs_of_all_users(spark):
+    """Every view meets every purchase, and every user has a fit."""
+    e = [(r.user_id, r.event_type, r.event_id, int(r.ts.timestamp())) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()]
+    pairs = {(i, k): u - t for _, x, i, t in e if x == "view" for _, y, k, u in e if y == "purchase" and abs(u - t) < 3600}
+    q = registry.queries()
+    assert {(r.ida, r.idb): r.delta for r in q["co_occurrence_all"](spark, "/root/testdata/sf0.001").collect()} == pairs
+    lag = q["lead_lag_all"](spark, "/root/testdata/sf0.001").first()
+    assert (lag.n, lag.lag) == (len(pairs), np.median(list(pairs.values())))
+    times = [u for _, y, _, u in e if y == "purchase"]
+    k = len(pairs) / (sum(x == "view" for _, x, _, _ in e) * len(times) / (max(times) - min(times)))
+    assert abs(q["cross_k_all"](spark, "/root/testdata/sf0.001").first().k - k) < 1e-3
+    fits = q["hawkes"](spark, "/root/testdata/sf0.001").select("user_id", "target", "source").collect()
+    kinds = {}
+    for user, x, _, _ in e:
+        kinds.setdefault(user, set()).add(x)
+    assert {tuple(r) for r in fits} == {(u, a, b) for u, v in kinds.items() for a in v for b in v}
