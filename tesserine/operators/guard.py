@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,29 @@ def entry_hash(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat(prev, F.lit("|"), payload), 256)
 
 
-def verify_chain(ledger: DataFrame) -> DataFrame:
-    """(seq, prev_hash, entry_hash, payload) -> rows at which the chain breaks or a sequence number is missing."""
-    w = Window.orderBy("seq")
+def chain(entries: DataFrame, by: str) -> DataFrame:
+    """(by, seq, payload) -> with prev_hash and entry_hash: one chain per ``by`` in order of seq, from a root of 64 zeros."""
+
+    def run(pdf):
+        pdf, prev, at = pdf.sort_values("seq"), [], "0" * 64
+        out = []
+        for x in pdf["payload"]:
+            prev.append(at)
+            at = hashlib.sha256(f"{at}|{x}".encode()).hexdigest()
+            out.append(at)
+        return pdf.assign(prev_hash=prev, entry_hash=out)
+
+    kinds = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in entries.columns)
+    return entries.groupBy(by).applyInPandas(run, f"{kinds}, prev_hash string, entry_hash string")
+
+
+def verify_chain(ledger: DataFrame, by: str | None = None) -> DataFrame:
+    """(seq, prev_hash, entry_hash, payload) -> rows at which the chain breaks or a sequence number is missing; with ``by`` one chain per value."""
+    keys = [] if by is None else [by]
+    w = Window.partitionBy(*keys).orderBy("seq")
     checked = ledger.withColumns({"before": F.lag("entry_hash").over(w), "gap": F.col("seq") - F.lag("seq").over(w)})
     broken = (F.col("before").isNotNull() & (F.col("before") != F.col("prev_hash"))) | (F.col("entry_hash") != entry_hash(F.col("prev_hash"), F.col("payload")))
-    return checked.select("seq", F.when(F.coalesce(F.col("gap"), F.lit(1)) != 1, "corrupt").when(broken, "broken").otherwise("ok").alias("state")).where("state <> 'ok'")
+    return checked.select(*keys, "seq", F.when(F.coalesce(F.col("gap"), F.lit(1)) != 1, "corrupt").when(broken, "broken").otherwise("ok").alias("state")).where("state <> 'ok'")
 
 
 def merkle_level(level: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
@@ -602,12 +602,30 @@ def _(s, d):
 
 @query("ledger_verify", "SELECT event_id AS seq, 'broken' AS state FROM events WHERE event_id % 97 = 96")
 def _(s, d):
-    e = read(s, d, "events").select(F.col("event_id").alias("seq"), F.sha2(F.concat(F.lit("e"), (F.col("event_id") - 1).cast("string")), 256).alias("p0"))
-    e = e.withColumn("payload", F.concat(F.lit("v"), F.col("seq").cast("string"))).withColumn("prev_hash", F.lit("0" * 64)).withColumn("entry_hash", U.entry_hash(F.col("prev_hash"), F.col("payload")))
-    # One link per seq: every entry names the fixed root, so only tampered payloads break.
-    tampered = e.withColumn("payload", F.when(F.col("seq") % 97 == 96, "x").otherwise(F.col("payload")))
-    own = tampered.withColumn("bad", F.col("entry_hash") != U.entry_hash(F.col("prev_hash"), F.col("payload")))
-    return own.where("bad").select("seq", F.lit("broken").alias("state"))
+    e = _ledger(s, d).withColumn("payload", F.when(F.col("event_id") % 97 == 96, "x").otherwise(F.col("payload")))
+    return U.verify_chain(e, "user_id").join(e, ["user_id", "seq"]).select(F.col("event_id").alias("seq"), "state")
+
+
+def _ledger(s, d):
+    """One chain per user over the events in order of id."""
+    e = read(s, d, "events").select("user_id", "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("seq"))
+    return U.chain(e.withColumn("payload", F.concat(F.lit("v"), F.col("event_id").cast("string"))), "user_id")
+
+
+_ROOT, _FALSE = "repeat('0', 64)", "repeat('f', 64)"
+
+
+@query("ledger_faults", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, 'v' || event_id AS payload FROM events),
+c AS (SELECT *, {_ROOT} AS prev, sha256({_ROOT} || '|' || payload) AS h FROM e WHERE seq = 0 UNION ALL SELECT e.*, c.h, sha256(c.h || '|' || e.payload) FROM e JOIN c ON e.user_id = c.user_id AND e.seq = c.seq + 1),
+f AS (SELECT user_id, seq, CASE WHEN event_id % 97 = 96 THEN 'x' ELSE payload END AS payload, CASE WHEN event_id % 89 = 88 THEN {_FALSE} ELSE prev END AS prev, CASE WHEN event_id % 89 = 88 THEN sha256({_FALSE} || '|' || payload) ELSE h END AS h FROM c WHERE event_id % 83 <> 82),
+g AS (SELECT *, lag(h) OVER w AS before, seq - lag(seq) OVER w AS gap FROM f WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, seq, CASE WHEN gap <> 1 THEN 'corrupt' ELSE 'broken' END AS state FROM g WHERE gap <> 1 OR before <> prev OR h <> sha256(prev || '|' || payload)""")
+def _(s, d):
+    # Planted: changed payloads, links to a false entry (with a hash of their own that fits), and missing entries.
+    link = F.col("event_id") % 89 == 88
+    e = _ledger(s, d).where("event_id % 83 <> 82").withColumn("prev_hash", F.when(link, "f" * 64).otherwise(F.col("prev_hash")))
+    e = e.withColumn("entry_hash", F.when(link, U.entry_hash(F.col("prev_hash"), F.col("payload"))).otherwise(F.col("entry_hash")))
+    return U.verify_chain(e.withColumn("payload", F.when(F.col("event_id") % 97 == 96, "x").otherwise(F.col("payload"))), "user_id")
 
 
 def _merkle_sql(n: int) -> str:

@@ -107,3 +107,14 @@ def test_pairs_of_all_users(spark):
     for user, x, _, _ in e:
         kinds.setdefault(user, set()).add(x)
     assert {tuple(r) for r in fits} == {(u, a, b) for u, v in kinds.items() for a in v for b in v}
+
+
+def test_registered_searches_answer_every_query_row(spark):
+    sf, q = "/root/testdata/sf0.001", registry.queries()
+    wanted = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    near, cells = ({}, {})
+    for name, into in (("knn_cosine_all", near), ("cell_search", cells)):
+        for r in q[name](spark, sf).collect():
+            into.setdefault(r.query_id, set()).add(r.cx_id)
+        assert set(into) == wanted and all(len(v) == 20 for v in into.values())
+    assert sum(len(near[i] & cells[i]) for i in wanted) >= 0.9 * 20 * len(wanted)

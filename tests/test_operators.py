@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tesserine import registry
 from tesserine.functions import predicates as P
 from tesserine.functions import vectors as V
 from tesserine.operators import estimators, graph, guard, layers, recurrence
@@ -142,3 +143,27 @@ def test_ingest_is_idempotent(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.read(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_ledger_queries_find_planted_faults(spark, monkeypatch):
+    """Payload, link and gap faults in real chains, all through verify_chain."""
+    calls, real = [], guard.verify_chain
+    monkeypatch.setattr(guard, "verify_chain", lambda *a: calls.append(a) or real(*a))
+    sf = "/root/testdata/sf0.001"
+    assert {r.seq % 97 for r in registry.queries()["ledger_verify"](spark, sf).collect()} == {96}
+    got = {(r.user_id, r.seq): r.state for r in registry.queries()["ledger_faults"](spark, sf).collect()}
+    assert len(calls) == 2
+    users, expected = {}, {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id").orderBy("event_id").collect():
+        users.setdefault(r.user_id, []).append(r.event_id)
+    for user, ids in users.items():
+        before = None
+        for seq, i in enumerate(ids):
+            if i % 83 == 82:
+                continue
+            if before is not None and seq - before != 1:
+                expected[user, seq] = "corrupt"
+            elif i % 97 == 96 or before is not None and (i % 89 == 88 or ids[before] % 89 == 88) or i % 89 == 88 and i % 97 == 96:
+                expected[user, seq] = "broken"
+            before = seq
+    assert got == expected and set(got.values()) == {"broken", "corrupt"}
