@@ -134,3 +134,13 @@ class CellIndex:
         far = np.linalg.norm(np.stack(self.model.clusterCenters()) - q, axis=1)
         near = [int(c) for c in np.argsort(far, kind="stable")[:probes]]
         return search.knn((self.rows if rows is None else rows).where(F.col("cell").isin(near)), query, k, self.id_col, self.vec_col)
+
+    def search_many(self, queries: DataFrame, k: int, probes: int, rows: DataFrame | None = None) -> DataFrame:
+        """(query_id, cx_id, score) of the best k rows for every row of ``queries``, each in its own ``probes`` nearest cells."""
+        centers = np.stack(self.model.clusterCenters())
+
+        def near(q: np.ndarray) -> np.ndarray:
+            far = np.stack([np.linalg.norm(centers - x, axis=1) for x in q])
+            return np.argsort(far, axis=1, kind="stable")[:, :probes]
+
+        return search.knn_many(self.rows if rows is None else rows, queries, k, self.id_col, self.vec_col, near=near)

@@ -185,6 +185,12 @@ def _(s, d):
     return S.knn(read(s, d, "embeddings"), QUERY, 20).select("cx_id", r6("score").alias("score"))
 
 
+@query("knn_cosine_all", f"SELECT query_id, cx_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS cx_id, {_cos_sql('q.embedding::DOUBLE[]', 'e.embedding::DOUBLE[]')} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_cos_sql('q.embedding::DOUBLE[]', 'e.embedding::DOUBLE[]')} DESC, e.vec_id) AS k FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE k <= 20")
+def _(s, d):
+    e = read(s, d, "embeddings")
+    return S.knn_many(e, e.where("vec_id % 20 = 0"), 20).withColumn("score", r6("score"))
+
+
 def _slots(s, d):
     e = read(s, d, "embeddings")
     parts = F.array(*[F.struct(F.lit(k).alias("slot"), r6(V.cosine(V.slot(F.col("embedding"), k, 16), V.literal(QUERY[16 * k : 16 * k + 16]))).alias("score")) for k in range(4)])
@@ -729,7 +735,12 @@ query("cross_mapping")(lambda s, d: H.cross_mapping(_hourly(s, d), "t", "n", "v"
 query("mic")(lambda s, d: H.mic(_hourly(s, d), "n", "v"))
 query("bootstrap_mean")(lambda s, d: H.bootstrap_mean(_hourly(s, d), "v"))
 query("density_clusters")(lambda s, d: C.density_clusters(read(s, d, "embeddings")))
-query("cell_search")(lambda s, d: C.CellIndex(read(s, d, "embeddings"), 16).search(QUERY, 20, 12).select("cx_id", r6("score").alias("score")))
+
+
+@query("cell_search")
+def _(s, d):
+    e = read(s, d, "embeddings")
+    return C.CellIndex(e, 16).search_many(e.where("vec_id % 20 = 0"), 20, 12).withColumn("score", r6("score"))
 
 
 @query("hawkes")
