@@ -4,7 +4,8 @@ MATCH (a:L {k: "v"})-[:T|U*1..3]->(b), OPTIONAL MATCH, WHERE with AND/OR/NOT,
 comparisons, CONTAINS, STARTS WITH, ENDS WITH, =~, IN, IS [NOT] NULL and
 EXISTS { (a)-[:T]->() }, RETURN [DISTINCT] with aggregates and aliases, ORDER BY,
 SKIP, LIMIT, UNION [ALL]. Patterns become joins; variable lengths become one union
-of joins per length up to ``MAX_HOPS``. Write clauses are refused.
+of joins per length up to ``MAX_HOPS``; a larger bound, a larger LIMIT than ``MAX_ROWS`` and pairs
+of nodes that only longer paths join are refused. Write clauses are refused.
 """
 
 from __future__ import annotations
@@ -44,14 +45,24 @@ class Cypher:
         m = re.fullmatch(r"\*(\d+)?(\.\.)?(\d+)?", span)
         lo = int(m[1] or 1)
         hi = int(m[3]) if m[3] else MAX_HOPS if m[2] or not m[1] else lo
+        endless = not m[3] and bool(m[2] or not m[1])
+        if max(lo, hi) > MAX_HOPS:
+            raise ValueError(f"more than {MAX_HOPS} hops")
         step, out = e.distinct(), []
         cur = step
-        for h in range(1, min(hi, MAX_HOPS) + 1):
+        longer = lambda c: c.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
+        for h in range(1, hi + 1):
             if h > 1:
-                cur = cur.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
+                cur = longer(cur)
             if h >= lo:
                 out.append(cur)
-        return reduce(DataFrame.unionByName, out).distinct()
+        if not out:
+            return step.limit(0)
+        found = reduce(DataFrame.unionByName, out).distinct()
+        # Pairs of walks of one more hop that are known already add nothing, nor do their continuations, if all are known.
+        if endless and not longer(cur).join(found, ["src", "dst"], "left_anti").isEmpty():
+            raise RuntimeError(f"paths go on after {MAX_HOPS} hops")
+        return found
 
     def _pattern(self, text: str, rows: DataFrame | None, optional: bool, bound: list[str]) -> DataFrame:
         parts = re.match(_NODE, text)
@@ -165,7 +176,9 @@ class Cypher:
             out = out.orderBy(*[F.col(o[1]).desc() if (o[2] or "").strip().upper() == "DESC" else F.col(o[1]) for o in order])
         if m[4]:
             out = out.offset(int(m[4]))
-        return out.limit(min(int(m[5]), MAX_ROWS)) if m[5] else out
+        if m[5] and int(m[5]) > MAX_ROWS:
+            raise ValueError(f"LIMIT above {MAX_ROWS}")
+        return out.limit(int(m[5])) if m[5] else out
 
     def run(self, query: str) -> DataFrame:
         if re.search(r"\b(CREATE|MERGE|DELETE|SET|REMOVE|DETACH)\b", query):

@@ -167,3 +167,21 @@ def test_ledger_queries_find_planted_faults(spark, monkeypatch):
                 expected[user, seq] = "broken"
             before = seq
     assert got == expected and set(got.values()) == {"broken", "corrupt"}
+
+
+def test_cypher_caps_raise(spark):
+    from tesserine.plans.cypher import MAX_ROWS
+
+    n = spark.createDataFrame([(f"{i}", "A", f"x{i}") for i in range(14)], "id string, label string, name string")
+    path = spark.createDataFrame([(f"{i}", f"{i + 1}", "T") for i in range(13)], "src string, dst string, type string")
+    c = Cypher(n, path)
+    for span in ("*", "*2.."):
+        with pytest.raises(RuntimeError, match="paths go on"):
+            c.run(f"MATCH (a)-[:T{span}]->(b) RETURN b.name AS n")
+    for span in ("*1..20", "*12"):
+        with pytest.raises(ValueError, match="hops"):
+            c.run(f"MATCH (a)-[:T{span}]->(b) RETURN b.name AS n")
+    with pytest.raises(ValueError, match="LIMIT"):
+        c.run(f"MATCH (a)-[:T]->(b) RETURN b.name AS n LIMIT {MAX_ROWS + 1}")
+    short = Cypher(n, path.where("int(src) < 3"))
+    assert short.run("MATCH (a)-[:T*]->(b) RETURN a.name AS a, b.name AS b").count() == 6
