@@ -48,13 +48,28 @@ def scored_traverse(edges: DataFrame, start: str, hops: int = 3, attenuation: fl
     return found.groupBy("node").agg(F.max("score").alias("score")).where(F.col("node") != start)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """Jacobi rounds of the weighted neighbour mean on the symmetric graph; seeds (node, label) keep their label."""
+def _moved(old: DataFrame, new: DataFrame) -> float:
+    """Largest change of a node's value."""
+    return old.select("node", F.col("v").alias("w")).join(new, "node").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] or 0.0
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, tol: float | None = None) -> DataFrame:
+    """Jacobi rounds of the weighted neighbour mean on the symmetric graph; seeds (node, label) keep their label.
+
+    With ``tol`` rounds go on until no value changes by more, and ``rounds`` without that raise.
+    """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = both if tol is None else both.localCheckpoint()
     value = both.select(F.col("src").alias("node")).distinct().join(seeds, "node", "left").select("node", F.coalesce("label", F.lit(0.0)).alias("v"))
     for _ in range(rounds):
         mean = both.join(value, both.dst == value.node).groupBy(F.col("src").alias("node")).agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("m"))
-        value = value.select("node").join(mean, "node", "left").join(seeds, "node", "left").select("node", F.coalesce("label", "m", F.lit(0.0)).alias("v"))
+        old, value = value, value.select("node").join(mean, "node", "left").join(seeds, "node", "left").select("node", F.coalesce("label", "m", F.lit(0.0)).alias("v"))
+        if tol is not None:
+            value = value.localCheckpoint()
+            if _moved(old, value) <= tol:
+                return value
+    if tol is not None:
+        raise RuntimeError(f"not converged after {rounds} rounds")
     return value
 
 
@@ -138,15 +153,25 @@ def kernel(edges: DataFrame, anchors: list[str], fraction: float = 0.10) -> Data
     return ranked.where(F.col("rank") <= F.greatest(F.ceil(F.col("n") * fraction), F.lit(1))).select("node", "score", "rank")
 
 
-def centrality(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Eigenvector centrality of the symmetric graph, largest value 1: power rounds of A + I, which bipartite graphs cannot make swing."""
+def centrality(edges: DataFrame, rounds: int = 20, tol: float | None = None) -> DataFrame:
+    """Eigenvector centrality of the symmetric graph, largest value 1: power rounds of A + I, which bipartite graphs cannot make swing.
+
+    With ``tol`` rounds go on until no value changes by more, and ``rounds`` without that raise.
+    """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = both if tol is None else both.localCheckpoint()
     value = both.select(F.col("src").alias("node")).distinct().withColumn("v", F.lit(1.0))
     for _ in range(rounds):
         got = both.join(value, both.dst == value.node).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("v")).alias("a"))
-        value = value.join(got, "node").withColumn("v", F.col("v") + F.col("a"))
+        old, value = value, value.join(got, "node").withColumn("v", F.col("v") + F.col("a"))
         value = value.select("node", (F.col("v") / F.max("v").over(Window.partitionBy())).alias("v"))
+        if tol is not None:
+            value = value.localCheckpoint()
+            if _moved(old, value) <= tol:
+                return value
+    if tol is not None:
+        raise RuntimeError(f"not converged after {rounds} rounds")
     return value
 
 

@@ -817,3 +817,14 @@ def _(s, d):
 @query("graph_feedback_vertices")
 def _(s, d):
     return s.createDataFrame([(v,) for v in G.feedback_vertices(_edges(s, d))], "node string")
+
+
+# The fixed rounds above are those of their SQL; these go on to a tolerance or raise.
+@query("graph_label_propagation_converged")
+def _(s, d):
+    return G.propagate(_edges(s, d), s.createDataFrame([("r0", 1.0), ("r1", -1.0)], "node string, label double"), 2000, 1e-4)
+
+
+@query("graph_centrality_converged")
+def _(s, d):
+    return G.centrality(_edges(s, d), 2000, 1e-4)

@@ -118,3 +118,28 @@ def test_registered_searches_answer_every_query_row(spark):
             into.setdefault(r.query_id, set()).add(r.cx_id)
         assert set(into) == wanted and all(len(v) == 20 for v in into.values())
     assert sum(len(near[i] & cells[i]) for i in wanted) >= 0.9 * 20 * len(wanted)
+
+
+def test_rounds_go_on_to_convergence(spark):
+    """A path of 5 edges, longer than 4 rounds reach; and brute force for the registered queries."""
+    path = spark.createDataFrame([(f"p{i}", f"p{i + 1}", 1.0) for i in range(5)], "src string, dst string, weight double")
+    ends = spark.createDataFrame([("p0", 1.0), ("p5", 0.0)], "node string, label double")
+    with pytest.raises(RuntimeError, match="not converged"):
+        graph.propagate(path, ends, 4, 1e-3)
+    with pytest.raises(RuntimeError, match="not converged"):
+        graph.centrality(path, 2, 1e-3)
+    got = {r.node: r.v for r in graph.propagate(path, ends, 100, 1e-3).collect()}
+    assert all(abs(got[f"p{i}"] - (1 - i / 5)) < 0.02 for i in range(6))
+    sf = "/root/testdata/sf0.001"
+    e = registry._edges(spark, sf).collect()
+    names = sorted({r.src for r in e} | {r.dst for r in e})
+    a = np.zeros((len(names), len(names)))
+    for r in e:
+        a[names.index(r.src), names.index(r.dst)] += r.weight
+        a[names.index(r.dst), names.index(r.src)] += r.weight
+    v = np.zeros(len(names))
+    for _ in range(3000):
+        v = a @ v / a.sum(axis=1)
+        v[names.index("r0")], v[names.index("r1")] = 1, -1
+    got = {r.node: r.v for r in registry.queries()["graph_label_propagation_converged"](spark, sf).collect()}
+    assert all(abs(got[n] - x) < 1e-2 for n, x in zip(names, v))
