@@ -1,4 +1,4 @@
-"""Model layers: records, key-value, time series, ledgered versions, exact and slot dedup."""
+"""Model layers: records, key-value, time series, ledgered versions, exact dedup."""
 
 from __future__ import annotations
 
