@@ -1,44 +1,56 @@
-"""Lexical retrieval packing with BM25 over the whole corpus.
+"""Lexical retrieval packing with a sharded BM25 inverted index.
 
 Documents become token ids plus an end id. Every whole window of a document is a
-sequence of its own; what remains (less than a window) is packed in rounds. A round
-takes the longest unused remainders as seeds, scores every unused document of the
-corpus against each with BM25 (whole texts on both sides; document frequencies and
-mean length of the whole corpus), and fills the seeds' windows in order of score
-with what is still unused. A piece that does not fit is cut at the window's end and
-its rest stays unused. A seed whose list runs out before its window is full waits
-for a later round, unless the list holds all documents that share a term with it:
-then the longest of the next seeds follow. At most ``docs_per_shard`` documents are
-left for one task, which has them all in one index; every window but its last is
-full, and the last is split into sequences whose lengths are powers of two, which
-need no padding.
-
-Every seed meets every unused document, so the work grows with the square of the
-input. The driver holds two bytes per document: the tokens it has left.
-
-Cases: null or empty text gives one piece with the end id alone; repeated rows are
-packed as often as they occur; ties of score go to the smaller position in the
-input; an empty table gives an empty result.
+sequence of its own; what remains (less than a window) is packed in rounds:
+
+1. Document frequencies, document count and mean length come from the whole corpus
+   (one number per vocabulary entry reaches the driver).
+2. A document is routed by its content: its heaviest BM25 terms, in order, are a sort
+   key, so that documents that share them are neighbours in a distributed range
+   sort. Along that order shards are cut by tokens; each is one inverted index over
+   whole texts. A crowded term is cut further by the next terms, equal documents by
+   a hash of their rows, so no shard and no partition depends on one hot key.
+3. In a shard the longest unused document is the seed. All its terms are scored
+   against all unused documents of the shard, which fill its window in order of
+   score; the last one is cut at the window's end and its rest stays unused.
+4. In all rounds but the last only documents count that reach ``near`` of the seed's
+   score with itself. A seed that cannot fill its window with them waits, and the
+   next round routes what is left by other terms (the smallest hashes of the heaviest
+   terms). The last round takes neighbours in order of score without that bound;
+   what a shard leaves goes on to the next shard of its partition, and the end of a
+   partition is split into sequences whose lengths are powers of two, which need no
+   padding.
+
+A neighbour is found if it shares a shard with its seed in one of the rounds; work and
+shuffle are in proportion to the input, the memory of a task is bounded by
+``shard_tokens`` and ``shard_rows``.
+
+Cases: null or empty text gives one piece with the end id alone; rows are packed as
+rows, so that null and repeated ids and repeated rows keep their pieces apart and each
+is packed as often as it occurs; a very long text gives its whole windows, and at most
+one count per vocabulary entry goes into an index; ties of score go to the row that
+comes first in the sort; an empty table gives an empty result; other columns of the
+input are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, ensure_checkpoint_dir, narrow, record_batch
+from .common import GOLDEN, cut_lineage, mix64, narrow, record_batch
 from .token_counts import byte_alphabet
 
-#: Seeds of one round, terms scored by matrix products, seeds scored at once.
-SEEDS, COMMON, AT_ONCE = 16_384, 512, 256
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long"
+#: Terms of a routing key, and the heaviest terms it is drawn from in a round of hashes.
+KEY_TERMS, HEAVIEST = 4, 8
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, round long"
 #: Texts of these characters alone take the short way below: printable ASCII, line feeds and Latin-1 letters, all in composed form.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 # The pre-tokenizer's pattern over lower-cased characters of that range.
@@ -109,189 +121,180 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-class Index:
-    """BM25 inverted index over the given token ids; document frequencies and mean length are theirs unless given."""
-
-    def __init__(self, tails: list[np.ndarray], k1: float, b: float, idf: np.ndarray | None = None, mean: float | None = None) -> None:
-        n = len(tails)
-        size = np.array([len(t) for t in tails], np.int64)
-        doc = np.repeat(np.arange(n), size)
-        term = np.concatenate(tails).astype(np.int64) if n else np.zeros(0, np.int64)
-        pair, tf = np.unique(term * max(n, 1) + doc, return_counts=True)
-        self.doc, term = pair % max(n, 1), pair // max(n, 1)
-        df = np.bincount(term) if len(term) else np.zeros(1, np.int64)
-        idf = np.log((n - df + 0.5) / (df + 0.5) + 1) if idf is None else idf
-        norm = k1 * (1 - b + b * size / max(size.mean() if mean is None else mean, 1)) if n else np.zeros(0)
-        self.impact = idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        order = np.lexsort((term, -self.impact, self.doc))
-        self.by_doc, self.doc_start = term[order], np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
-        self.n = n
+def postings(tails: list[bytes], extras: list[bytes], kind: np.dtype, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, term, count) of each row's whole text, by owner and term; extras hold pairs (term, count) of its whole windows."""
+    ids = np.frombuffer(b"".join(tails), kind)
+    size = np.array([len(t) for t in tails], np.int64) // kind.itemsize
+    key = np.repeat(np.arange(len(tails), dtype=np.uint64) * np.uint64(vocabulary), size) + ids
+    key.sort()
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    key, count = key[cut], np.diff(np.append(cut, len(key)))
+    if any(extras):
+        pairs = np.frombuffer(b"".join(extras), "<u4").reshape(-1, 2)
+        size = np.array([len(e) for e in extras], np.int64) // 8
+        more = np.repeat(np.arange(len(extras), dtype=np.uint64) * np.uint64(vocabulary), size) + pairs[:, 0]
+        key, back = np.unique(np.concatenate([key, more]), return_inverse=True)
+        count = np.bincount(back, np.concatenate([count, pairs[:, 1]]), len(key)).astype(np.int64)
+    return (key // np.uint64(vocabulary)).astype(np.int64), (key % np.uint64(vocabulary)).astype(np.int64), count
 
-    def search(self, seed: int, terms: int | None) -> np.ndarray:
-        """Scores of all documents of the index for the seed's heaviest terms; None: for all."""
-        scores = np.zeros(self.n)
-        for t in self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]][:terms]:
-            a, z = self.start[t], self.start[t + 1]
-            scores[self.doc[a:z]] += self.impact[a:z]
-        return scores
-
-
-def pack_shard(ids: list[int], sizes: list[int], tails: list[np.ndarray], crcs: list[np.ndarray], first: int, window: int, terms: int | None, k1: float, b: float, index: Index | None = None) -> list[tuple]:
-    """Pieces of one shard as tuples in the order of SCHEMA without the shard."""
-    out, seq = [], first
-    for d, n, full in zip(ids, sizes, crcs, strict=True):
-        for i, c in enumerate(full.tolist()):
-            out.append((d, i * window, window, c, n, seq, 0))
-            seq += 1
-    index = index or Index(tails, k1, b)
-    base = [n - len(t) for n, t in zip(sizes, tails, strict=True)]
-    at = np.zeros(len(tails), np.int64)
-    left = np.array([len(t) for t in tails], np.int64)
-    seeds = sorted(range(len(tails)), key=lambda i: -left[i])
-    next_seed = 0
-
-    def piece(i: int, n: int, offset: int) -> tuple:
-        a = int(at[i])
-        row = (ids[i], base[i] + a, n, crc(tails[i][a : a + n]), sizes[i], seq, offset)
-        at[i] += n
-        left[i] -= n
-        return row
-
-    while True:
-        while next_seed < len(seeds) and not left[seeds[next_seed]]:
-            next_seed += 1
-        if next_seed == len(seeds):
-            return out
-        rest = int(left.sum())
-        if rest < window:  # the last tokens of the shard: powers of two
-            todo = [i for i in seeds if left[i]]
-            for bit in range(window.bit_length() - 1, -1, -1):
-                if rest >> bit & 1:
-                    filled = 0
-                    while filled < 1 << bit:
-                        n = min(int(left[todo[0]]), (1 << bit) - filled)
-                        out.append(piece(todo[0], n, filled))
-                        filled += n
-                        if not left[todo[0]]:
-                            todo.pop(0)
-                    seq += 1
-            return out
-        seed, filled = seeds[next_seed], int(left[seeds[next_seed]])
-        out.append(piece(seed, filled, 0))
-        if filled < window:
-            scores = index.search(seed, terms)
-            scores[left == 0] = 0
-            found = np.flatnonzero(scores)
-            found = found[np.argsort(-scores[found], kind="stable")]
-            partial = None
-            for i in found.tolist():
-                n = int(left[i])
-                if n <= window - filled:
-                    out.append(piece(i, n, filled))
-                    filled += n
-                elif partial is None:
-                    partial = i
-                if filled == window:
-                    break
-            if filled < window and partial is not None:
-                n = window - filled
-                out.append(piece(partial, n, filled))
-                filled += n
-            k = next_seed
-            while filled < window:  # no neighbour is left: the longest of the others
-                while not left[seeds[k]]:
-                    k += 1
-                n = min(int(left[seeds[k]]), window - filled)
-                out.append(piece(seeds[k], n, filled))
-                filled += n
-        seq += 1
 
+class Scale:
+    """Corpus statistics: inverse document frequencies, mean length and the two BM25 parameters."""
+
+    def __init__(self, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> None:
+        self.idf, self.mean, self.k1, self.b = idf, max(mean, 1.0), k1, b
+
+    def impact(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        norm = self.k1 * (1 - self.b + self.b * length / self.mean)
+        return self.idf[term] * count * (self.k1 + 1) / (count + norm[owner])
 
-class Best:
-    """The best k documents of each seed; documents come in batches, in order of position."""
 
-    def __init__(self, seeds: list[np.ndarray], idf: np.ndarray, common: np.ndarray, k: int) -> None:
-        self.idf, self.k = idf, k
-        self.column = np.full(len(idf), -1)
+class Index:
+    """Inverted index of one shard: 32-bit postings by term, and a table of the terms that most of its rows have."""
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int, often: float = 1 / 16) -> None:
+        self.n = n
+        df = np.bincount(term, minlength=1)
+        common = np.flatnonzero(df > max(often * n, 8))
+        self.column = np.full(len(df), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(seeds), len(common)), bool)
-        self.rare = []
-        for i, t in enumerate(seeds):
-            c = self.column[t]
-            self.dense[i, c[c >= 0]] = True
-            self.rare.append(t[c < 0].astype(np.int64))
-        self.found = [(np.zeros(0, np.float32), np.zeros(0, np.int64)) for _ in seeds]
-
-    def add(self, position: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        """One batch: ``owner`` is the row in ``position``, ``weight`` the term's part of a score."""
-        n, column = len(position), self.column[term]
-        often = column >= 0
-        table = np.zeros((self.dense.shape[1], n), np.float32)
-        table[column[often], owner[often]] = weight[often]
-        order = np.argsort(term[~often], kind="stable")
-        doc, w = owner[~often][order], weight[~often][order]
-        start = np.concatenate([[0], np.cumsum(np.bincount(term[~often], minlength=len(self.idf)))])
-        for a in range(0, len(self.rare), AT_ONCE):
-            part = self.rare[a : a + AT_ONCE]
-            scores = self.dense[a : a + AT_ONCE].astype(np.float32) @ table
-            t, q = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
-            size = start[t + 1] - start[t]
-            at = np.arange(size.sum()) + np.repeat(start[t] - np.cumsum(size) + size, size)
-            np.add.at(scores.reshape(-1), np.repeat(q, size) * n + doc[at], w[at])
-            least = np.partition(scores, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.zeros(len(part))
-            for i, (s, low) in enumerate(zip(scores, least, strict=True)):
-                had, ids = self.found[a + i]
-                new = np.flatnonzero((s >= low) & (s > (had[-1] if len(had) == self.k else 0)))
-                if len(new):
-                    had, ids = np.append(had, s[new]), np.append(ids, position[new])
-                    keep = np.lexsort((ids, -had))[: self.k]
-                    self.found[a + i] = had[keep], ids[keep]
-
-
-def fill(seeds: np.ndarray, lists: list[np.ndarray], left: np.ndarray, window: int, k: int) -> list[tuple[int, int, int, int, int]]:
-    """(position, tokens left before, length, window, offset) of the windows that become full; ``left`` is updated."""
-    out, done, rows, filled = [], 0, [], 0
-
-    def take(i: int) -> None:
-        nonlocal filled
-        n = min(int(left[i]), window - filled)
-        rows.append((i, int(left[i]), n, done, filled))
-        left[i] -= n
-        filled += n
-
-    def undo() -> None:
-        for i, _, n, _, _ in rows:
-            left[i] += n
-
-    for seed, near in zip(seeds.tolist(), lists, strict=True):
-        # An open window is one whose seed has no neighbours left in the whole corpus.
-        while left[seed]:
-            was_open = filled > 0
-            take(seed)
-            if not was_open:
-                for i in near.tolist():
-                    if filled == window:
-                        break
-                    if left[i]:
-                        take(i)
-            if filled == window:
-                out += rows
-                done += 1
-            elif len(near) < k or was_open:
-                break
-            else:
-                undo()
-            full = filled == window
+        at = self.column[term]
+        self.table = np.zeros((len(common), n), np.float32)
+        self.table[at[at >= 0], owner[at >= 0]] = impact[at >= 0]
+        self.of = term.astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+        rare = at < 0
+        order = np.argsort(term[rare], kind="stable")
+        self.doc, self.weight = owner[rare][order].astype(np.int32), impact[rare][order].astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[rare], minlength=len(df)))])
+
+    def search(self, seeds: np.ndarray) -> np.ndarray:
+        """Scores of all rows (columns) for all terms of each seed (rows)."""
+        scores = (self.table[:, seeds] > 0).astype(np.float32).T @ self.table
+        length = self.begin[seeds + 1] - self.begin[seeds]
+        t, q = self.of[_ranges(self.begin[seeds], length)], np.repeat(np.arange(len(seeds)), length)
+        t, q = t[self.column[t] < 0], q[self.column[t] < 0]
+        size = self.start[t + 1] - self.start[t]
+        x = _ranges(self.start[t], size)
+        return scores + np.bincount(np.repeat(q, size) * self.n + self.doc[x], self.weight[x], len(seeds) * self.n).reshape(-1, self.n)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def fill_windows(index: Index, left: np.ndarray, window: int, near: float | None) -> list[list[tuple[int, int]]]:
+    """Full windows as lists of (row, length); ``left`` (unused tokens of each row) is updated.
+
+    The longest unused row is the seed. With ``near`` only rows that reach that share of the
+    seed's score with itself follow it; without, all rows by score, and those that share
+    nothing with it last.
+    """
+    out: list[list[tuple[int, int]]] = []
+    seeds, block = np.argsort(-left, kind="stable"), 256 if near is not None else 8
+    while len(seeds := seeds[left[seeds] > 0]) and left.sum() >= window:
+        some, seeds = seeds[:block], seeds[block:]
+        scores = index.search(some)
+        if near is None:
+            bound = np.zeros(len(some))
+            full = np.ones(len(some), bool)
+        else:
+            bound = near * scores[np.arange(len(some)), some]
+            full = (scores >= bound[:, None]) @ left >= window  # others have too few neighbours now, and later still fewer
+        for q in np.flatnonzero(full).tolist():
+            seed, score = int(some[q]), scores[q]
+            if not left[seed]:
+                continue
+            found = np.flatnonzero((left > 0) & (score >= bound[q]))
+            found = found[found != seed]
+            if len(found) > window:  # no window holds more rows
+                found = np.sort(found[np.argpartition(-score[found], window)[:window]])
+            found = found[np.argsort(-score[found], kind="stable")]
+            upto = np.cumsum(left[found]) + left[seed]
+            if (upto[-1] if len(found) else left[seed]) < window:
+                continue
+            k = int(np.searchsorted(upto, window))
+            rows = [(seed, int(left[seed])), *((i, int(left[i])) for i in found[:k].tolist())]
+            if (rest := window - sum(n for _, n in rows)) > 0:
+                rows.append((int(found[k]), rest))
+            for i, n in rows:
+                left[i] -= n
+            out.append(rows)
+    return out
+
+
+def split_rest(left: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
+    """What is left (less than a window) as sequences whose lengths are powers of two; ``left`` is updated."""
+    out, rest = [], int(left.sum())
+    todo = np.flatnonzero(left).tolist()
+    for bit in range(window.bit_length() - 1, -1, -1):
+        if rest >> bit & 1:
             rows, filled = [], 0
-            if not full:
-                break
-    undo()
+            while filled < 1 << bit:
+                n = min(int(left[todo[0]]), (1 << bit) - filled)
+                rows.append((todo[0], n))
+                left[todo[0]] -= n
+                filled += n
+                if not left[todo[0]]:
+                    todo.pop(0)
+            out.append(rows)
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, docs_per_shard: int = 768, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; see SCHEMA, whose ``shard`` is the round (0: whole windows). ``window`` is a power of two."""
+class Shard:
+    """Rows in the order of the sort, until a bound of tokens."""
+
+    def __init__(self, kind: np.dtype, scale: Scale, window: int) -> None:
+        self.kind, self.scale, self.window = kind, scale, window
+        self.rows: list[tuple] = []
+        self.weight = 0
+
+    def add(self, doc_id: int | None, n: int, tail: bytes, extra: bytes, left: int) -> None:
+        self.rows.append((doc_id, n, tail, extra, left))
+        self.weight += len(tail) // self.kind.itemsize + len(extra) // 8
+
+    def pack(self, near: float | None, end: bool) -> tuple[list[list[tuple]], list[tuple]]:
+        """(sequences as lists of pieces (doc_id, start, length, crc, n), rows that are left); the shard is empty afterwards."""
+        rows, self.rows, self.weight = self.rows, [], 0
+        left = np.array([r[4] for r in rows], np.int64)
+        tails, extras = [r[2] for r in rows], [r[3] for r in rows]
+        windows = []
+        if near is not None or left.sum() >= self.window:
+            owner, term, count = postings(tails, extras, self.kind, len(self.scale.idf))
+            impact = self.scale.impact(owner, term, count, np.array([r[1] for r in rows], float))
+            windows = fill_windows(Index(owner, term, impact, len(rows)), left, self.window, near)
+        if end:
+            windows += split_rest(left, self.window)
+        at = np.array([r[4] for r in rows], np.int64)  # tokens not yet cut off
+        out = []
+        for w in windows:
+            cut = []
+            for i, n in w:
+                doc_id, size, tail = rows[i][:3]
+                ids = np.frombuffer(tail, self.kind)
+                a = len(ids) - int(at[i])
+                cut.append((doc_id, size - int(at[i]), n, crc(ids[a : a + n]), size))
+                at[i] -= n
+            out.append(cut)
+        return out, [(*rows[i][:4], int(left[i])) for i in np.flatnonzero(left).tolist()]
+
+
+def portions(bt: pa.RecordBatch, kind: np.dtype, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``limit`` tokens in the column ``tail`` (or one row)."""
+    size = np.cumsum(pa.compute.binary_length(bt.column(bt.schema.get_field_index("tail"))).to_numpy(zero_copy_only=False)) // kind.itemsize
+    a = 0
+    while a < bt.num_rows:
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + limit, side="right")))
+        yield bt.slice(a, z - a)
+        a = z
+
+
+def _batch(names: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    return record_batch(names, list(zip(*rows, strict=True)) if rows else [[]] * len(names), types)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, shard_tokens: int = 1 << 19, shard_rows: int = 4096, rounds: int = 3, near: float = 0.2, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece; see SCHEMA, whose ``round`` is 0 for whole windows. ``window`` is a power of two."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
@@ -299,128 +302,109 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         for bt in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [])
             for t in bt.column(1).to_pylist():
                 ids = np.append(tok.ids(t or ""), np.array([end_id], tok.type))
                 whole = len(ids) // window * window
-                term, tf = np.unique(ids[:-1].astype("<u4"), return_counts=True)
                 crcs = np.array([crc(ids[i : i + window]) for i in range(0, whole, window)], "<u4")
-                for c, v in zip(cols, (len(ids), ids[whole:].astype("<u4").tobytes(), crcs.tobytes(), term.tobytes(), tf.astype("<u4").tobytes()), strict=True):
+                extra = np.stack(np.unique(ids[:whole].astype("<u4"), return_counts=True), axis=1).astype("<u4") if whole else crcs
+                for c, v in zip(cols, (len(ids), ids[whole:].tobytes(), extra.tobytes(), crcs.tobytes()), strict=True):
                     c.append(v)
-            yield record_batch(["doc_id", "n", "tail", "crcs", "term", "tf"], [bt.column(0), *cols], [pa.int64(), pa.int64(), *[pa.binary()] * 4])
+            yield record_batch(["doc_id", "n", "tail", "extra", "crcs"], [bt.column(0), *cols], [pa.int64(), pa.int64(), *[pa.binary()] * 3])
 
-    encoded = cut_lineage(narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, crcs binary, term binary, tf binary"))
-    sizes = dict(encoded.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1))).collect())
-    first = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])])
-    total = int(first[-1])
-    begin = F.element_at(F.lit(first.tolist()).cast("array<long>"), F.spark_partition_id() + 1)
-    known = encoded.withColumn("position", begin + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    tok = tokenizer(tokenizer_path)
+    kind, vocabulary = tok.type, max(tok.tok.get_vocab_size(), end_id + 1)
+    encoded = cut_lineage(narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, extra binary, crcs binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
-        for bt in batches:
-            c = np.bincount(np.frombuffer(b"".join(bt.column(0).to_pylist()), "<u4"))
-            c[: len(df)] += df[: len(c)]
-            df = np.append(c, df[len(c) :])
+        _IDS.clear()  # the memos of the stage before are not needed in this worker any more
+        df, rows, tokens = np.zeros(vocabulary, np.int64), 0, 0
+        for bt in (x for y in batches for x in portions(y, kind)):
+            df += np.bincount(postings(bt.column(0).to_pylist(), bt.column(1).to_pylist(), kind, vocabulary)[1], minlength=vocabulary)
+            rows += bt.num_rows
+            tokens += pa.compute.sum(bt.column(2)).as_py() or 0
         t = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["t", "c"])
-
-    seen = encoded.select("term").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c")).collect()
-    df = np.zeros(max((r[0] for r in seen), default=0) + 1)
-    for t, c in seen:
-        df[t] = c
-    idf = np.log((total - df + 0.5) / (df + 0.5) + 1)
-    mean = (encoded.agg(F.avg(F.col("n") - 1)).first()[0] or 0.0) if total else 0.0
-    common = np.argsort(-df, kind="stable")[:COMMON]
-
-    left = np.zeros(total, np.min_scalar_type(window))
-    for r in known.select("position", (F.col("n") % window).cast("int").alias("l")).toArrow().to_batches():
-        left[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    folder, rounds, k = f"{ensure_checkpoint_dir(spark).rstrip('/')}/packing-{uuid.uuid4().hex}", 0, 0
-    written = False
-
-    while (live := int(np.count_nonzero(left))) > docs_per_shard and (tokens := int(left.sum(dtype=np.int64))) >= window:
-        rounds += 1
-        k = max(k, 64, 4 * window * live // tokens)
-        m = min(SEEDS, live, max(docs_per_shard, tokens // window // 2))
-        seeds = np.argsort(-left.astype(np.int32), kind="stable")[:m]
-        at = spark.createDataFrame(pa.table({"position": pa.array(seeds), "q": pa.array(np.arange(m))}))
-        got = known.select("position", "term").join(F.broadcast(at), "position").select("q", "term").toArrow()
-        terms = [np.zeros(0, "<u4")] * m
-        for q, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            terms[q] = np.frombuffer(t, "<u4")
-        sent = spark.sparkContext.broadcast((terms, np.packbits(left > 0), idf, common, mean, k))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            terms, bits, idf, common, mean, k = sent.value
-            unused, best = np.unpackbits(bits), Best(terms, idf, common, k)
-            for bt in batches:
-                position = bt.column(0).to_numpy()
-                rows = np.flatnonzero(unused[position])
-                for a in range(0, len(rows), 4096):
-                    some = pa.array(rows[a : a + 4096])
-                    term, tf = ([np.frombuffer(x, "<u4") for x in bt.column(c).take(some).to_pylist()] for c in (2, 3))
-                    owner = np.repeat(np.arange(len(some)), [len(t) for t in term])
-                    t, f, n = np.concatenate(term).astype(np.int64), np.concatenate(tf), bt.column(1).take(some).to_numpy() - 1
-                    weight = idf[t] * f * (k1 + 1) / (f + (k1 * (1 - b + b * n / max(mean, 1)))[owner])
-                    best.add(position[rows[a : a + 4096]], owner, t, weight.astype(np.float32))
-            q = [i for i, x in enumerate(best.found) if len(x[0])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q, pa.int64()), pa.array([best.found[i][0] for i in q], pa.list_(pa.float32())), pa.array([best.found[i][1] for i in q], pa.list_(pa.int64()))], names=["q", "s", "c"]
-            )
-
-        hits = known.select("position", "n", "term", "tf").mapInArrow(search, "q long, s array<float>, c array<long>")
-        pairs = hits.select("q", F.arrays_zip((F.transform("s", lambda x: -x)).alias("s"), "c").alias("z")).groupBy("q").agg(F.flatten(F.collect_list("z")).alias("z"))
-        lists = [np.zeros(0, np.int64)] * m
-        found = pairs.select("q", F.slice(F.array_sort("z"), 1, k).getField("c").alias("c")).toArrow()
-        for q, c in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-            lists[q] = np.array(c, np.int64)
-        sent.unpersist()
-        rows = np.array(fill(seeds, lists, left, window, k), np.int64).reshape(-1, 5)
-        if 10 * rows[:, 2].sum() < tokens:  # lists ran out
-            k *= 2
-        if len(rows):
-            names = ["position", "before", "length", "k", "offset"]
-            spark.createDataFrame(pa.table(dict(zip(names, rows.T, strict=True)))).write.parquet(f"{folder}/round={rounds}")
-            written = True
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bt in batches:
-            out = []
-            for d, n, c, p in zip(*(x.to_pylist() for x in bt.columns), strict=True):
-                out += [(d, i * window, window, v, n, p << 24 | i, 0, 0) for i, v in enumerate(np.frombuffer(c, "<u4").tolist())]
-            yield table(out)
-
-    def table(out: list[tuple]) -> pa.RecordBatch:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 8)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, [-1, -2])), pa.array(np.append(df[t], [rows, tokens]))], names=["t", "c"])
+
+    # At most one row per vocabulary entry, and two more.
+    seen = {t: c for t, c in encoded.select("tail", "extra", "n").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c")).collect()}
+    total, tokens = seen.pop(-1, 0), seen.pop(-2, 0)
+    df = np.zeros(vocabulary)
+    df[list(seen)] = list(seen.values())
+    held = spark.sparkContext.broadcast(Scale(np.log((total - df + 0.5) / (df + 0.5) + 1), tokens / max(total, 1), k1, b))
+
+    def route(hashed: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bt in (x for y in batches for x in portions(y, kind)):
+                owner, term, count = postings(bt.column(2).to_pylist(), bt.column(3).to_pylist(), kind, vocabulary)
+                impact = held.value.impact(owner, term, count, bt.column(1).to_numpy().astype(float))
+                order = np.lexsort((term, -impact, owner))
+                place = np.arange(len(order)) - np.searchsorted(owner, owner)  # ``owner`` is sorted, so it is its own order
+                heavy = order[place < (HEAVIEST if hashed else KEY_TERMS)]
+                if hashed:
+                    h = mix64(term[heavy].astype(np.uint64) * GOLDEN + np.uint64(hashed))
+                    heavy = heavy[np.lexsort((h, owner[heavy]))]
+                at = np.arange(len(heavy)) - np.searchsorted(owner[heavy], owner[heavy])
+                keys = np.zeros((bt.num_rows, KEY_TERMS), np.int64)
+                keys[owner[heavy][at < KEY_TERMS], at[at < KEY_TERMS]] = term[heavy][at < KEY_TERMS] + 1
+                key = [pa.array(keys[:, i].astype(np.int32)) for i in range(KEY_TERMS)]
+                yield pa.RecordBatch.from_arrays([*bt.columns, *key], names=[*bt.schema.names, *(f"k{i}" for i in range(KEY_TERMS))])
+
+        return run
+
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [*[pa.int64()] * len(names), pa.binary(), pa.binary(), pa.int64()]
+
+    def shards(number: int, share: float | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sequence = number << 58 | TaskContext.get().partitionId() << 34
+            shard = Shard(kind, held.value, window)
+
+            def close(end: bool) -> pa.RecordBatch:
+                nonlocal sequence
+                out: list[tuple] = []
+                done, rest = shard.pack(share, end and share is None)
+                for cut in done:
+                    offset = 0
+                    for doc_id, start, length, value, n in cut:
+                        out.append((doc_id, start, length, value, n, sequence, offset, number, None, None, None))
+                        offset += length
+                    sequence += 1
+                for doc_id, n, tail, extra, left in rest:
+                    if share is None:
+                        shard.rows.append((doc_id, n, tail, extra, left))
+                    else:
+                        out.append((doc_id, None, None, None, n, None, None, None, tail, extra, left))
+                return _batch([*names, "tail", "extra", "left"], out, kinds)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bt in batches:
-            out = []
-            for d, n, tail, before, length, k, offset, r in zip(*(x.to_pylist() for x in bt.columns), strict=True):
-                ids = np.frombuffer(tail, "<u4")
-                at = len(ids) - before
-                out.append((d, n - before, length, crc(ids[at : at + length]), n, 1 << 62 | r << 40 | k, offset, r))
-            yield table(out)
-
-    def last(group: pa.Table) -> pa.Table:
-        group = group.sort_by("position")
-        n, rest = group.column("n").to_pylist(), group.column("rest").to_pylist()
-        tails = [np.frombuffer(t, "<u4")[-r:] for t, r in zip(group.column("tail").to_pylist(), rest, strict=True)]
-        texts = [np.repeat(np.frombuffer(t, "<u4"), np.frombuffer(f, "<u4")) for t, f in zip(group.column("term").to_pylist(), group.column("tf").to_pylist(), strict=True)]
-        index, r = Index(texts, k1, b, idf, mean), rounds + 1
-        rows = pack_shard(group.column("doc_id").to_pylist(), n, tails, [np.zeros(0, "<u4")] * len(n), 1 << 62 | r << 40, window, None, k1, b, index)
-        return pa.Table.from_batches([table([(*x, r) for x in rows])])
-
-    out = known.select("doc_id", "n", "crcs", "position").mapInArrow(windows, SCHEMA)
-    if written:
-        done = spark.read.schema("position long, before long, length long, k long, offset long, round long").parquet(folder)
-        cut = known.select("position", "doc_id", "n", "tail").join(done, "position").select("doc_id", "n", "tail", "before", "length", "k", "offset", "round")
-        out = out.unionByName(cut.mapInArrow(pieces, SCHEMA))
-    at = np.flatnonzero(left)
-    if len(at):
-        few = spark.createDataFrame(pa.table({"position": pa.array(at), "rest": pa.array(left[at].astype(np.int64))}))
-        end = known.join(F.broadcast(few), "position").withColumn("_g", F.lit(1))
-        out = out.unionByName(end.groupBy("_g").applyInArrow(last, SCHEMA))
+            for bt in batches:
+                whole: list[tuple] = []
+                for doc_id, n, tail, extra, left, crcs in zip(*(bt.column(bt.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "n", "tail", "extra", "left", "crcs")), strict=True):
+                    for i, value in enumerate(np.frombuffer(crcs or b"", "<u4").tolist()):
+                        whole.append((doc_id, i * window, window, value, n, sequence, 0, 0, None, None, None))
+                        sequence += 1
+                    if left:
+                        shard.add(doc_id, n, tail, extra, left)
+                    if shard.weight >= shard_tokens or len(shard.rows) >= shard_rows + window:
+                        yield close(False)
+                yield _batch([*names, "tail", "extra", "left"], whole, kinds)
+            yield close(True)
+
+        return run
+
+    routed = "doc_id long, n long, tail binary, extra binary, crcs binary, left long"
+    keyed = routed + "".join(f", k{i} int" for i in range(KEY_TERMS))
+    told = SCHEMA + ", tail binary, extra binary, left long"
+    rest = encoded.withColumn("left", (F.length("tail") / kind.itemsize).cast("long"))
+    out: DataFrame | None = None
+    for number in range(1, rounds + 1):
+        final = number == rounds
+        order = [*(f"k{i}" for i in range(KEY_TERMS)), F.xxhash64("doc_id", "tail", "n")]
+        # By order and not by hash: a key that a third of all rows share is cut by the hash that ends the order.
+        ranged = rest.mapInArrow(route(0 if number % 2 else number), keyed).repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "left")
+        got = ranged.mapInArrow(shards(number, None if final else near), told)
+        got = got if final else cut_lineage(got)
+        pieces = got.where("length IS NOT NULL").select(*names)
+        out = pieces if out is None else out.unionByName(pieces)
+        rest = got.where("length IS NULL").select("doc_id", F.col("doc_tokens").alias("n"), "tail", "extra", F.lit(None).cast("binary").alias("crcs"), "left")
     return out

@@ -226,7 +226,7 @@ def test_packing(spark, docs, texts):
     path = tokenizer_path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     twice = docs.unionByName(docs.where("doc_id = 9"))
-    pieces = packing.pack(twice, path, docs_per_shard=6).collect()
+    pieces = packing.pack(twice, path, shard_tokens=5000).collect()
     ids = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
     cover, seq = Counter(), defaultdict(list)
     for p in pieces:
@@ -242,12 +242,62 @@ def test_packing(spark, docs, texts):
         assert at <= 4096 and not at & (at - 1)
 
 
-def test_packing_puts_neighbours_together():
-    rng = np.random.default_rng(3)
-    tails = [rng.integers(k * 500, k * 500 + 400, 900) for k in (0, 1, 2) for _ in range(4)]
-    rows = packing.pack_shard(list(range(12)), [900] * 12, tails, [np.zeros(0, "<u4")] * 12, 0, 4096, 12, 1.2, 0.75)
-    first = [r[0] for r in rows if r[5] == rows[0][5] and r[2] == 900]
-    assert len({d // 4 for d in first}) == 1
+def bm25(rows, vocabulary, k1=1.2, b=0.75):
+    """Scores of all pairs (seed, row) by the formula, term by term."""
+    df = Counter(t for r in rows for t in set(r))
+    mean = sum(map(len, rows)) / len(rows)
+    idf = np.array([math.log((len(rows) - df[t] + 0.5) / (df[t] + 0.5) + 1) for t in range(vocabulary)])
+    counts = [Counter(r) for r in rows]
+    score = [[sum(idf[t] * c[t] * (k1 + 1) / (c[t] + k1 * (1 - b + b * len(r) / mean)) for t in set(q)) for c, r in zip(counts, rows)] for q in rows]
+    return np.array(score), idf, mean
+
+
+def test_packing_index_against_brute_force():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 60 if i % 3 else 300, rng.integers(1, 90)) for i in range(70)]
+    want, idf, mean = bm25([t.tolist() for t in texts], 300)
+    kind = np.dtype("<u2")
+    half = [len(t) // 2 if i % 5 == 0 else 0 for i, t in enumerate(texts)]  # counted apart, as whole windows are
+    extra = [np.stack(np.unique(t[:h].astype("<u4"), return_counts=True), axis=1).astype("<u4").tobytes() if h else b"" for t, h in zip(texts, half)]
+    owner, term, count = packing.postings([t[h:].astype(kind).tobytes() for t, h in zip(texts, half)], extra, kind, 300)
+    impact = packing.Scale(idf, mean).impact(owner, term, count, np.array([len(t) for t in texts], float))
+    got = packing.Index(owner, term, impact, 70).search(np.arange(70))
+    assert np.allclose(got, want, rtol=1e-5)
+
+    # Windows are filled by descending score; with a bound only by rows that reach it.
+    size = np.array([len(t) for t in texts])
+    index = packing.Index(owner, term, impact, 70)
+    for near in (None, 0.05, 0.5):
+        left = size.copy()
+        before, windows = left.copy(), packing.fill_windows(index, left, 128, near)
+        for rows in windows:
+            assert sum(n for _, n in rows) == 128
+            seed, others = rows[0][0], [i for i, _ in rows[1:]]
+            scores = want[seed][others]
+            assert all(x >= y - 1e-3 for x, y in zip(scores, scores[1:]))
+            assert near is None or (scores >= near * want[seed, seed] - 1e-3).all()
+            unused = [i for i in np.flatnonzero(before) if i != seed and i not in others]
+            assert not others or not unused or want[seed][unused].max() <= scores.min() + 1e-3
+            for i, n in rows:
+                before[i] -= n
+        assert (before == left).all() and (near is not None or left.sum() < 128)
+
+
+def test_packing_of_full_tails_and_null_ids(spark):
+    """768 tails that nearly fill a window, rows without an id among them: shards stay below their bound, every id lies in one piece."""
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{(i * 7 + k) % 500}" for k in range(1100))) for i in range(300)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("word_bpe_49k.json")).collect()
+    full = {p.doc_tokens for p in pieces if p.doc_id is None}
+    assert sum(p.length for p in pieces if p.doc_id is None) == sum(p.doc_tokens for p in pieces if p.doc_id is None and p.start == 0) and len(full) >= 1
+    got = defaultdict(int)
+    for p in pieces:
+        if p.doc_id is not None:
+            got[p.doc_id] += p.length
+    assert got == {p.doc_id: p.doc_tokens for p in pieces if p.doc_id is not None}
+    whole = defaultdict(int)
+    for p in pieces:
+        whole[p.sequence_id] += p.length
+    assert all(n <= 4096 and not n & (n - 1) for n in whole.values())
 
 
 @pytest.mark.parametrize("segment", [1 << 20, 3000])
@@ -386,28 +436,14 @@ def test_pipeline(spark):
 
 
 def test_packing_finds_neighbours_across_the_corpus(spark):
-    """Pairs of copies far apart in the input and among many more documents than one index shard holds meet in one window."""
+    """Pairs of copies far apart in the input and among many more documents than one index shard holds, meet in one window."""
     rng = np.random.default_rng(7)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)]
     texts = [" ".join(rng.choice(vocabulary[40 * k : 40 * k + 60], 250)) for k in range(60)]
     rows = [(i, texts[i % 60]) for i in range(120)]
-    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), tokenizer_path("word_bpe_49k.json"), window=2048, docs_per_shard=8).collect()
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), tokenizer_path("word_bpe_49k.json"), window=2048, shard_tokens=20_000).collect()
     where = defaultdict(set)
     for p in pieces:
         where[p.doc_id].add(p.sequence_id)
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     assert sum(bool(where[i] & where[i + 60]) for i in range(60)) >= 54
-
-
-def test_packing_best_is_exact():
-    """Scores and order against brute force over all terms, in several batches."""
-    rng = np.random.default_rng(5)
-    docs = [np.unique(rng.integers(0, 300, 40)) for _ in range(90)]
-    idf, best = rng.random(300) + 0.1, packing.Best(docs[:20], rng.random(300), np.arange(50), 10)
-    for a in range(0, 90, 30):
-        part = docs[a : a + 30]
-        owner, term = np.repeat(np.arange(30), [len(x) for x in part]), np.concatenate(part)
-        best.add(np.arange(a, a + 30), owner, term, idf[term].astype(np.float32))
-    for q in range(20):
-        scores = np.array([idf[np.intersect1d(docs[q], x)].sum() for x in docs])
-        assert best.found[q][1].tolist() == np.lexsort((np.arange(90), -scores))[:10].tolist()
