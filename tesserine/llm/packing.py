@@ -50,6 +50,8 @@ from .token_counts import byte_alphabet
 
 #: Terms of a routing key, and the heaviest terms it is drawn from in a round of hashes.
 KEY_TERMS, HEAVIEST = 4, 8
+#: Postings that are added up at once.
+AT_ONCE = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, round long"
 #: Texts of these characters alone take the short way below: printable ASCII, line feeds and Latin-1 letters, all in composed form.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -57,54 +59,67 @@ _PLAIN = re.compile(r"[\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \na-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
-class Ids(dict):
-    """Text -> little-endian ids, through a memo of parts.
+class Memo(dict):
+    """Memo in two generations: at its bound the older one goes, so that what is used often stays."""
+
+    def __init__(self, make, bound: int) -> None:
+        super().__init__()
+        self.make, self.bound, self.old = make, bound, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Ids:
+    """Text -> little-endian ids, through memos of chunks and their parts.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are
-    those of its parts in order. A plain text is lower-cased and cut by the
-    pre-tokenizer's pattern, and new parts go to the tokenizer's model itself; other
-    texts are cut at spaces and line feeds only, and new chunks go through the whole
-    tokenizer. The memos are emptied at their bounds.
+    those of its chunks between white space in order. A new chunk of a plain text is
+    lower-cased and cut by the pre-tokenizer's pattern, and its parts go to the
+    tokenizer's model itself; chunks of other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 350_000) -> None:
+    def __init__(self, path: str, bound: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.bound = bound
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
         self.model = self.tok.model
         self.alphabet = byte_alphabet()
+        self.as_bytes = [i.to_bytes(self.type.itemsize, "little") for i in range(self.tok.get_vocab_size())]
+        self.parts, self.whole = Memo(self._part, bound // 3), Memo(self._whole, bound // 3)
+        self.chunks = Memo(self._chunk, bound)
         self.short_way = self._agrees()
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
+    def _part(self, part: str) -> bytes:
         shown = part if part.isascii() else "".join([self.alphabet[b] for b in part.encode()])
-        value = self[part] = b"".join([t.id.to_bytes(self.type.itemsize, "little") for t in self.model.tokenize(shown)])
-        return value
+        return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(shown)])
 
-    def whole(self, chunk: str) -> bytes:
-        value = self.chunks.get(chunk)
-        if value is None:
-            if len(self.chunks) >= self.bound // 4:
-                self.chunks.clear()
-            value = self.chunks[chunk] = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, self.type).tobytes()
-        return value
+    def _chunk(self, chunk: str) -> bytes:
+        parts = _PARTS.findall(chunk)
+        return self._part(chunk) if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, self.type).tobytes()
 
     def _agrees(self) -> bool:
         """Whether the short way gives this tokenizer's ids for a probe of every plain character in several settings."""
         plain = [*map(chr, range(0x21, 0x7F)), *(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]
         probes = [x for c in plain for x in (c, f"a{c}b", f"{c}{c}1", f"\u00c9{c}'s {c}\n")]
-        return all(b"".join(map(self.__getitem__, _PARTS.findall(x.lower()))) == b"".join(map(self.whole, x.split())) for x in probes)
+        return all(b"".join(map(self.chunks.__getitem__, x.lower().split())) == b"".join(map(self.whole.__getitem__, x.split())) for x in probes)
 
     def ids(self, text: str) -> np.ndarray:
         if self.short_way and _PLAIN.fullmatch(text) and "<|" not in text:
-            found = map(self.__getitem__, _PARTS.findall(text.lower()))
+            found = map(self.chunks.__getitem__, text.lower().split())
         else:
-            found = map(self.whole, text.replace("\n", " ").split(" "))
+            found = map(self.whole.__getitem__, text.replace("\n", " ").split(" "))
         return np.frombuffer(b"".join(found), self.type)
 
 
@@ -125,17 +140,33 @@ def postings(tails: list[bytes], extras: list[bytes], kind: np.dtype, vocabulary
     """(owner, term, count) of each row's whole text, by owner and term; extras hold pairs (term, count) of its whole windows."""
     ids = np.frombuffer(b"".join(tails), kind)
     size = np.array([len(t) for t in tails], np.int64) // kind.itemsize
-    key = np.repeat(np.arange(len(tails), dtype=np.uint64) * np.uint64(vocabulary), size) + ids
+    bits = vocabulary.bit_length()
+    wide = np.uint32 if len(tails) << bits <= 1 << 32 else np.uint64
+    row = np.arange(len(tails), dtype=wide) << wide(bits)
+    key = np.repeat(row, size) | ids
     key.sort()
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     key, count = key[cut], np.diff(np.append(cut, len(key)))
     if any(extras):
         pairs = np.frombuffer(b"".join(extras), "<u4").reshape(-1, 2)
         size = np.array([len(e) for e in extras], np.int64) // 8
-        more = np.repeat(np.arange(len(extras), dtype=np.uint64) * np.uint64(vocabulary), size) + pairs[:, 0]
+        more = np.repeat(row, size) | pairs[:, 0].astype(wide)
         key, back = np.unique(np.concatenate([key, more]), return_inverse=True)
         count = np.bincount(back, np.concatenate([count, pairs[:, 1]]), len(key)).astype(np.int64)
-    return (key // np.uint64(vocabulary)).astype(np.int64), (key % np.uint64(vocabulary)).astype(np.int64), count
+    return (key >> wide(bits)).astype(np.int32), (key & wide((1 << bits) - 1)).astype(np.int32), count
+
+
+def heaviest(owner: np.ndarray, term: np.ndarray, impact: np.ndarray, rows: int, vocabulary: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, term) of each row's k terms of most impact; ties go to the smaller term."""
+    tb, ob = vocabulary.bit_length(), rows.bit_length()
+    # A positive float's bits are in the order of its value; row, falling impact and term make one number to sort.
+    fall = (~impact.astype(np.float32).view(np.uint32) & np.uint32(0x7FFFFFFF)) >> np.uint32(max(0, tb + ob + 31 - 64))
+    key = owner.astype(np.uint64) << np.uint64(64 - ob) | fall.astype(np.uint64) << np.uint64(tb) | term.astype(np.uint64)
+    key.sort()
+    own = (key >> np.uint64(64 - ob)).astype(np.int64) if ob else np.zeros(len(key), np.int64)
+    place = np.arange(len(key)) - np.searchsorted(own, np.arange(rows))[own]
+    keep = place < k
+    return own[keep], place[keep], (key[keep] & np.uint64((1 << tb) - 1)).astype(np.int64)
 
 
 class Scale:
@@ -175,8 +206,16 @@ class Index:
         t, q = self.of[_ranges(self.begin[seeds], length)], np.repeat(np.arange(len(seeds)), length)
         t, q = t[self.column[t] < 0], q[self.column[t] < 0]
         size = self.start[t + 1] - self.start[t]
-        x = _ranges(self.start[t], size)
-        return scores + np.bincount(np.repeat(q, size) * self.n + self.doc[x], self.weight[x], len(seeds) * self.n).reshape(-1, self.n)
+        upto, a = np.cumsum(size), 0
+        while a < len(t):  # so many postings at once; a posting list is shorter than that
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + AT_ONCE, side="right")))
+            x = _ranges(self.start[t[a:z]], size[a:z])
+            first = int(q[a])
+            scores[first : q[z - 1] + 1] += np.bincount(
+                np.repeat((q[a:z] - first) * self.n, size[a:z]) + self.doc[x], self.weight[x], (int(q[z - 1]) + 1 - first) * self.n
+            ).reshape(-1, self.n)
+            a = z
+        return scores
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -338,15 +377,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
             for bt in (x for y in batches for x in portions(y, kind)):
                 owner, term, count = postings(bt.column(2).to_pylist(), bt.column(3).to_pylist(), kind, vocabulary)
                 impact = held.value.impact(owner, term, count, bt.column(1).to_numpy().astype(float))
-                order = np.lexsort((term, -impact, owner))
-                place = np.arange(len(order)) - np.searchsorted(owner, owner)  # ``owner`` is sorted, so it is its own order
-                heavy = order[place < (HEAVIEST if hashed else KEY_TERMS)]
+                own, place, t = heaviest(owner, term, impact, bt.num_rows, vocabulary, HEAVIEST if hashed else KEY_TERMS)
                 if hashed:
-                    h = mix64(term[heavy].astype(np.uint64) * GOLDEN + np.uint64(hashed))
-                    heavy = heavy[np.lexsort((h, owner[heavy]))]
-                at = np.arange(len(heavy)) - np.searchsorted(owner[heavy], owner[heavy])
+                    order = np.lexsort((mix64(t.astype(np.uint64) * GOLDEN + np.uint64(hashed)), own))
+                    t = t[order]  # the places stay
                 keys = np.zeros((bt.num_rows, KEY_TERMS), np.int64)
-                keys[owner[heavy][at < KEY_TERMS], at[at < KEY_TERMS]] = term[heavy][at < KEY_TERMS] + 1
+                keys[own[place < KEY_TERMS], place[place < KEY_TERMS]] = t[place < KEY_TERMS] + 1
                 key = [pa.array(keys[:, i].astype(np.int32)) for i in range(KEY_TERMS)]
                 yield pa.RecordBatch.from_arrays([*bt.columns, *key], names=[*bt.schema.names, *(f"k{i}" for i in range(KEY_TERMS))])
 
