@@ -86,7 +86,7 @@ class Ids:
     tokenizer's model itself; chunks of other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 250_000) -> None:
+    def __init__(self, path: str, bound: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -103,8 +103,12 @@ class Ids:
         return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
-        parts = _PARTS.findall(chunk)
-        return self._part(chunk) if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        # Letters alone are one part, and a mark after them another, as the pattern would cut them.
+        if chunk.isalpha():
+            return self._part(chunk)
+        if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+            return self._part(chunk[:-1]) + self.parts[chunk[-1]]
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(chunk)))
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, self.type).tobytes()
