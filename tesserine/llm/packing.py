@@ -342,8 +342,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
 
+    tok = tokenizer(tokenizer_path)
+    kind, vocabulary = tok.type, max(tok.tok.get_vocab_size(), end_id + 1)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Encoded rows, and one row of ``n`` -1 whose ``extra`` holds pairs (term, documents of this task that have it)."""
         tok = tokenizer(tokenizer_path)
+        fields, types = ["doc_id", "n", "tail", "extra", "crcs"], [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+        df, rows, tokens = np.zeros(vocabulary, np.int64), 0, 0
         for bt in batches:
             cols: tuple[list, ...] = ([], [], [], [])
             for t in bt.column(1).to_pylist():
@@ -353,25 +359,31 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
                 extra = np.stack(np.unique(ids[:whole].astype("<u4"), return_counts=True), axis=1).astype("<u4") if whole else crcs
                 for c, v in zip(cols, (len(ids), ids[whole:].tobytes(), extra.tobytes(), crcs.tobytes()), strict=True):
                     c.append(v)
-            yield record_batch(["doc_id", "n", "tail", "extra", "crcs"], [bt.column(0), *cols], [pa.int64(), pa.int64(), *[pa.binary()] * 3])
+            done = record_batch(fields, [bt.column(0), *cols], types)
+            for some in portions(done, kind):
+                df += np.bincount(postings(some.column(2).to_pylist(), some.column(3).to_pylist(), kind, vocabulary)[1], minlength=vocabulary)
+            rows, tokens = rows + len(cols[0]), tokens + sum(cols[0])
+            yield done
+        t = np.flatnonzero(df)
+        pairs = np.stack([np.append(t, [vocabulary, vocabulary + 1]), np.append(df[t], [rows, tokens])], axis=1)
+        yield record_batch(fields, [[None], [-1], [b""], [pairs.astype("<i8").tobytes()], [b""]], types)
 
-    tok = tokenizer(tokenizer_path)
-    kind, vocabulary = tok.type, max(tok.tok.get_vocab_size(), end_id + 1)
-    encoded = cut_lineage(narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, extra binary, crcs binary"))
+    both = cut_lineage(narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, extra binary, crcs binary"))
+    encoded = both.where("n >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _IDS.clear()  # the memos of the stage before are not needed in this worker any more
-        df, rows, tokens = np.zeros(vocabulary, np.int64), 0, 0
-        for bt in (x for y in batches for x in portions(y, kind)):
-            df += np.bincount(postings(bt.column(0).to_pylist(), bt.column(1).to_pylist(), kind, vocabulary)[1], minlength=vocabulary)
-            rows += bt.num_rows
-            tokens += pa.compute.sum(bt.column(2)).as_py() or 0
+        df = np.zeros(vocabulary + 2, np.int64)
+        for bt in batches:
+            for x in bt.column(0).to_pylist():
+                t, c = np.frombuffer(x, "<i8").reshape(-1, 2).T
+                df[t] += c
         t = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, [-1, -2])), pa.array(np.append(df[t], [rows, tokens]))], names=["t", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["t", "c"])
 
     # At most one row per vocabulary entry, and two more.
-    seen = {t: c for t, c in encoded.select("tail", "extra", "n").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c")).collect()}
-    total, tokens = seen.pop(-1, 0), seen.pop(-2, 0)
+    seen = dict(both.where("n < 0").select("extra").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c")).collect())
+    total, tokens = seen.pop(vocabulary, 0), seen.pop(vocabulary + 1, 0)
     df = np.zeros(vocabulary)
     df[list(seen)] = list(seen.values())
     held = spark.sparkContext.broadcast(Scale(np.log((total - df + 0.5) / (df + 0.5) + 1), tokens / max(total, 1), k1, b))
