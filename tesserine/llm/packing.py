@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,20 +60,16 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^
 
 
 class Memo(dict):
-    """Memo in two generations: at its bound the older one goes, so that what is used often stays."""
+    """Text -> bytes, made once; emptied at its bound."""
 
-    def __init__(self, make, bound: int) -> None:
+    def __init__(self, make: Callable[[str], bytes], bound: int) -> None:
         super().__init__()
-        self.make, self.bound, self.old = make, bound, {}
+        self.make, self.bound = make, bound
 
     def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
         if len(self) >= self.bound:
-            self.old = dict(self)
             self.clear()
-        self[key] = value
+        value = self[key] = self.make(key)
         return value
 
 
@@ -86,7 +82,7 @@ class Ids:
     tokenizer's model itself; chunks of other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 300_000) -> None:
+    def __init__(self, path: str, bound: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -94,7 +90,7 @@ class Ids:
         self.model = self.tok.model
         self.alphabet = byte_alphabet()
         self.as_bytes = [i.to_bytes(self.type.itemsize, "little") for i in range(self.tok.get_vocab_size())]
-        self.parts, self.whole = Memo(self._part, bound // 3), Memo(self._whole, bound // 3)
+        self.parts, self.whole = Memo(self._part, bound // 10), Memo(self._whole, bound // 10)
         self.chunks = Memo(self._chunk, bound)
         self.short_way = self._agrees()
 
