@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,13 @@ class WordHashes(dict):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. Unset, it is a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         current = sc.getCheckpointDir()
     return named or current
@@ -64,6 +67,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: cuts lineage like a checkpoint, and readers take only the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def narrow(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """Only the named columns, so that extra columns with clashing names never matter."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in cols])

@@ -45,13 +45,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut_lineage, mix64, narrow, record_batch
+from .common import GOLDEN, cut_lineage, mix64, narrow, record_batch, written
 from .token_counts import byte_alphabet
 
 #: Terms of a routing key, and the heaviest terms it is drawn from in a round of hashes.
 KEY_TERMS, HEAVIEST = 4, 8
 #: Postings that are added up at once.
 AT_ONCE = 1 << 20
+#: Seeds that are scored at once.
+BLOCK = 128
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, round long"
 #: Texts of these characters alone take the short way below: printable ASCII, line feeds and Latin-1 letters, all in composed form.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -230,7 +232,7 @@ def fill_windows(index: Index, left: np.ndarray, window: int, near: float | None
     nothing with it last.
     """
     out: list[list[tuple[int, int]]] = []
-    seeds, block = np.argsort(-left, kind="stable"), 256 if near is not None else 8
+    seeds, block = np.argsort(-left, kind="stable"), BLOCK if near is not None else 8
     while len(seeds := seeds[left[seeds] > 0]) and left.sum() >= window:
         some, seeds = seeds[:block], seeds[block:]
         scores = index.search(some)
@@ -364,7 +366,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
         pairs = np.stack([np.append(t, [vocabulary, vocabulary + 1]), np.append(df[t], [rows, tokens])], axis=1)
         yield record_batch(fields, [[None], [-1], [b""], [pairs.astype("<i8").tobytes()], [b""]], types)
 
-    both = cut_lineage(narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, extra binary, crcs binary"))
+    both = written(narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n long, tail binary, extra binary, crcs binary"), "packing")
     encoded = both.where("n >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
