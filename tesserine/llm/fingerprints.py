@@ -17,7 +17,9 @@ that are not empty in both: an estimate of the Jaccard similarity of their phras
 Cases: null text counts as empty; an empty text has an all-zero fingerprint, which
 is like another empty one (1.0) and unlike any other (0.0); very long texts are
 parsed in full; equal texts have equal fingerprints; of a single document the next
-document is itself; rows with equal ids follow each other in order of their text.
+document is itself; rows with equal ids follow each other in order of their text, and
+rows with a null id come before all others; an empty table gives an empty result;
+other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mix64, record_batch
+from .common import GOLDEN, mix64, record_batch, shuffle_width
 
 SLOTS = 64
 FROM_LEVEL = 2
@@ -39,6 +40,8 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 _BASE = np.uint64(0x100000001B3)
 #: Code points handled at a time, but for longer single texts.
 CHUNK = 1 << 16
+#: Code points of rows that a task holds, but for longer single texts.
+RUN = 1 << 21
 
 
 def _labels(x: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -143,40 +146,38 @@ def edited(text: str, following: str) -> str:
 
 
 def _consecutive(docs: DataFrame, id_col: str, text_col: str, rows_per_part: int) -> DataFrame:
-    """(part, doc_id, text, guest): parts hold consecutive ids; each also gets the first row after its own as a guest.
+    """(part, doc_id, text, guest): parts hold consecutive ids; each also gets the first rows after its own as guests.
 
-    Part bounds are quantiles of the ids; the list of parts (one small row each)
-    is all that reaches the driver.
+    Part bounds are quantiles of the ids, and the first id of each part is found; these
+    lists, of one number for each ``rows_per_part`` rows, are all that reaches the driver.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = rows.count()
-    parts = max(1, -(-n // rows_per_part))
+    parts = max(1, min(-(-n // 1000), max(8 * shuffle_width(docs.sparkSession), -(-n // rows_per_part)))) if rows_per_part > 1000 else max(1, -(-n // rows_per_part))
+    bounds: list[int] = []
     if n and parts > 1:
         q = rows.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)
         bounds = sorted({int(x) for x in q})
-    else:
-        bounds = []
+    # A null id is the smallest; it shares its part with the smallest ids.
+    low = -(1 << 63)
+
+    def numbers(x: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = x.column(0).fill_null(low).to_numpy(zero_copy_only=False)
+        return ids, np.searchsorted(np.array(bounds, np.int64), ids, side="right").astype(np.int64)
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = np.array(bounds, np.int64)
         for x in it:
-            ids = x.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            p = np.searchsorted(b, ids, side="right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p), x.column(0)], names=["part", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers(x)[1]), x.column(0)], names=["part", "doc_id"])
 
     # Only ids are read here: the smallest id of each part.
-    firsts = dict(
-        (r[0], r[1]) for r in rows.select("doc_id").mapInArrow(part, "part long, doc_id long").groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))).collect()
-    )
+    firsts = {r[0]: r[1] for r in rows.select("doc_id").mapInArrow(part, "part long, doc_id long").groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(low)))).collect()}
     used = sorted(firsts)
     guests = {firsts[p]: used[i - 1] for i, p in enumerate(used)}  # first id -> the part before it, around the end
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = np.array(bounds, np.int64)
         first = np.array(sorted(guests), np.int64)
         for x in it:
-            ids = x.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            p = np.searchsorted(b, ids, side="right").astype(np.int64)
+            ids, p = numbers(x)
             yield pa.RecordBatch.from_arrays([pa.array(p), x.column(0), x.column(1), pa.array(np.zeros(len(ids), bool))], names=["part", "doc_id", "text", "guest"])
             extra = np.flatnonzero(np.isin(ids, first))
             if len(extra):
@@ -187,29 +188,39 @@ def _consecutive(docs: DataFrame, id_col: str, text_col: str, rows_per_part: int
     return rows.mapInArrow(deal, "part long, doc_id long, text string, guest boolean")
 
 
-def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, from_level: int = FROM_LEVEL, rows_per_part: int = 1000) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document's."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        own = pa.compute.invert(group.column("guest"))
-        mine, guest = group.filter(own), group.filter(group.column("guest"))
-        ids = mine.column("doc_id").to_pylist()
-        texts = mine.column("text").to_pylist()
-        after = guest.column("text").to_pylist()[:1]
-        rows = []
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        if ids:
-            line = texts + (after or texts[:1])
-            new = [edited(t, line[i + 1]) for i, t in enumerate(texts)]
-            a = np.concatenate([signatures(line[x:y], slots, from_level) for x, y in chunks(line)])
-            e = np.concatenate([signatures(new[x:y], slots, from_level) for x, y in chunks(new)])
-            sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]
-            rows = [ids, [len(t) for t in texts], sha, _hex(a[:-1]), _hex(e), likeness(a[:-1], e), likeness(a[:-1], a[1:])]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, k) for c, k in zip(rows or [[]] * 7, kinds, strict=True)], names=names)
-
-    return _consecutive(docs, id_col, text_col, rows_per_part).groupBy("part").applyInArrow(run, SCHEMA)
+def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, from_level: int = FROM_LEVEL, rows_per_part: int = 100_000) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document's.
+
+    Rows stream through in order of part and id, so that a task holds a run of rows and never a part.
+    """
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+    def told(ids: list, texts: list[str], after: str) -> pa.RecordBatch:
+        line = [*texts, after]
+        new = [edited(t, line[i + 1]) for i, t in enumerate(texts)]
+        a = np.concatenate([signatures(line[x:y], slots, from_level) for x, y in chunks(line)])
+        e = np.concatenate([signatures(new[x:y], slots, from_level) for x, y in chunks(new)])
+        sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]
+        return record_batch(names, [ids, [len(t) for t in texts], sha, _hex(a[:-1]), _hex(e), likeness(a[:-1], e), likeness(a[:-1], a[1:])], kinds)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[str] = []
+        size = 0
+        for bt in it:
+            for doc_id, text, guest in zip(*(bt.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                # The first guest of a part is what follows its last row; its other guests follow nothing.
+                if ids and (guest or size >= RUN):
+                    yield told(ids, texts, text)
+                    ids, texts, size = [], [], 0
+                if not guest:
+                    ids.append(doc_id)
+                    texts.append(text)
+                    size += len(text) + 100
+
+    dealt = _consecutive(docs, id_col, text_col, rows_per_part)
+    return dealt.repartition("part").sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, from_level: int = FROM_LEVEL) -> DataFrame:

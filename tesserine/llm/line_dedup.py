@@ -10,7 +10,9 @@ Cases: a null or empty text, or one with fewer than three lines, has no window a
 stays as it is (a text counts one line more than its line feeds); a window that repeats within one document counts as a repeat, so
 its later occurrences go there too; rows that share an id are told apart by a hash
 of their text, and wholly equal rows count as one document that both rows show.
-A document whose lines all go keeps a row with an empty text.
+A document whose lines all go keeps a row with an empty text. A null id comes before all
+others; very long texts are read whole; an empty table gives an empty result; other
+columns are returned unchanged, but for ``n_lines`` and ``n_removed``, which are set.
 """
 
 from __future__ import annotations

@@ -6,10 +6,13 @@ up in order, and rows are added up within their range, so no task ever holds a
 whole source. A source of size S and target T takes floor(T / S) whole epochs and
 cuts one more at exactly floor(T) words.
 
-Cases: a null source is a source of its own and comes last; null text has size 0
-and is never taken; a source of size 0 has target 0; rows with the same id and
+Cases: a null source is a source of its own and comes last; null and empty texts have
+size 0 and are never taken; a source of size 0 has target 0; rows with the same id and
 text tie and are ordered by an arbitrary but repeatable hash, equal rows share the
-budget between them in some order; an empty table gives an empty result.
+budget between them in some order; rows with a null id are ordered by a hash of their
+text; an empty table gives an empty result; very long texts are counted whole, and the
+one at a source's cut keeps its text up to the end of its last word; other columns are
+not read, and ``mixed_documents`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -99,6 +102,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.array_repeat(F.col("_mx_size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))
     )
     parts = j.select(*[j[c] for c in names], "_mx_size", F.explode(counts).alias("_mx_words"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD_PATTERN), F.lit(0))
-    head = F.when(F.col("_mx_words") == F.col("_mx_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_mx_words").cast("int")), " "))
+    # Words with the white space before them, so that what is kept is the text up to the last word's end.
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"[\\x20\\x09-\\x0D]*{WORD_PATTERN}"), F.lit(0))
+    head = F.when(F.col("_mx_words") == F.col("_mx_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_mx_words").cast("int")), ""))
     return parts.select(*[head.alias(c) if c == text_col else F.col(c) for c in names])

@@ -22,7 +22,8 @@ masks and the pieces that may repeat. Every step handles one group or one block.
 Cases: null text counts as empty; texts shorter than ``span`` bytes lose nothing;
 equal ids (repeated rows) are not smaller than each other, so neither loses bytes to
 the other; a null id counts as the smallest; matches never cross documents, and
-strings are judged on the input, not on what is left.
+strings are judged on the input, not on what is left; an empty table gives an empty
+result; very long texts are judged whole; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -42,8 +43,6 @@ GRAM = 26
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 # The period of the cover and residues whose differences give every residue.
 PERIOD, COVER = 7, (0, 1, 3)
-#: Bytes to which sample suffixes are ranked; at least the span.
-DEPTH = 64
 _U = np.uint64
 _BASE = 0x2545F4914F6CDD1D
 _LOWEST = -(1 << 63)
@@ -152,12 +151,12 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_ranks(word: np.ndarray) -> np.ndarray:
-    """Dense rank, to DEPTH bytes, of the suffix at every position of the difference cover; 0 elsewhere."""
+def sample_ranks(word: np.ndarray, depth: int) -> np.ndarray:
+    """Dense rank, to ``depth`` bytes (or a few more), of the suffix at every position of the difference cover; 0 elsewhere."""
     n = len(word)
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-    far = np.concatenate([word, np.zeros(DEPTH, _U)])
-    keys = [far[at + o] for o in range(0, DEPTH, 8)]
+    far = np.concatenate([word, np.zeros(depth, _U)])
+    keys = [far[at + o] for o in range(0, depth, 8)]
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(at), bool)
     for k in keys:
@@ -167,9 +166,9 @@ def sample_ranks(word: np.ndarray) -> np.ndarray:
     return rank
 
 
-def sort_suffixes(word: np.ndarray, starts: np.ndarray, bucket_size: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The suffixes at ``starts`` in order to DEPTH bytes, one bucket of leading bytes at a time."""
-    rank = sample_ranks(word)
+def sort_suffixes(word: np.ndarray, starts: np.ndarray, depth: int = SPAN, bucket_size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The suffixes at ``starts`` in order to at least ``depth`` bytes, one bucket of leading bytes at a time."""
+    rank = sample_ranks(word, depth)
     lead = (word[starts] >> _U(48)).astype(np.int64)
     load = np.cumsum(np.bincount(lead, minlength=1 << 16))
     bucket = ((load - 1).clip(0) // bucket_size)[lead]
@@ -215,7 +214,7 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, span: int = SPAN)
     word = words_at(np.frombuffer(b"".join(contents), np.uint8))
     gone = np.zeros(len(starts), bool)
     probes = [*range(0, span - 8, 8), span - 8]
-    for order in sort_suffixes(word, starts):
+    for order in sort_suffixes(word, starts, span):
         s = starts[order]
         new = np.zeros(len(s), bool)
         new[0] = True

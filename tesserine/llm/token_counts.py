@@ -6,7 +6,9 @@ two cells of a linked list become one, and the two new neighbour pairs are
 pushed. The count of a piece is its bytes minus its merges; no identifiers exist.
 
 Cases: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated
-results; a special string inside a text is one token, as in the library's default.
+results; a special string inside a text is one token, as in the library's default;
+a null id stays null; very long texts are counted whole; an empty table gives an empty
+result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations

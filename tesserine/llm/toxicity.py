@@ -15,8 +15,10 @@ by hash of the id, independent of partitioning); everything else covers all rows
 
 Cases: null or empty text has no features and gets the model's base severity, which
 is far below the cut; repeated rows give repeated results; labels that are null or
-whose document is missing are not used; without both kinds of labels nothing is
-rejected (expected severity 0).
+whose document is missing are not used; without both kinds of labels, or without a
+feature that tells them apart, nothing is rejected (expected severity 0); a null id
+stays null and is never fitted on; very long texts are read whole; an empty table gives
+an empty result; other columns are not read, and ``keep_clean`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -101,9 +103,11 @@ class Model:
         return np.array([self.weights[features(t, self.memo)].sum() for t in texts])
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 300, rate: float = 0.3, l2: float = 1e-3) -> Model:
-    """Full-batch AdaGrad on the cumulative-link likelihood (all thresholds of a row), classes balanced; deterministic."""
+def fit(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 300, rate: float = 0.3, l2: float = 1e-3) -> Model | None:
+    """None if no feature speaks for a toxic text. Full-batch AdaGrad on the cumulative-link likelihood (all thresholds of a row), classes balanced; deterministic."""
     bound = select(rows, toxic)
+    if not len(bound):
+        return None
     y = grades(rows, toxic, bound)
     k = int(y.max())
     rows = [np.intersect1d(r, bound, assume_unique=True) for r in rows]
@@ -130,7 +134,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 300, rate: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS) -> Model | None:
-    """Fit on at most ``max_fit_rows`` labelled documents, those with the smallest hashes of their ids."""
+    """Fit on at most ``max_fit_rows`` labelled rows, those with the smallest hashes of their ids (and, where ids repeat, of their features)."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("l_id"), "l_id").limit(max_fit_rows)
     # The sample of ids is bounded by max_fit_rows, so it may be broadcast.
@@ -142,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f = [features(t or "", memo).astype("<i4").tobytes() for t in b.column(1).to_pylist()]
             yield record_batch(["d_id", "f", "y"], [b.column(0), f, b.column(2)], [pa.int64(), pa.binary(), pa.int32()])
 
-    got = some.select(F.col("d_id").cast("long"), "x", "y").mapInArrow(shrink, "d_id long, f binary, y int").collect()
+    got = some.select(F.col("d_id").cast("long"), "x", "y").mapInArrow(shrink, "d_id long, f binary, y int").orderBy(F.xxhash64("d_id"), "d_id", "f").limit(max_fit_rows).collect()
     got.sort(key=lambda r: (r[0], r[1]))
     rows, y = [np.frombuffer(r[1], "<i4").astype(np.int64) for r in got], np.array([r[2] for r in got], int)
     if len(set(y.tolist())) < 2:

@@ -447,3 +447,107 @@ def test_packing_finds_neighbours_across_the_corpus(spark):
         where[p.doc_id].add(p.sequence_id)
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     assert sum(bool(where[i] & where[i + 60]) for i in range(60)) >= 54
+
+
+def test_fingerprints_with_null_and_repeated_ids(spark):
+    """The order is null ids first, then ids, equal ids by text; the last row's next is the first."""
+    rows = [(None, "null row " * 9)] + [(i, f"text number {i} " * 7) for i in range(6)] + [(3, "another text of three " * 5), (None, "a null row " * 4)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for part in (2, 3, 100_000):
+        got = fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows_per_part=part).collect()
+        have = sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got)
+        want = [(str(d), len(t), hashlib.sha256(fingerprints.edited(t, n).encode()).hexdigest()) for (d, t), (_, n) in zip(order, order[1:] + order[:1])]
+        assert have == sorted(want)
+
+
+def test_fingerprint_phrases_are_locally_consistent():
+    """A change far away changes no fingerprint slot but those of names around it: likeness follows the changed share."""
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 6000))
+    far = base[:3000] + "#" + base[3000:]
+    other = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 6000))
+    half = base[:3000] + other[:3000]
+    sig = fingerprints.signatures([base, far, other, half])
+    assert fingerprints.likeness(sig[:1], sig[1:2])[0] > 0.9
+    assert fingerprints.likeness(sig[:1], sig[2:3])[0] < 0.1
+    # The Jaccard similarity of a text and one that shares half of it is about a third.
+    assert 0.15 < fingerprints.likeness(sig[:1], sig[3:4])[0] < 0.55
+
+
+def test_ngram_join_with_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, a), (None, "quite another text with some words in it"), (4, None), (None, None), (7, a), (7, a)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.n_links >= 0 for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.class_id, r.n_links))
+    # Text a: ids 1 and 7 and a row without an id are three documents; document 2 is like all of them.
+    assert by[2] == [(1, 3)] and by[7] == [(1, 3), (1, 3)]
+    assert sorted(by[1]) == [(1, 1), (1, 3)] and by[3] == [(1, 1)]
+    assert sorted(by[None], key=str) == [(1, 3), (None, 0), (None, 0)] and by[4] == [(4, 0)]
+
+
+def test_embeddings_of_extreme_size_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    v, w = rng.standard_normal(12), rng.standard_normal(12)
+    rows = [(1, (v * 1e160).tolist(), "a"), (2, (v * 1e-170).tolist(), "a"), (3, (v * 1e300).tolist(), "a"), (4, v.tolist(), "a"), (5, w.tolist(), "a"), (5, (v * 2 + w * 1e-3).tolist(), "a"), (6, (w * 3).tolist(), "b"), (None, v.tolist(), "a")]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    have = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got)
+    assert have == sorted([(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False), (5, 0, 5, True), (5, 4, 1, False), (6, 0, 6, True), (0, 0, 0, True)])
+
+
+@pytest.mark.parametrize("span", [50, 100, 150])
+def test_suffix_dedup_of_other_spans(spark, span):
+    rng = np.random.default_rng(span)
+    base = "".join(rng.choice(list("abcd "), 400))
+    texts = {i: base[: 400 - 3 * i] + str(i) + base[400 - 3 * i :] for i in range(30)}
+    got = by_id(suffix_dedup.dedup_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), span=span))
+    want = brute_spans(texts, span)
+    assert {i: got[i].n_removed for i in texts} == {i: want[i][1] for i in texts}
+
+
+def test_fit_of_toxicity_is_bounded_in_rows(spark, monkeypatch):
+    rows = [(i % 5, f"text {i} " + ("vile " if i % 5 < 2 else "nice ") * 4) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(5)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y: seen.append(len(rows)))
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_fit_rows=50)
+    assert not seen or seen[0] <= 50
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows, null texts, ids and sources, and extra columns: each stage runs and keeps the columns."""
+    import corpus_pipeline
+
+    odd = frame(spark, TEXTS, [(9, TEXTS[3], "s1", 1, "x"), (None, PASSAGE, None, 1, "x"), (None, None, None, 1, "x")]).withColumn("size", F.lit(1)).withColumn("cls", F.lit("c"))
+    labels = spark.createDataFrame([(0, 0), (3, 1)], "doc_id long, toxic int")
+    for k, d in enumerate((odd, odd.where("false"))):
+        d.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        labels.where(F.lit(k == 0)).write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"{tmp_path}/{k}")
+            assert docs.columns == odd.columns
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        assert bool(pieces) == (k == 0)
+        tokens = {}
+        for p in pieces:
+            tokens[p.sequence_id] = tokens.get(p.sequence_id, 0) + p.length
+        assert all(n <= 4096 and not n & (n - 1) for n in tokens.values())
+
+
+def test_mixed_documents_keep_their_line_breaks(spark):
+    """The document at the cut is a prefix of its text that ends with a word; the others are whole."""
+    rows = [(i, "\n".join(f"w{i} x{k}\ty" for k in range(30)), "ab"[i % 2]) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = by_id(mixing.mix(d))
+    got = defaultdict(list)
+    for r in mixing.mixed_documents(d).collect():
+        got[r.doc_id].append(r.text)
+    text = {i: t for i, t, _ in rows}
+    for i, p in plan.items():
+        assert sum(len(t.split()) for t in got[i]) == p.taken
+        assert all(text[i].startswith(t) and t == t.rstrip() for t in got[i])
+        assert sum(t != text[i] for t in got[i]) <= 1
+    assert any(t != text[i] for i in got for t in got[i])
