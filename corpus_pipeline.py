@@ -54,15 +54,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: The toxicity model, the tokenizer and retrieval packing have no SQL form; tests compare the stages with brute force.
+#: The toxicity model, the tokenizer and retrieval packing have no SQL form; tests hold toxicity against labels, line dedup and near duplicates against brute force, mixing against its plan, packing against the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written to the shared folder and read again."""
+    """The last stage's rows; each stage's result is written to the shared folder, read again, and deleted once its successor is written.
+
+    Null texts, ids and sources, repeated rows, extra columns and empty tables pass through as the operators state.
+    """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs
