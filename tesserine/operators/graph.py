@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, with_total
+
 ATTENUATION, LAMBDA = 0.9, 0.5
 
 
-def neighbours(edges: DataFrame, node: str, direction: str = "out") -> DataFrame:
+def neighbours(edges: DataFrame, node: str, direction: str = "out", kind: str | None = None, limit: int | None = None) -> DataFrame:
+    """Neighbours along or against the edges, of one ``type`` if ``kind`` is given, the first ``limit`` by name."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    return edges.where(F.col(a) == node).select(F.col(b).alias("node"), "weight")
+    e = edges.where(F.col(a) == node)
+    e = e if kind is None else e.where(F.col("type") == kind)
+    out = e.select(F.col(b).alias("node"), "weight")
+    return out if limit is None else out.orderBy("node").limit(limit)
 
 
 def normalised(edges: DataFrame) -> DataFrame:
     """Weights divided by the largest."""
-    return edges.withColumn("weight", F.col("weight") / F.max("weight").over(Window.partitionBy()))
+    return with_total(edges, _top=F.max("weight")).withColumn("weight", F.col("weight") / F.col("_top")).drop("_top")
 
 
 def bfs(edges: DataFrame, starts: list[str], hops: int = 3, cap: int = 10_000) -> DataFrame:
@@ -38,13 +46,20 @@ def bfs(edges: DataFrame, starts: list[str], hops: int = 3, cap: int = 10_000) -
     return seen.where("hop > 0")
 
 
-def scored_traverse(edges: DataFrame, start: str, hops: int = 3, attenuation: float = ATTENUATION) -> DataFrame:
-    """Largest product of weights times ``attenuation`` per hop (consequences use 0.7) over all walks of up to ``hops`` steps; a node keeps its best."""
+def scored_traverse(edges: DataFrame, start: str, hops: int = 3, attenuation: float = ATTENUATION, direction: str = "out") -> DataFrame:
+    """Largest product of weights times ``attenuation`` per hop (consequences use 0.7) over all walks of up to ``hops`` steps
+    along the edges (out), against them (in) or both ways; a node keeps its best."""
+    if not 0 <= hops <= 10:
+        raise ValueError("0 to 10 hops")
+    out, back = edges.select("src", "dst", "weight"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    edges = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
     front = edges.sparkSession.createDataFrame([(start, 1.0)], "node string, score double")
     found = None
     for _ in range(hops):
         front = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight") * attenuation).alias("score"))
         found = front if found is None else found.unionByName(front)
+    if found is None:
+        return front.where("false")
     return found.groupBy("node").agg(F.max("score").alias("score")).where(F.col("node") != start)
 
 
@@ -53,19 +68,56 @@ def _moved(old: DataFrame, new: DataFrame) -> float:
     return old.select("node", F.col("v").alias("w")).join(new, "node").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] or 0.0
 
 
+#: Edges up to which iterations to a tolerance run on the driver over sparse arrays; larger graphs iterate as joins, with the same steps.
+SMALL_GRAPH = 1_000_000
+
+
+def _sparse(both: DataFrame):
+    """(names, row, column, weight) of a small symmetric graph, or None."""
+    import numpy as np
+
+    rows = both.limit(2 * SMALL_GRAPH + 1).collect()
+    if len(rows) > 2 * SMALL_GRAPH:
+        return None
+    names = sorted({r[0] for r in rows})
+    at = {v: i for i, v in enumerate(names)}
+    return names, np.array([at[r[0]] for r in rows], int), np.array([at[r[1]] for r in rows], int), np.array([r[2] for r in rows], float)
+
+
+def _settle(value, step, rounds: int, tol: float):
+    """Arrays: rounds until no value moves by more than tol; NaN stands for no value."""
+    import numpy as np
+
+    for _ in range(rounds):
+        old, value = value, step(value)
+        if not len(value) or np.abs(value - old).max() <= tol:
+            return value
+    raise RuntimeError(f"not converged after {rounds} rounds")
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, tol: float | None = None) -> DataFrame:
     """Jacobi rounds of the weighted neighbour mean on the symmetric graph; seeds (node, label) keep their label.
 
     With ``tol`` rounds go on until no value changes by more, and ``rounds`` without that raise.
     """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = both if tol is None else both.localCheckpoint()
+    if tol is not None and (small := _sparse(both)) is not None:
+        import numpy as np
+
+        names, row, col, w = small
+        fixed = {r[0]: r[1] for r in seeds.select("node", "label").where("label IS NOT NULL").collect()}
+        held = np.array([v in fixed for v in names], bool)
+        start = np.array([fixed.get(v, 0.0) for v in names], float)
+        total = np.bincount(row, w, len(names))
+        value = _settle(start, lambda v: np.where(held, start, np.bincount(row, w * v[col], len(names)) / total), rounds, tol)
+        return edges.sparkSession.createDataFrame(list(zip(names, value.tolist(), strict=True)), "node string, v double")
+    both = both if tol is None else cut(both)
     value = both.select(F.col("src").alias("node")).distinct().join(seeds, "node", "left").select("node", F.coalesce("label", F.lit(0.0)).alias("v"))
     for _ in range(rounds):
         mean = both.join(value, both.dst == value.node).groupBy(F.col("src").alias("node")).agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("m"))
         old, value = value, value.select("node").join(mean, "node", "left").join(seeds, "node", "left").select("node", F.coalesce("label", "m", F.lit(0.0)).alias("v"))
         if tol is not None:
-            value = value.localCheckpoint()
+            value = cut(value)
             if _moved(old, value) <= tol:
                 return value
     if tol is not None:
@@ -85,17 +137,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def betweenness(edges: DataFrame, nodes_limit: int = 2000) -> DataFrame:
-    """Exact Brandes betweenness, one task per source; larger graphs are refused."""
+def betweenness(edges: DataFrame, exact_nodes: int = 2000, pivots: int = 512, edge_limit: int = 4_000_000) -> DataFrame:
+    """Brandes betweenness, sources in parallel: all of them up to ``exact_nodes`` nodes, else ``pivots`` of them by a hash of
+    their names, scaled to all. The adjacency goes to every task, so more than ``edge_limit`` edges are refused."""
     import pandas as pd
 
-    rows = edges.select("src", "dst").distinct().limit(nodes_limit * nodes_limit).collect()
+    rows = edges.select("src", "dst").distinct().limit(edge_limit + 1).collect()
+    if len(rows) > edge_limit:
+        raise RuntimeError(f"more than {edge_limit} edges")
     adj: dict[str, list[str]] = {}
     for a, b in rows:
         adj.setdefault(a, []).append(b)
         adj.setdefault(b, [])
-    if len(adj) > nodes_limit:
-        raise RuntimeError(f"more than {nodes_limit} nodes")
+    chosen = sorted(adj) if len(adj) <= exact_nodes else sorted(adj, key=lambda v: (hashlib.sha256(v.encode()).digest(), v))[:pivots]
+    scale = len(adj) / max(1, len(chosen))
 
     def run(it):
         for pdf in it:
@@ -121,36 +176,63 @@ def betweenness(edges: DataFrame, nodes_limit: int = 2000) -> DataFrame:
                         total[w] = total.get(w, 0.0) + delta[w]
             yield pd.DataFrame({"node": list(total), "b": list(total.values())}, columns=["node", "b"])
 
-    sources = edges.sparkSession.createDataFrame([(v,) for v in sorted(adj)], "node string").repartition(8)
-    return sources.mapInPandas(run, "node string, b double").groupBy("node").agg(F.sum("b").alias("betweenness"))
+    sources = edges.sparkSession.createDataFrame([(v,) for v in chosen], "node string").repartition(max(8, len(chosen) // 64))
+    return sources.mapInPandas(run, "node string, b double").groupBy("node").agg((F.sum("b") * scale).alias("betweenness"))
 
 
-def components_strong(edges: DataFrame, pair_cap: int = 4_000_000) -> DataFrame:
-    """(node, scc): the smallest node of each strongly connected component.
+def components_strong(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, scc): the smallest node of each strongly connected component, by forward and backward colouring.
 
-    Reachability by doubling joins; more than ``pair_cap`` reachable pairs is an error.
+    A node's colour is the smallest node that reaches it; nodes of a colour that reach its
+    first node are one component. They leave, and the rest, cut at the borders of colours, is
+    coloured again. Every step is one join on nodes; no pairs of nodes are formed.
     """
-    nodes = edges.select(F.col("src").alias("a")).union(edges.select("dst")).distinct()
-    reach = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(nodes.select("a", F.col("a").alias("b"))).distinct()
-    before = -1
-    while (now := reach.count()) != before:
-        if now > pair_cap:
-            raise RuntimeError(f"more than {pair_cap} reachable pairs")
-        before = now
-        reach = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().persist()
-    back = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return reach.join(back, ["a", "b"]).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("scc"))
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    done: DataFrame | None = None
+    for _ in range(rounds):
+        colour = left.withColumn("c", F.col("node"))
+        while True:
+            step = e.join(colour, e.src == colour.node).groupBy(F.col("dst").alias("t")).agg(F.min("c").alias("m"))
+            new = cut(colour.join(step, F.col("node") == F.col("t"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")))
+            same = new.join(colour.select("node", F.col("c").alias("o")), "node").where("c <> o").isEmpty()
+            colour = new
+            if same:
+                break
+        ends = e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
+        inner = cut(ends.where("cs = cd").select("src", "dst"))
+        got = front = cut(colour.where("node = c").select("node"))
+        while not front.isEmpty():
+            front = cut(inner.join(front, inner.dst == front.node).select(F.col("src").alias("node")).distinct().join(got, "node", "left_anti"))
+            got = got.unionByName(front)
+        got = cut(got)
+        part = colour.join(got, "node", "left_semi").select("node", F.col("c").alias("scc"))
+        done = part if done is None else done.unionByName(part)
+        left = cut(left.join(got, "node", "left_anti"))
+        if left.isEmpty():
+            return done
+        e = cut(inner.join(got.select(F.col("node").alias("src")), "src", "left_anti").join(got.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    raise RuntimeError(f"strong components did not settle within {rounds} rounds")
+
+
+def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
+    """Edges between strong components: (src, dst, n) with the number of edges that cross."""
+    e = edges.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src").join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
+    return e.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def kernel(edges: DataFrame, anchors: list[str], fraction: float = 0.10) -> DataFrame:
     """The ceil(fraction * n) nodes with the largest 0.4 degree + 0.4 betweenness + 0.2 groundedness, each scaled to its largest value."""
     deg = degrees(edges).select("node", (F.col("out_degree") + F.col("in_degree")).alias("d"))
     all_ = deg.join(betweenness(edges), "node", "left").join(groundedness(edges, anchors, 3), "node", "left")
-    top = Window.partitionBy()
-    part = lambda c: F.coalesce(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), F.max(c).over(top)), F.lit(0.0))
-    scored = all_.select("node", (0.40 * part("d") + 0.40 * part("betweenness") + 0.20 * (1 - F.least(F.coalesce("hop", F.lit(3)), F.lit(3)) / 3)).alias("score"), F.count(F.lit(1)).over(top).alias("n"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "node")))
-    return ranked.where(F.col("rank") <= F.greatest(F.ceil(F.col("n") * fraction), F.lit(1))).select("node", "score", "rank")
+    all_ = with_total(all_, top_d=F.max("d"), top_b=F.max("betweenness"), n=F.count(F.lit(1)))
+    part = lambda c, top: F.coalesce(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), F.col(top)), F.lit(0.0))
+    near = 1 - F.least(F.coalesce("hop", F.lit(3)), F.lit(3)) / 3
+    scored = cut(all_.select("node", (0.40 * part("d", "top_d") + 0.40 * part("betweenness", "top_b") + 0.20 * near).alias("score")))
+    k = max(1, math.ceil(fraction * scored.count()))
+    # The kernel is the answer's size, a share of the nodes; it is ranked after the cut.
+    best = scored.orderBy(F.col("score").desc(), "node").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "node")))
 
 
 def centrality(edges: DataFrame, rounds: int = 20, tol: float | None = None) -> DataFrame:
@@ -160,14 +242,25 @@ def centrality(edges: DataFrame, rounds: int = 20, tol: float | None = None) ->
     """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    both = both if tol is None else both.localCheckpoint()
+    if tol is not None and (small := _sparse(both)) is not None:
+        import numpy as np
+
+        names, row, col, w = small
+
+        def step(v):
+            new = v + np.bincount(row, w * v[col], len(names))
+            return new / new.max()
+
+        value = _settle(np.ones(len(names)), step, rounds, tol) if names else []
+        return edges.sparkSession.createDataFrame(list(zip(names, map(float, value), strict=True)), "node string, v double")
+    both = both if tol is None else cut(both)
     value = both.select(F.col("src").alias("node")).distinct().withColumn("v", F.lit(1.0))
     for _ in range(rounds):
         got = both.join(value, both.dst == value.node).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("v")).alias("a"))
         old, value = value, value.join(got, "node").withColumn("v", F.col("v") + F.col("a"))
         value = value.select("node", (F.col("v") / F.max("v").over(Window.partitionBy())).alias("v"))
         if tol is not None:
-            value = value.localCheckpoint()
+            value = cut(value)
             if _moved(old, value) <= tol:
                 return value
     if tol is not None:

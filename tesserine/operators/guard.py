@@ -3,25 +3,57 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import running
 
-def verdict(scores: DataFrame, tau: float, k: int | None = None) -> DataFrame:
-    """(cx_id, slot, score) -> pass: all slots at tau or above, or at least k of them; a NULL score (zero vector) fails."""
+
+def verdict(scores: DataFrame, tau: float, k: int | None = None, required: list[int] | None = None) -> DataFrame:
+    """(cx_id, slot, score) -> pass: all slots at tau or above, or at least k of them; a NULL score (zero vector) fails.
+
+    With ``required`` only those slots count, and a cx_id without a row for one of them is an error.
+    """
     ok = F.coalesce(F.col("score") >= tau, F.lit(False))
-    g = scores.groupBy("cx_id").agg(F.count_if(ok).alias("passed"), F.count(F.lit(1)).alias("slots"))
+    rows = scores if required is None else scores.where(F.col("slot").isin(required))
+    g = rows.groupBy("cx_id").agg(F.count_if(ok).alias("passed"), F.count(F.lit(1)).alias("slots"))
+    if required is not None:
+        g = scores.select("cx_id").distinct().join(g, "cx_id", "left")
+        missing = F.raise_error(F.concat(F.lit("missing slot of "), F.col("cx_id").cast("string"))).cast("long")
+        g = g.select("cx_id", F.when(F.coalesce("slots", F.lit(0)) == len(set(required)), F.col("passed")).otherwise(missing).alias("passed"), "slots")
     return g.select("cx_id", "passed", (F.col("passed") >= (F.col("slots") if k is None else F.lit(k))).alias("pass"))
 
 
-def conformal_tau(scores: DataFrame, target_far: float, min_bad: int = 50) -> DataFrame:
-    """(score, bad): the smallest bad score above which at most ``target_far`` of the bad scores lie; needs 50 bad ones."""
-    by = scores.groupBy("score").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
-    up = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = by.select("score", F.sum("b").over(up).alias("above"), F.sum("b").over(Window.partitionBy()).alias("nb"), (F.sum("g").over(Window.partitionBy()) - F.sum("g").over(up)).alias("missed"), F.sum("g").over(Window.partitionBy()).alias("ng"))
-    ok = c.where((F.col("above") <= target_far * F.col("nb")) & (F.col("nb") >= min_bad))
-    return ok.agg(F.min("score").alias("tau"), F.max_by("above", "above").alias("false_accepts"), F.min("missed").alias("false_rejects"))
+def most_accepts(n: int, target: float, alpha: float) -> int:
+    """Most false accepts among n bad scores whose share is at most the target and whose binomial tail is at most alpha; -1 for none."""
+    best, tail = -1, 0.0
+    for k in range(n):
+        tail += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(target) + (n - k) * math.log1p(-target))
+        if tail > alpha + 2.220446049250313e-16 or k / n > target + 1.1920928955078125e-07:
+            break
+        best = k
+    return best
+
+
+def conformal_tau(scores: DataFrame, target_far: float, alpha: float = 0.05, min_bad: int = 50) -> DataFrame:
+    """(score, bad) -> one row (tau, false_accepts, false_rejects): the smallest threshold, a bad score or the next
+    number above one, at which the share of accepted bad scores and its confidence bound hold; without one, the next
+    number above the largest bad score. Fewer than ``min_bad`` bad scores are an error.
+    """
+    if not (0 <= target_far < 1 and 0 <= alpha <= 1):
+        raise ValueError("target_far must be in [0, 1), alpha in [0, 1]")
+    by = scores.groupBy(F.col("score").cast("double").alias("score")).agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+    all_ = by.agg(F.sum("b"), F.sum("g")).first()
+    n, good = all_[0] or 0, all_[1] or 0
+    if n < min_bad:
+        raise ValueError(f"{n} bad scores of at least {min_bad}")
+    allowed = max(0, most_accepts(n, target_far, alpha)) if target_far else 0
+    # The threshold follows the smallest score above which at most ``allowed`` bad ones lie.
+    c = running(by, "score", ["b", "g"]).select("score", (F.lit(n) - F.col("b_before") - F.col("b")).alias("above"), (F.col("g_before") + F.col("g")).alias("missed"), "b")
+    r = c.where((F.col("above") <= allowed) & (F.col("b") > 0)).agg(F.min("score"), F.max("above"), F.min("missed")).first()
+    return scores.sparkSession.createDataFrame([(math.nextafter(r[0], math.inf), r[1], min(r[2], good))], "tau double, false_accepts long, false_rejects long")
 
 
 def drift(outcomes: DataFrame, key: str, order: str, failed: str, window: int) -> DataFrame:

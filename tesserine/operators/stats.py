@@ -7,20 +7,20 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import running
 
-def mid_rank(col: str) -> Column:
-    """Ranks with ties at their middle. Ranking needs one global order; it is meant for samples."""
-    peers = Window.partitionBy(col)
-    return F.rank().over(Window.orderBy(col)) + (F.count(F.lit(1)).over(peers) - 1) / 2
+
+def value_ranks(df: DataFrame, col: str) -> DataFrame:
+    """(v, low, mid, n): the first and the middle rank of each distinct value and how often it occurs; NULL has no rank."""
+    n = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return running(n, "v", ["n"]).select("v", (F.col("n_before") + 1).alias("low"), (F.col("n_before") + (F.col("n") + 1) / 2).alias("mid"), "n")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson of mid-ranks. Ranks come from counts per distinct value, so rows are never sorted in one task."""
 
     def ranks(c: str) -> DataFrame:
-        n = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(F.col("v").alias(f"v_{c}"), (below + (F.col("n") + 1) / 2).alias(f"r_{c}"))
+        return value_ranks(df, c).select(F.col("v").alias(f"v_{c}"), F.col("mid").alias(f"r_{c}"))
 
     j = df.join(ranks(x), F.col(x) == F.col(f"v_{x}")).join(ranks(y), F.col(y) == F.col(f"v_{y}"))
     return j.agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
@@ -85,9 +85,10 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 
 
 def copula(df: DataFrame, x: str, y: str, q: float = 0.1) -> DataFrame:
-    """Blomqvist's beta and tail dependence of the ranks u = rank / (n + 1) of a bounded sample; ties are refused."""
-    n = Window.partitionBy()
-    u = df.select(*[(F.rank().over(Window.orderBy(c)) / (F.count(F.lit(1)).over(n) + 1)).alias(k) for c, k in ((x, "u"), (y, "v"))])
+    """Blomqvist's beta and tail dependence of the ranks u = rank / (n + 1); ties are refused."""
+    n = df.count()
+    ranks = [value_ranks(df, c).select(F.col("v").alias(f"_{k}"), (F.col("low") / F.lit(n + 1)).alias(k)) for c, k in ((x, "u"), (y, "v"))]
+    u = df.join(ranks[0], F.col(x) == F.col("_u")).join(ranks[1], F.col(y) == F.col("_v")).select("u", "v")
     half = F.count_if((F.col("u") <= 0.5) & (F.col("v") <= 0.5)) / F.count(F.lit(1))
     low = F.count_if((F.col("u") <= q) & (F.col("v") <= q)) / F.count(F.lit(1)) / q
     high = F.count_if((F.col("u") > 1 - q) & (F.col("v") > 1 - q)) / F.count(F.lit(1)) / q

@@ -1,11 +1,13 @@
 """A read-only Cypher subset over nodes(id, label, name, ...) and edges(src, dst, type).
 
-MATCH (a:L {k: "v"})-[:T|U*1..3]->(b), OPTIONAL MATCH, WHERE with AND/OR/NOT,
+MATCH (a:L {k: "v"})-[:T|U*1..3]->(b), OPTIONAL MATCH, WHERE with AND/OR/XOR/NOT,
 comparisons, CONTAINS, STARTS WITH, ENDS WITH, =~, IN, IS [NOT] NULL and
-EXISTS { (a)-[:T]->() }, RETURN [DISTINCT] with aggregates and aliases, ORDER BY,
-SKIP, LIMIT, UNION [ALL]. Patterns become joins; variable lengths become one union
-of joins per length up to ``MAX_HOPS``; a larger bound, a larger LIMIT than ``MAX_ROWS`` and pairs
-of nodes that only longer paths join are refused. Write clauses are refused.
+EXISTS { (a)-[:T]->() } anywhere in a condition, UNWIND [..] AS x, CASE, RETURN
+[DISTINCT] with aggregates and aliases, ORDER BY, SKIP, LIMIT, UNION [ALL]. Text in
+single or double quotes is set aside before anything is parsed. Patterns become joins;
+variable lengths become one union of joins per length up to ``MAX_HOPS``; a larger
+bound, a larger LIMIT than ``MAX_ROWS`` and pairs of nodes that only longer paths join
+are refused, as are write clauses and clauses that are not known.
 """
 
 from __future__ import annotations
@@ -23,9 +25,27 @@ _AGG = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max
 _FUNCS = {"tolower": F.lower, "toupper": F.upper, "tostring": lambda c: c.cast("string"), "coalesce": F.coalesce, "substring": lambda c, a, n: F.substring(c, a + 1, n)}
 
 
+def _split(text: str, word: str) -> list[str]:
+    """Cut at a word (or sign) outside of brackets and CASE ... END."""
+    out, depth, last = [], 0, 0
+    sign = re.escape(word) if not word.isalpha() else rf"\b{word}\b"
+    for m in re.finditer(rf"[(\[{{]|[)\]}}]|\bCASE\b|\bEND\b|{sign}", text):
+        if m[0] in ("(", "[", "{", "CASE"):
+            depth += 1
+        elif m[0] in (")", "]", "}", "END"):
+            depth -= 1
+        elif depth == 0:
+            out.append(text[last : m.start()])
+            last = m.end()
+    return [*out, text[last:]]
+
+
 class Cypher:
     def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
         self.nodes, self.edges = nodes, edges
+        self.texts: list[str] = []
+        self.scalars: set[str] = set()
+        self._optional = False
         self.props = nodes.columns
 
     # --- patterns
@@ -33,8 +53,11 @@ class Cypher:
         n = self.nodes
         if label:
             n = n.where(F.col("label") == label)
-        for k, v in re.findall(r"(\w+)\s*:\s*\"([^\"]*)\"", props or ""):
-            n = n.where(F.col(k) == v)
+        for item in filter(str.strip, (props or "").strip("{} \n").split(",")):
+            m = re.fullmatch(r"\s*(\w+)\s*:\s*(\S+)\s*", item)
+            if not m:
+                raise ValueError(f"unknown property {item!r}")
+            n = n.where(F.col(m[1]) == self._value(m[2]))
         return n.select(*[F.col(c).alias(f"{var}.{c}") for c in self.props])
 
     def _hops(self, types: str | None, span: str | None) -> DataFrame:
@@ -110,29 +133,38 @@ class Cypher:
     # --- expressions
     def _value(self, text: str) -> Column:
         text = text.strip()
-        if m := re.fullmatch(r"\"([^\"]*)\"|'([^']*)'", text):
-            return F.lit(m[1] if m[1] is not None else m[2])
+        if m := re.fullmatch(r"\x00(\d+)\x00", text):
+            return F.lit(self.texts[int(m[1])])
         if re.fullmatch(r"-?\d+", text):
             return F.lit(int(text))
         if re.fullmatch(r"-?\d+\.\d+", text):
             return F.lit(float(text))
+        if text.upper() in ("TRUE", "FALSE", "NULL"):
+            return F.lit({"TRUE": True, "FALSE": False, "NULL": None}[text.upper()])
+        if m := re.fullmatch(r"CASE\s+(WHEN\b.*?)(?:\s+ELSE\s+(.*?))?\s+END", text, re.S):
+            out = None
+            for w in re.findall(r"WHEN\s+(.*?)\s+THEN\s+(.*?)(?=\s+WHEN\b|\s*$)", m[1], re.S):
+                out = (F if out is None else out).when(self._condition(w[0]), self._value(w[1]))
+            return out if m[2] is None else out.otherwise(self._value(m[2]))
         if m := re.fullmatch(r"(\w+)\.(\w+)", text):
             return F.col(f"`{m[1]}.{m[2]}`")
         if m := re.fullmatch(r"(\w+)\((.*)\)", text, re.S):
-            args = [a for a in re.split(r",(?![^()]*\))", m[2]) if a.strip()]
+            args = [a for a in _split(m[2], ",") if a.strip()]
             return _FUNCS[m[1].lower()](*[int(a) if re.fullmatch(r"\s*\d+\s*", a) else self._value(a) for a in args])
         if re.fullmatch(r"\w+", text):
-            return F.col(f"`{text}.id`")
+            return F.col(f"`{text}`") if text in self.scalars else F.col(f"`{text}.id`")
         raise ValueError(f"unknown expression {text!r}")
 
     def _condition(self, text: str) -> Column:
         text = text.strip()
-        for word, op in ((r"\bOR\b", lambda a, b: a | b), (r"\bXOR\b", lambda a, b: a != b), (r"\bAND\b", lambda a, b: a & b)):
-            parts = re.split(word + r"(?![^({\[]*[)}\]])", text)
+        for word, op in (("OR", lambda a, b: a | b), ("XOR", lambda a, b: a != b), ("AND", lambda a, b: a & b)):
+            parts = _split(text, word)
             if len(parts) > 1:
                 return reduce(op, map(self._condition, parts))
-        if text.startswith("NOT "):
-            return ~self._condition(text[4:])
+        if re.match(r"NOT\b", text):
+            return ~self._condition(text[3:])
+        if m := re.fullmatch(r"\x01(\d+)\x01", text):
+            return F.coalesce(F.col(f"_exists{m[1]}"), F.lit(False))
         if text.startswith("(") and text.endswith(")"):
             return self._condition(text[1:-1])
         if m := re.fullmatch(r"(.+?)\s+IS\s+(NOT\s+)?NULL", text):
@@ -144,24 +176,28 @@ class Cypher:
             if f" {word} " in text:
                 a, b = text.split(f" {word} ", 1)
                 return op(self._value(a), self._value(b))
-        m = re.fullmatch(r"(.+?)\s*(<>|<=|>=|=~|=|<|>)\s*(.+)", text)
+        m = re.fullmatch(r"(.+?)\s*(<>|<=|>=|=~|=|<|>)\s*(.+)", text, re.S)
+        if not m:
+            raise ValueError(f"unknown condition {text!r}")
         a, b = self._value(m[1]), self._value(m[3])
         return {"=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b, "=~": lambda: F.regexp_like(a, F.concat(F.lit("^(?:"), b, F.lit(")$")))}[m[2]]()
 
     def _where(self, rows: DataFrame, text: str) -> DataFrame:
-        """EXISTS parts become semi or anti joins, the rest one filter."""
-        pattern = r"(NOT\s+)?EXISTS\s*\{\s*\((\w+)\)\s*" + _REL + r"\s*\(\s*\)\s*\}"
-        for m in re.finditer(pattern, text):
-            e = self._hops(m[4], m[5])
-            key = "dst" if m[3] else "src"
-            rows = rows.join(e.select(F.col(key).alias("_x")).distinct(), F.col(f"`{m[2]}.id`") == F.col("_x"), "left_anti" if m[1] else "left_semi")
-        rest = [t for t in re.split(r"\bAND\b", re.sub(pattern, "", text)) if t.strip()]
-        return rows.where(self._condition(" AND ".join(rest))) if rest else rows
+        """Each EXISTS part becomes a flag by a join with the nodes that have such an edge; then one filter."""
+        names = rows.columns
+        pattern = r"EXISTS\s*\{\s*\((\w+)\)\s*" + _REL + r"\s*\(\s*\)\s*\}"
+        for i, m in enumerate(re.finditer(pattern, text)):
+            e = self._hops(m[3], m[4])
+            key = "dst" if m[2] else "src"
+            flags = e.select(F.col(key).alias(f"_x{i}")).distinct().withColumn(f"_exists{i}", F.lit(True))
+            rows = rows.join(flags, F.col(f"`{m[1]}.id`") == F.col(f"_x{i}"), "left")
+            text = text.replace(m[0], f"\x01{i}\x01", 1)
+        return rows.where(self._condition(text)).select(*[F.col(f"`{c}`") for c in names])
 
     def _return(self, rows: DataFrame, text: str) -> DataFrame:
         m = re.match(r"\s*(DISTINCT\s+)?(.*?)(?:\s+ORDER\s+BY\s+(.*?))?(?:\s+SKIP\s+(\d+))?(?:\s+LIMIT\s+(\d+))?\s*$", text, re.S)
         keys, aggs = [], []
-        for item in re.split(r",(?![^()]*\))", m[2]):
+        for item in _split(m[2], ","):
             x = re.fullmatch(r"\s*(.+?)(?:\s+AS\s+(\w+))?\s*", item, re.S)
             name = x[2] or re.sub(r"\W+", "_", x[1]).strip("_")
             if a := re.fullmatch(r"(count|sum|avg|min|max|collect)\(\s*(DISTINCT\s+)?(.*)\)", x[1], re.I | re.S):
@@ -181,8 +217,15 @@ class Cypher:
         return out.limit(int(m[5])) if m[5] else out
 
     def run(self, query: str) -> DataFrame:
-        if re.search(r"\b(CREATE|MERGE|DELETE|SET|REMOVE|DETACH)\b", query):
-            raise ValueError("write clauses are not supported")
+        self.texts, self.scalars = [], set()
+
+        def aside(m: re.Match) -> str:
+            self.texts.append(m[0][1:-1])
+            return f"\x00{len(self.texts) - 1}\x00"
+
+        query = re.sub(r"\"[^\"]*\"|'[^']*'", aside, query)
+        if m := re.search(r"\b(CREATE|MERGE|DELETE|SET|REMOVE|DETACH|WITH|CALL|FOREACH|LOAD)\b", re.sub(r"\b(STARTS|ENDS)\s+WITH\b", "", query)):
+            raise ValueError(f"{m[1]} is not supported")
         union = re.split(r"\bUNION(\s+ALL)?\b", query)
         out = None
         for i in range(0, len(union), 2):
@@ -192,9 +235,23 @@ class Cypher:
 
     def _single(self, query: str) -> DataFrame:
         head, tail = re.split(r"\bRETURN\b", query, maxsplit=1)
-        rows, bound = None, []
-        for m in re.finditer(r"(OPTIONAL\s+)?MATCH\s+(.*?)(?:\s+WHERE\s+(.*?))?(?=\s+(?:OPTIONAL\s+)?MATCH\b|\s*$)", head.strip(), re.S):
-            rows = self._pattern(m[2].strip(), rows, bool(m[1]), bound)
-            if m[3]:
-                rows = self._where(rows, m[3])
+        rows, bound, self._optional = None, [], False
+        clause = r"(?:OPTIONAL\s+)?MATCH\b|UNWIND\b"
+        for part in re.split(rf"(?={clause})", re.sub(r"OPTIONAL\s+MATCH", "OPTIONAL_MATCH", head).replace("OPTIONAL_MATCH", "\x02MATCH")):
+            optional = part.rstrip().endswith("\x02")
+            part = part.replace("\x02", "").strip()
+            if not part:
+                self._optional = optional
+                continue
+            if m := re.fullmatch(r"UNWIND\s+\[(.*)\]\s+AS\s+(\w+)", part, re.S):
+                base = self.nodes.sparkSession.range(1).select() if rows is None else rows
+                rows = base.select("*", F.explode(F.array(*[self._value(x) for x in _split(m[1], ",")])).alias(m[2]))
+                self.scalars.add(m[2])
+            elif m := re.fullmatch(r"MATCH\s+(.*?)(?:\s+WHERE\s+(.*))?", part, re.S):
+                rows = self._pattern(m[1].strip(), rows, self._optional, bound)
+                if m[2]:
+                    rows = self._where(rows, m[2])
+            else:
+                raise ValueError(f"unknown clause {part!r}")
+            self._optional = optional
         return self._return(rows, tail)

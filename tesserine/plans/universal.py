@@ -52,8 +52,13 @@ class UniversalQuery:
             raise RuntimeError(f"estimated cost {total:g} ms exceeds the cap {self.cap_ms:g} ms")
         return steps
 
+    def rows(self) -> int:
+        """Rows of the largest table that the query scans."""
+        tables = [x[0] for x in (self.relational, self.document, self.series) if x]
+        return max((t.count() for t in tables), default=0)
+
     def run(self) -> DataFrame:
-        self.plan()
+        self.plan(self.rows())
         rows: DataFrame | None = None
         if self.relational:
             rows = P.where_all(*self.relational)

@@ -42,10 +42,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import registered  # noqa: F401  its modules register their queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registered  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -134,8 +138,9 @@ def _(s, d):
     return L.latest(kv, ["ns", "key"], "seq").orderBy("key").limit(100).select("ns", "key", "value")
 
 
-def _points(s, d):
-    return read(s, d, "events").select(F.col("user_id").alias("series"), T.epoch("ts").alias("t"), F.col("value").alias("val"), F.col("event_id").alias("seq"))
+def _points(s, d, where=None):
+    e = read(s, d, "events")
+    return (e if where is None else e.where(where)).select(F.col("user_id").alias("series"), T.epoch("ts").alias("t"), F.col("value").alias("val"), F.col("event_id").alias("seq"))
 
 
 _POINTS = f"(SELECT user_id AS series, {EPOCH} AS t, value AS val, event_id AS seq FROM events)"
@@ -143,7 +148,8 @@ _POINTS = f"(SELECT user_id AS series, {EPOCH} AS t, value AS val, event_id AS s
 
 @query("ts_range", f"SELECT series, t, arg_max(val, seq) AS val FROM {_POINTS} WHERE t BETWEEN 1704500000 AND 1705500000 GROUP BY series, t")
 def _(s, d):
-    return L.latest(_points(s, d).where(P.in_window("t", 1704500000, 1705500000)), ["series", "t"], "seq").select("series", "t", "val")
+    e = read(s, d, "events")
+    return L.latest(_points(s, d, P.in_seconds(e, "ts", 1704500000, 1705500000)), ["series", "t"], "seq").select("series", "t", "val")
 
 
 for _span, _w in L.SPANS.items():
@@ -589,9 +595,19 @@ def _(s, d):
     return U.verdict(_slots(s, d), 0.1, 2)
 
 
-@query("conformal_tau", "WITH x AS (SELECT l_extendedprice AS score, l_returnflag = 'R' AS bad FROM lineitem), g AS (SELECT score, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS b, sum(CASE WHEN bad THEN 0 ELSE 1 END) AS g FROM x GROUP BY score), c AS (SELECT score, sum(b) OVER w AS above, sum(b) OVER () AS nb, sum(g) OVER () - sum(g) OVER w AS missed FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT min(score) AS tau, CAST(max(above) AS BIGINT) AS false_accepts, CAST(min(missed) AS BIGINT) AS false_rejects FROM c WHERE above <= 0.05 * nb AND nb >= 50")
+@query(
+    "conformal_tau",
+    """WITH x AS (SELECT l_extendedprice AS score, l_returnflag = 'R' AS bad FROM lineitem),
+    n AS (SELECT CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS nb FROM x),
+    p AS (SELECT nb, k, sum(exp(lgamma(nb + 1) - lgamma(k + 1) - lgamma(nb - k + 1) + k * ln(0.05::DOUBLE) + (nb - k) * ln(0.95::DOUBLE))) OVER (ORDER BY k) AS tail
+          FROM n, unnest(range(0, nb)) AS t(k)),
+    m AS (SELECT coalesce(max(k), 0) AS allowed FROM p WHERE tail <= 0.05 AND k <= 0.05 * nb),
+    v AS (SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score DESC) AS r FROM x WHERE bad), m WHERE r = allowed + 1)
+    SELECT nextafter((SELECT score FROM v), 'inf'::DOUBLE) AS tau, count(*) FILTER (WHERE bad AND score > (SELECT score FROM v)) AS false_accepts,
+           count(*) FILTER (WHERE NOT bad AND score <= (SELECT score FROM v)) AS false_rejects FROM x""",
+)
 def _(s, d):
-    x = read(s, d, _LI).select(F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").alias("bad"))
+    x = read(s, d, "lineitem").select(F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").alias("bad"))
     return U.conformal_tau(x, 0.05)
 
 
