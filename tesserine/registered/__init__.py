@@ -1,0 +1,3 @@
+"""Modules of registered queries; importing them registers."""
+
+from . import filters  # noqa: F401
