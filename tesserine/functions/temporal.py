@@ -62,3 +62,11 @@ def recurrence_boost(freq: Column, age: Column) -> Column:
 def boosted(score: Column, fuse: Column, recurrence: Column, alpha: float = ALPHA) -> Column:
     """Only positive scores are boosted."""
     return F.when(score > 0, score + score * (fuse * alpha + recurrence)).otherwise(score)
+
+
+def circular_score(value: Column, target: int, period: int) -> Column:
+    """1 at the target, falling to 0 half a period away on the circle."""
+    if not 0 <= target < period:
+        raise ValueError(f"target must be in [0, {period})")
+    apart = F.abs(value - target)
+    return 1 - F.least(apart, F.lit(period) - apart) / F.lit(period / 2)

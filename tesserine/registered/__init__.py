@@ -1,3 +1,5 @@
 """Modules of registered queries; importing them registers."""
 
 from . import filters  # noqa: F401
+from . import retrieval  # noqa: F401
+from . import events  # noqa: F401
