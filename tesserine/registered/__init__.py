@@ -4,3 +4,4 @@ from . import filters  # noqa: F401
 from . import retrieval  # noqa: F401
 from . import events  # noqa: F401
 from . import structure  # noqa: F401
+from . import inference  # noqa: F401
