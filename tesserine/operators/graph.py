@@ -228,7 +228,8 @@ def kernel(edges: DataFrame, anchors: list[str], fraction: float = 0.10) -> Data
     all_ = with_total(all_, top_d=F.max("d"), top_b=F.max("betweenness"), n=F.count(F.lit(1)))
     part = lambda c, top: F.coalesce(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), F.col(top)), F.lit(0.0))
     near = 1 - F.least(F.coalesce("hop", F.lit(3)), F.lit(3)) / 3
-    scored = cut(all_.select("node", (0.40 * part("d", "top_d") + 0.40 * part("betweenness", "top_b") + 0.20 * near).alias("score")))
+    # Equal nodes must tie whatever the order of their sums.
+    scored = cut(all_.select("node", F.round(0.40 * part("d", "top_d") + 0.40 * part("betweenness", "top_b") + 0.20 * near, 9).alias("score")))
     k = max(1, math.ceil(fraction * scored.count()))
     # The kernel is the answer's size, a share of the nodes; it is ranked after the cut.
     best = scored.orderBy(F.col("score").desc(), "node").limit(k)

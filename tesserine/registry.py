@@ -577,9 +577,16 @@ def _(s, d):
     return p.groupBy("a", "b").agg(r6(F.avg("c")).alias("mean"), r6(F.least(F.greatest(F.avg("c"), F.lit(0.0)), F.lit(1.0))).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-@query("graph_betweenness")
+# Shortest ways of this graph have at most three edges, so three levels of walks hold them all.
+_WAYS = f"""e AS (SELECT DISTINCT src, dst FROM {_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+l1 AS (SELECT src AS s, dst AS v, CAST(1 AS DOUBLE) AS c FROM e), l2 AS (SELECT l.s, e.dst AS v, sum(c) AS c FROM l1 l JOIN e ON l.v = e.src GROUP BY 1, 2), l3 AS (SELECT l.s, e.dst AS v, sum(c) AS c FROM l2 l JOIN e ON l.v = e.src GROUP BY 1, 2),
+a AS (SELECT s, v, 1 AS d, c FROM l1 UNION ALL SELECT s, v, 2, c FROM l2 UNION ALL SELECT s, v, 3, c FROM l3), w AS (SELECT s, v, min(d) AS d, arg_min(c, d) AS c FROM a WHERE s <> v GROUP BY 1, 2),
+b AS (SELECT x.v AS node, sum(x.c * y.c / z.c) AS betweenness FROM w x JOIN w y ON x.v = y.s JOIN w z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d GROUP BY 1)"""
+
+
+@query("graph_betweenness", f"WITH {_WAYS} SELECT node, round(coalesce(betweenness, 0), 6) AS betweenness FROM n LEFT JOIN b USING (node) WHERE node IN (SELECT v FROM w)")
 def _(s, d):
-    return G.betweenness(_edges(s, d))
+    return G.betweenness(_edges(s, d)).withColumn("betweenness", r6("betweenness"))
 
 
 # --- guard, ledger, prediction
@@ -706,15 +713,51 @@ def _hourly(s, d):
 
 
 query("ksg_mutual_information")(lambda s, d: E.ksg_mi(_hourly(s, d), "n", "v"))
-query("distance_correlation")(lambda s, d: E.distance_correlation(_hourly(s, d), "n", "v"))
-query("hsic")(lambda s, d: E.hsic(_hourly(s, d), "n", "v"))
 query("granger")(lambda s, d: E.granger(_hourly(s, d), "t", "n", "v"))
-query("lomb_scargle")(lambda s, d: E.lomb_scargle(_hourly(s, d), "t", "n", [6.0, 12.0, 24.0, 168.0]))
-query("mmd_two_sample")(lambda s, d: E.mmd(_hourly(s, d).withColumn("g", (F.col("t") % 2).cast("double")), "v", "g"))
 
 
 _HOURLY = f"(SELECT {EPOCH} // 3600 AS t, CAST(count(*) AS DOUBLE) AS n, sum(value) AS v, max(event_id) AS last FROM events GROUP BY 1)"
 
+_CENTRED = f"""h AS (SELECT row_number() OVER (ORDER BY t) AS i, n, v FROM {_HOURLY}),
+p AS (SELECT a.i, b.i AS j, abs(a.n - b.n) AS d, abs(a.v - b.v) AS e FROM h a, h b)"""
+
+
+@query(
+    "distance_correlation",
+    f"""WITH {_CENTRED}, c AS (SELECT d - avg(d) OVER (PARTITION BY i) - avg(d) OVER (PARTITION BY j) + avg(d) OVER () AS d, e - avg(e) OVER (PARTITION BY i) - avg(e) OVER (PARTITION BY j) + avg(e) OVER () AS e FROM p)
+    SELECT round(sqrt(greatest(avg(d * e), 0) / sqrt(avg(d * d) * avg(e * e))), 6) AS dcor, (SELECT count(*) FROM h) AS n FROM c""",
+)
+def _(s, d):
+    return E.distance_correlation(_hourly(s, d), "n", "v").withColumn("dcor", r6("dcor"))
+
+
+@query(
+    "hsic",
+    f"""WITH {_CENTRED}, w AS (SELECT median(d * d) FILTER (WHERE d > 0) AS sd, median(e * e) FILTER (WHERE e > 0) AS se FROM p), k AS (SELECT i, j, exp(-d * d / sd) AS d, exp(-e * e / se) AS e FROM p, w),
+    c AS (SELECT d - avg(d) OVER (PARTITION BY i) - avg(d) OVER (PARTITION BY j) + avg(d) OVER () AS c, e FROM k) SELECT round(sum(c * e) / ((SELECT count(*) FROM h) - 1) ** 2, 9) AS hsic, (SELECT count(*) FROM h) AS n FROM c""",
+)
+def _(s, d):
+    return E.hsic(_hourly(s, d), "n", "v").withColumn("hsic", F.round("hsic", 9))
+
+
+@query(
+    "lomb_scargle",
+    f"""WITH p AS (SELECT unnest([6.0::DOUBLE, 12.0, 24.0, 168.0]) AS period), x AS (SELECT period, n AS y, cos(2 * pi() * t / period) AS c, sin(2 * pi() * t / period) AS s FROM {_HOURLY}, p),
+    r AS (SELECT period, corr(y, c) AS yc, corr(y, s) AS ys, corr(c, s) AS cs FROM x GROUP BY 1), w AS (SELECT period, (yc * yc + ys * ys - 2 * yc * ys * cs) / (1 - cs * cs) AS power FROM r)
+    SELECT round(power, 6) AS power, period FROM w ORDER BY w.power DESC, period DESC LIMIT 1""",
+)
+def _(s, d):
+    return E.lomb_scargle(_hourly(s, d), "t", "n", [6.0, 12.0, 24.0, 168.0]).withColumn("power", r6("power"))
+
+
+@query(
+    "mmd_two_sample",
+    f"""WITH h AS (SELECT t, v, t % 2 AS g FROM {_HOURLY}), p AS (SELECT a.g AS g, b.g AS k, (a.v - b.v) * (a.v - b.v) AS d FROM h a, h b), w AS (SELECT median(d) FILTER (WHERE d > 0) AS s FROM p),
+    m AS (SELECT g, k, avg(exp(-d / s)) AS m FROM p, w GROUP BY 1, 2) SELECT round(sum(CASE WHEN g = k THEN m ELSE -m END), 9) AS mmd2, (SELECT count(*) FROM h) AS n FROM m""",
+)
+def _(s, d):
+    return E.mmd(_hourly(s, d).withColumn("g", (F.col("t") % 2).cast("double")), "v", "g").withColumn("mmd2", F.round("mmd2", 9))
+
 
 @query("copula_tails", f"WITH r AS (SELECT CAST(rank() OVER (ORDER BY last) AS DOUBLE) / (count(*) OVER () + 1) AS u, CAST(rank() OVER (ORDER BY t) AS DOUBLE) / (count(*) OVER () + 1) AS v FROM {_HOURLY}), a AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE u <= 0.5 AND v <= 0.5) AS h, count(*) FILTER (WHERE u <= 0.1::DOUBLE AND v <= 0.1::DOUBLE) AS l, count(*) FILTER (WHERE u > 1 - 0.1::DOUBLE AND v > 1 - 0.1::DOUBLE) AS g FROM r) SELECT round(4 * (h / n) - 1, 6) AS beta, round(least(l / n / 0.1::DOUBLE, 1), 6) AS lower, round(least(g / n / 0.1::DOUBLE, 1), 6) AS upper FROM a")
 def _(s, d):
@@ -743,7 +786,17 @@ def _(s, d):
     return G.components_strong(_edges(s, d))
 
 
-query("graph_kernel")(lambda s, d: G.kernel(_edges(s, d), ["r0", "r3"]))
+
+
+@query(
+    "graph_kernel",
+    f"""WITH {_WAYS}, g AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM {_EDGES} UNION ALL SELECT dst FROM {_EDGES}) GROUP BY 1),
+    r AS (SELECT node, min(d) AS hop FROM (SELECT s AS node, d FROM w WHERE v IN ('r0', 'r3') UNION ALL SELECT unnest(['r0', 'r3']), 0) GROUP BY 1),
+    k AS (SELECT node, 0.40::DOUBLE * (d / CAST(max(d) OVER () AS DOUBLE)) + 0.40::DOUBLE * coalesce(coalesce(betweenness, 0) / max(betweenness) OVER (), 0) + 0.20::DOUBLE * (1 - least(coalesce(hop, 3), 3) / 3.0::DOUBLE) AS score FROM g LEFT JOIN b USING (node) LEFT JOIN r USING (node)),
+    o AS (SELECT node, score, row_number() OVER (ORDER BY round(score, 9) DESC, node) AS rank, count(*) OVER () AS n FROM k) SELECT node, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= ceil(n * 0.10::DOUBLE)""",
+)
+def _(s, d):
+    return G.kernel(_edges(s, d), ["r0", "r3"]).withColumn("score", r6("score"))
 
 
 query("transfer_entropy")(lambda s, d: H.transfer_entropy(_hourly(s, d), "t", "n", "v"))
