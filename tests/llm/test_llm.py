@@ -551,3 +551,106 @@ def test_mixed_documents_keep_their_line_breaks(spark):
         assert all(text[i].startswith(t) and t == t.rstrip() for t in got[i])
         assert sum(t != text[i] for t in got[i]) <= 1
     assert any(t != text[i] for i in got for t in got[i])
+
+
+def plain_mix(x):
+    """64-bit finaliser on whole numbers."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_fingerprint(text, slots, from_level):
+    """The parsing of one text, symbol by symbol."""
+    golden = 0x9E3779B97F4A7C15
+    names, level, best = [ord(c) + 1 for c in text], 0, [None] * slots
+    while names:
+        if level >= from_level or len(names) == 1:
+            for v in names:
+                h = plain_mix((v + level * golden) % 2**64)
+                best[h % slots] = h if best[h % slots] is None else min(best[h % slots], h)
+        if len(names) == 1:
+            break
+        runs = []
+        for v in names:
+            if runs and runs[-1][0] == v:
+                runs[-1][1] += 1
+            else:
+                runs.append([v, 1])
+        sym = [v if n == 1 else plain_mix(v ^ n * golden % 2**64) for v, n in runs]
+        lab = sym
+        for _ in range(3):
+            new = []
+            for i, v in enumerate(lab):
+                diff = max(v ^ lab[i - 1], 1) if i else 1
+                k = (diff & -diff).bit_length() - 1
+                new.append(2 * k + (v >> k & 1))
+            lab = new
+        cuts = [i for i in range(2, len(sym) - 1) if lab[i] < lab[i - 1] and lab[i] <= lab[i + 1]]
+        bounds, names = [0, *cuts, len(sym)], []
+        for a, z in zip(bounds, bounds[1:]):
+            total = 0
+            for place, v in enumerate(sym[a:z]):
+                salted = (v ^ v >> 29) * (0x100000001B3 + (place + 1) * golden) % 2**64
+                total += salted ^ salted >> 32
+            names.append(plain_mix(total % 2**64 ^ z - a))
+        level += 1
+    return [0 if h is None else plain_mix(h) % 65535 + 1 for h in best]
+
+
+def test_fingerprints_against_a_plain_parser():
+    rng = np.random.default_rng(11)
+    some = [t or "" for t in TEXTS if t != LONG] + ["".join(rng.choice(list("ab "), n)) for n in (1, 2, 3, 5, 40, 300)] + ["z" * 70, LONG[:900]]
+    for level in (0, 2):
+        got = fingerprints.signatures(some, 16, level)
+        want = [plain_fingerprint(t, 16, level) for t in some]
+        assert got.tolist() == want
+    a, b = got[-1], got[-3]
+    used = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if x or y]
+    assert fingerprints.likeness(a[None], b[None])[0] == pytest.approx(sum(x == y for x, y in used) / len(used))
+
+
+def test_toxicity_fit_against_plain_loops():
+    """The same steps, row by row and threshold by threshold."""
+    rng = np.random.default_rng(6)
+    y = np.array([0] * 30 + [1] * 20)
+    rows = [np.unique(np.concatenate([rng.integers(100, 160, 8), rng.choice([1, 2, 3, 4], rng.integers(1, 5)) if t else np.zeros(0, int)])) for t in y]
+    model = toxicity.fit(rows, y, epochs=40)
+    bound = toxicity.select(rows, y).tolist()
+    grade = toxicity.grades(rows, y, np.array(bound))
+    k = int(grade.max())
+    w, cuts = dict.fromkeys(bound, 0.0), [float(j + 1) for j in range(k)]
+    gw, gc = dict.fromkeys(bound, 1e-8), [1e-8] * k
+    share = {True: 0.5 / max(1, int((grade > 0).sum())), False: 0.5 / max(1, int((grade == 0).sum()))}
+    used = sorted({c for r in rows for c in r.tolist() if c in w})
+    for _ in range(40):
+        g, c = {x: 1e-3 * w[x] for x in used}, [0.0] * k
+        for r, own in zip(rows, grade.tolist()):
+            mine = [x for x in r.tolist() if x in w]
+            score = sum(max(w[x], 0) for x in mine)
+            for j in range(k):
+                d = (1 / (1 + math.exp(cuts[j] - score)) - (own > j)) * share[own > 0]
+                c[j] -= d
+                for x in mine:
+                    g[x] += d
+        for x in used:
+            gw[x] += g[x] ** 2
+            w[x] -= 0.3 * g[x] / math.sqrt(gw[x])
+        for j in range(k):
+            gc[j] += c[j] ** 2
+            cuts[j] -= 0.3 * c[j] / math.sqrt(gc[j])
+            cuts[j] = max(cuts[: j + 1])
+    assert bound and model.cuts.tolist() == pytest.approx(cuts)
+    assert [model.weights[x] for x in used] == pytest.approx([max(w[x], 0) for x in used])
+
+
+def test_bands_meet_the_near_pairs_of_the_table(spark):
+    """Measured recall of the banding alone: pairs of unequal n-gram sets at 0.8 or more that share a band."""
+    bands, rows = ngram_join.bands_for(ngram_join.THRESHOLD, ngram_join.RECALL)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    sets = list({ngram_join.digest(g): g for g in (ngram_join.grams(r.text or "") for r in docs) if len(g)}.values())
+    hit = ngram_join.link_block(sets, None, ngram_join.THRESHOLD)
+    keys = [[m.tobytes() for m in ngram_join.minhash(g, bands * rows).reshape(bands, rows)] for g in sets]
+    pairs = [(i, j) for i, j in zip(*np.nonzero(np.triu(hit)))]
+    met = sum(any(x == y for x, y in zip(keys[i], keys[j])) for i, j in pairs)
+    assert pairs and met / len(pairs) >= 0.99
