@@ -245,9 +245,10 @@ def _(s, d):
     return S.agreement(_slots(s, d)).withColumn("disagree", r6("disagree"))
 
 
-@query("maxsim", "WITH t AS (SELECT label AS cx_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), q AS (SELECT unnest([" + ", ".join("[" + ", ".join(map(repr, QUERY[16 * k : 16 * k + 16])) + "]" for k in range(4)) + "]) AS qv), b AS (SELECT cx_id, qv, max(" + _cos_sql("v", "qv::DOUBLE[]") + ") AS best FROM t, q GROUP BY cx_id, qv) SELECT cx_id, round(sum(best), 6) AS score FROM b GROUP BY cx_id")
+@query("maxsim", "WITH t AS (SELECT vec_id AS cx_id, unnest([" + ", ".join(f"embedding[{16 * k + 1}:{16 * k + 16}]::DOUBLE[]" for k in range(4)) + "]) AS v FROM embeddings), q AS (SELECT unnest([" + ", ".join("[" + ", ".join(map(repr, QUERY[16 * k : 16 * k + 16])) + "]" for k in range(4)) + "]) AS qv), b AS (SELECT cx_id, qv, max(" + _cos_sql("v", "qv::DOUBLE[]") + ") AS best FROM t, q GROUP BY cx_id, qv) SELECT cx_id, round(sum(best), 6) AS score FROM b GROUP BY cx_id")
 def _(s, d):
-    t = read(s, d, "embeddings").select(F.col("label").alias("cx_id"), F.slice("embedding", 1, 16).alias("tv"))
+    """Each row's four sub-vectors are its tokens."""
+    t = read(s, d, "embeddings").select(F.col("vec_id").alias("cx_id"), F.explode(F.array(*[V.slot(F.col("embedding"), k, 16) for k in range(4)])).alias("tv"))
     return S.maxsim([QUERY[16 * k : 16 * k + 16] for k in range(4)], t).select("cx_id", r6("score").alias("score"))
 
 
@@ -274,9 +275,9 @@ def _(s, d):
     return p.join(q, "i").groupBy(F.col("vec_id").alias("cx_id")).agg(r6(F.sum(F.col("v").cast("double") * F.col("w"))).alias("score"))
 
 
-@query("hamming_codes", "SELECT vec_id, CAST(bit_count(c) AS BIGINT) AS ones FROM (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(32 - i AS BIGINT) ELSE 0 END FOR i IN range(1, 33)])::BIGINT AS c FROM embeddings)")
+@query("hamming_codes", "SELECT vec_id, CAST(len([x FOR x IN embedding IF x > 0]) AS BIGINT) AS ones FROM embeddings")
 def _(s, d):
-    return read(s, d, "embeddings").select("vec_id", F.bit_count(V.sign_code(F.slice("embedding", 1, 32))).cast("long").alias("ones"))
+    return read(s, d, "embeddings").select("vec_id", F.aggregate(V.sign_bits(F.col("embedding")), F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x)).alias("ones"))
 
 
 # --- temporal scores and recurrence
@@ -512,7 +513,7 @@ def _(s, d):
     return L.group_split(read(s, d, "events"), "user_id", 20).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("held_out").alias("held_out"))
 
 
-# --- graph: nations, suppliers and customers
+# --- graph: regions, nations and suppliers
 
 _EDGES = "(SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 0.5::DOUBLE FROM supplier UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 0.25::DOUBLE FROM nation)"
 
