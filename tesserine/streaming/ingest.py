@@ -39,3 +39,12 @@ def ingest(events: DataFrame, target: str, checkpoint: str, hook: Callable[[Data
             hook(batch, batch_id)
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finite(events: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose given numbers are finite or NULL, rejected rows); both can be streams."""
+    bad = F.lit(False)
+    for c in columns:
+        x = F.col(c).cast("double")
+        bad = bad | F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
+    return events.where(~bad), events.where(bad)

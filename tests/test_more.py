@@ -187,3 +187,11 @@ def test_scopes(spark):
     other = filters.Scope.domain(e, ["x"])
     assert sorted(map(tuple, near.union(other).edges.collect())) == [("a", "b"), ("b", "c"), ("c", "d"), ("x", "b")]
     assert near.intersect(other, e).edges.count() == 0 and len(filters.Scope.whole(e).hash()) == 64
+
+
+def test_non_finite_events_are_rejected(spark):
+    from tesserine.streaming import ingest
+
+    d = spark.createDataFrame([(1, 1.5), (2, math.nan), (3, -math.inf), (4, None)], "id long, v double")
+    good, bad = ingest.finite(d, ["v"])
+    assert [r.id for r in good.collect()] == [1, 4] and [r.id for r in bad.collect()] == [2, 3]
