@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from . import centroids, embedding_dedup, fingerprints, importance, line_dedup, lm_scoring, mixing, ngram_join, packing, sharding, suffix_dedup, token_counts, toxicity
+from .sql import IMPORTANCE_SQL, SHARDING_SQL, centroids_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,10 +65,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_read(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_plan(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_fingerprints, op2_suffix_dedup, op3_toxicity, op4_line_dedup, op5_mixing,
         op6_embedding_dedup, op7_token_counts, op8_packing, op9_lm_scoring, op10_ngram_join,
+        op11_centroids, op12_sharding, op13_importance,
     )
     return {q.__name__: q for q in every}
 
@@ -106,4 +122,10 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP_SQL, "op5_mixing": MIXING_SQL}
+    return {
+        "op4_line_dedup": LINE_DEDUP_SQL,
+        "op5_mixing": MIXING_SQL,
+        "op11_centroids": centroids_sql(),
+        "op12_sharding": SHARDING_SQL,
+        "op13_importance": IMPORTANCE_SQL,
+    }
