@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesserine.llm import components, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from tesserine.llm.common import lower_ascii
 from tesserine.llm.queries import MIXING_SQL, oracle_sql, queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -303,13 +305,23 @@ def test_packing_of_full_tails_and_null_ids(spark):
 @pytest.mark.parametrize("segment", [1 << 20, 3000])
 def test_lm_scoring(spark, docs, texts, segment):
     got = by_id(lm_scoring.score(docs, segment_bytes=segment))
-    tok = {i: [*mixing_words(lm_scoring.lower_ascii(t)), None] for i, t in texts.items()}
+    tok = {i: [*mixing_words(lower_ascii(t)), None] for i, t in texts.items()}
     train = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
-    c, big, starts = Counter(), Counter(), len(train)
+    c, big = Counter(), Counter()
     for i in train:
         c.update(tok[i])
         big.update(zip(["<s>", *tok[i]], tok[i]))
     n, v = sum(c.values()), len(c)
+
+    def quantised(x):
+        at = 1
+        while x and (after := max(at + 1, math.ceil(at * 1.25))) <= x:
+            at = after
+        return (at + after - 1) // 2 if x else 0
+
+    z = Counter()
+    for (u, _), x in big.items():
+        z[u] += quantised(x)
     for i, ts in tok.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(ts), sum(c[w] > 0 for w in ts), n)
@@ -317,21 +329,76 @@ def test_lm_scoring(spark, docs, texts, segment):
         assert r.base_score == pytest.approx(sum(map(math.log10, base)))
         exact = 0.0
         for k, (u, w) in enumerate(zip(["<s>", *ts], ts)):
-            h = starts if k == 0 else c[u]
-            q = math.ceil(1.5 ** (math.floor(math.log(big[u, w]) / math.log(1.5) + 1e-9)) - 1e-6) if big[u, w] else 0
-            exact += math.log10((q + lm_scoring.PRIOR * base[k]) / (h + lm_scoring.PRIOR))
+            exact += math.log10((quantised(big[u, w]) + lm_scoring.PRIOR * base[k]) / (z[u] + lm_scoring.PRIOR))
+        assert r.score == pytest.approx(exact, rel=0.005)
+
+
+def test_scores_near_those_of_exact_counts(spark):
+    """The same smoothing with exact bigram counts, over the whole of sf0.01."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: [*mixing_words(lower_ascii(r.text or "")), None] for r in d.collect()}
+    c, big = Counter(), Counter()
+    for i, t in rows.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(t)
+            big.update(zip(["<s>", *t], t))
+    hist = Counter()
+    for (u, _), x in big.items():
+        hist[u] += x
+    n, v, m = sum(c.values()), len(c), lm_scoring.PRIOR
+    for r in lm_scoring.score(d).collect():
+        t = rows[r.doc_id]
+        exact = sum(math.log10((big[u, w] + m * (c[w] + 1) / (n + v + 1)) / (hist[u] + m)) for u, w in zip(["<s>", *t], t))
         assert r.score == pytest.approx(exact, rel=0.02)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_a_history_sums_to_one(spark, sf):
+    """p(w|u) over the vocabulary and the unknown word, for frequent, rare and unseen histories."""
+    m, parts = lm_scoring.fit(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    table = lm_scoring.Table(m.slices, {r.slice: lm_scoring.Part(bytes(r.w), bytes(r.wc), bytes(r.wz), bytes(r.bits), r.blocks) for r in parts.collect()})
+    words = np.concatenate([p[0] for p in table.parts.values()])
+    c, _ = table.words(words)
+    assert len(words) == m.distinct and c.sum() == m.total
+    by_count = words[np.argsort(c, kind="stable")]
+    some = [*by_count[-15:], *by_count[:: max(1, len(words) // 33)][:33], *m.slices.hot[:1], np.uint64(12345)]
+    assert len(some) >= 50
+    for u in some:
+        _, z = table.words(np.array([u]))
+        q = table.levels(np.full(len(words), u), words)
+        # Each word as the second token of a text of two, whose first is u.
+        t = np.stack([np.full(len(words), u), words], axis=1).reshape(-1)
+        cc, zz, qq = (np.stack([np.full(len(words), a), b], axis=1).reshape(-1) for a, b in ((0, c), (z[0], np.zeros(len(words), np.int64)), (0, q)))
+        if u == lm_scoring.START:
+            continue
+        own = lm_scoring.log_scores(cc, zz, qq, t, np.full(len(words), 2), m)[2][1::2]
+        unknown = lm_scoring.log_scores(np.array([0, 0]), np.array([z[0], 0]), np.array([0, 0]), np.array([u, 7], np.uint64), np.array([2]), m)[2][1]
+        assert (10**own).sum() + 10**unknown == pytest.approx(1, abs=0.01)
+
+
 def test_quantised_counts_never_read_low():
     rng = np.random.default_rng(0)
     items, counts = rng.integers(0, 1 << 48, 5000).astype(np.uint64), rng.integers(1, 4000, 5000)
-    seg = lm_scoring.Segment(1)
-    seg.add(0, b"", b"", lm_scoring.build_filter(items, counts).tobytes())
-    q = lm_scoring.Table(seg).level(items)
-    assert (q >= lm_scoring.levels(counts)).all() and (q == lm_scoring.levels(counts)).mean() > 0.97
-    other = rng.integers(0, 1 << 48, 20000).astype(np.uint64)
-    assert (lm_scoring.Table(seg).level(other) > 0).mean() < 0.01
+    for blocks in (1, 3):
+        bits = lm_scoring.build_filter(items, counts, blocks)
+        q = lm_scoring.level_of(items, bits, blocks)
+        assert (q >= lm_scoring.levels(counts)).all() and (q == lm_scoring.levels(counts)).mean() > 0.97
+        other = rng.integers(0, 1 << 48, 200_000).astype(np.uint64)
+        assert (lm_scoring.level_of(other, bits, blocks) > 0).mean() == pytest.approx(lm_scoring.rate_of(bits, blocks), rel=0.1, abs=2e-5)
+    assert [lm_scoring.blocks_for(v) for v in (1, 1e3, 4e5, 1e7, 1e9)] == [1, 1, 3, 4, 5]
+
+
+def test_tokens_are_the_words_of_each_text():
+    some = ["", " \n\t ", *[t or "" for t in TEXTS], "a", "A a", "É é", "x" * 5000 + " y", "\x1c\x1d a"]
+    seen = {}
+    for size in (10, 1 << 21):
+        col = pa.array([*some, "skipped"], pa.string())[: len(some)]
+        got = [(t, n) for a, z in lm_scoring.chunks(col, size) for t, n in [lm_scoring.tokens(col[a:z])]]
+        t, n = (np.concatenate(x) for x in zip(*got))
+        assert n.tolist() == [len(mixing_words(x)) + 1 for x in some]
+        want = [w for x in some for w in [*mixing_words(lower_ascii(x)), None]]
+        assert all(seen.setdefault(w, h) == h for w, h in zip(want, t.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) and seen[None] == lm_scoring.END
 
 
 def test_ngram_join(spark):
