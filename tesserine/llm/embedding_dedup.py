@@ -23,8 +23,8 @@ Cases: null labels, null or zero vectors and vectors with null or non-finite
 components link with nothing and are kept; vectors of different lengths never
 link; components of any finite size are scaled by a power of two first, so that
 squares neither overflow nor vanish; rows that repeat an id with different vectors are
-different vectors, each with the links of its own; rows with a null id link with
-nothing; an empty table gives an empty result; other columns are neither read nor
+different vectors, each with the links of its own; rows with a null id
+link like others, count as vectors linked and are kept only where no id is in their component; an empty table gives an empty result; other columns are neither read nor
 returned.
 """
 
@@ -74,7 +74,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_dims: int
     budget = 2 - 2 * cosine
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     sound = (
-        F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull()
+        F.col("label").isNotNull() & F.col("v").isNotNull()
         & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))), F.lit(False))
         & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     )
@@ -195,4 +195,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_dims: int
     known = known.select(F.col("label").alias("k_label"), F.col("cls").alias("k_cls"), F.coalesce("smallest", "rep").alias("component_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = base.join(known, (F.col("cls") == F.col("k_cls")) & (F.col("label") == F.col("k_label")), "left")
     comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("vec_id")).alias("kept"))

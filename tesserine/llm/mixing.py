@@ -9,8 +9,8 @@ cuts one more at exactly floor(T) words.
 Cases: a null source is a source of its own and comes last; null and empty texts have
 size 0 and are never taken; a source of size 0 has target 0; rows with the same id and
 text tie and are ordered by an arbitrary but repeatable hash, equal rows share the
-budget between them in some order; rows with a null id are ordered by a hash of their
-text; an empty table gives an empty result; very long texts are counted whole, and the
+budget between them in some order; rows with a null id have a key
+of their text and id instead, so that they spread like others; an empty table gives an empty result; very long texts are counted whole, and the
 one at a source's cut keeps its text up to the end of its last word; other columns are
 not read, and ``mixed_documents`` returns them unchanged.
 """
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))).alias("mix_key"),
+        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))).alias("mix_key"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"),
     ).withColumn("rng", F.substring("mix_key", 1, RANGE_DIGITS))
     ranges = rows.groupBy("source", "rng").agg(F.sum("size").alias("rs"))
@@ -93,16 +93,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself: each row once per whole epoch, and the row at the cut with its first words only."""
     names = docs.columns
     # Equal rows share one plan entry, each with an equal part of what they take together.
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("_mx_id"), F.col("tie").alias("_mx_tie"))
-    plan = plan.agg(F.max("size").alias("_mx_size"), F.floor(F.avg("taken")).cast("long").alias("_mx_taken")).where("_mx_taken > 0")
-    rows = docs.withColumn("_mx_k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    j = rows.join(plan, F.col(id_col).eqNullSafe(F.col("_mx_id")) & (F.col("_mx_k") == F.col("_mx_tie")))
-    whole, rest = F.floor(F.col("_mx_taken") / F.col("_mx_size")).cast("int"), F.pmod("_mx_taken", "_mx_size")
-    counts = F.concat(
-        F.array_repeat(F.col("_mx_size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))
-    )
-    parts = j.select(*[j[c] for c in names], "_mx_size", F.explode(counts).alias("_mx_words"))
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("plan_id"), F.col("tie").alias("plan_tie"))
+    plan = plan.agg(F.max("size").alias("size"), F.floor(F.avg("taken")).cast("long").alias("taken")).where("taken > 0")
+    # One column for the whole row, so that no name of the input can clash.
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"))
+    j = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("tie") == F.col("plan_tie")))
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.pmod("taken", "size")
+    counts = F.concat(F.array_repeat(F.col("size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    parts = j.select("row", "size", F.explode(counts).alias("words"))
     # Words with the white space before them, so that what is kept is the text up to the last word's end.
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"[\\x20\\x09-\\x0D]*{WORD_PATTERN}"), F.lit(0))
-    head = F.when(F.col("_mx_words") == F.col("_mx_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_mx_words").cast("int")), ""))
-    return parts.select(*[head.alias(c) if c == text_col else F.col(c) for c in names])
+    text = F.col("row")[text_col]
+    words = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD_PATTERN}"), F.lit(0))
+    head = F.when(F.col("words") == F.col("size"), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), ""))
+    return parts.select(*[(head if c == text_col else F.col("row")[c]).alias(c) for c in names])

@@ -234,5 +234,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of each component's smallest id, all columns as they are; rows with a null id stay."""
-    kept = ngram_join(docs, id_col=id_col, text_col=text_col, **options).where("doc_id IS NULL OR doc_id = class_id").select(F.col("doc_id").alias("_nj")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_nj"))).select(*[docs[c] for c in docs.columns])
+    kept = ngram_join(docs, id_col=id_col, text_col=text_col, **options).where("doc_id IS NULL OR doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    # One column for the whole row, so that no name of the input can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))).select("row.*")

@@ -356,8 +356,8 @@ def test_scores_near_those_of_exact_counts(spark):
 def test_a_history_sums_to_one(spark, sf):
     """p(w|u) over the vocabulary and the unknown word, for frequent, rare and unseen histories."""
     m, parts = lm_scoring.fit(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
-    table = lm_scoring.Table(m.slices, {r.slice: lm_scoring.Part(bytes(r.w), bytes(r.wc), bytes(r.wz), bytes(r.bits), r.blocks) for r in parts.collect()})
-    words = np.concatenate([p[0] for p in table.parts.values()])
+    table = lm_scoring.Table(m.slices, {r.slice: lm_scoring.part_of(r) for r in parts.collect()})
+    words = np.concatenate([p.words for p in table.parts.values()])
     c, _ = table.words(words)
     assert len(words) == m.distinct and c.sum() == m.total
     by_count = words[np.argsort(c, kind="stable")]
@@ -379,13 +379,16 @@ def test_a_history_sums_to_one(spark, sf):
 def test_quantised_counts_never_read_low():
     rng = np.random.default_rng(0)
     items, counts = rng.integers(0, 1 << 48, 5000).astype(np.uint64), rng.integers(1, 4000, 5000)
-    for blocks in (1, 3):
-        bits = lm_scoring.build_filter(items, counts, blocks)
+    for blocks, room in ((1, 10.0), (3, 8.0)):
+        bits = lm_scoring.build_filter(items, counts, blocks, room)
         q = lm_scoring.level_of(items, bits, blocks)
         assert (q >= lm_scoring.levels(counts)).all() and (q == lm_scoring.levels(counts)).mean() > 0.97
         other = rng.integers(0, 1 << 48, 200_000).astype(np.uint64)
-        assert (lm_scoring.level_of(other, bits, blocks) > 0).mean() == pytest.approx(lm_scoring.rate_of(bits, blocks), rel=0.1, abs=2e-5)
-    assert [lm_scoring.blocks_for(v) for v in (1, 1e3, 4e5, 1e7, 1e9)] == [1, 1, 3, 4, 5]
+        assert (lm_scoring.level_of(other, bits, blocks) > 0).mean() == pytest.approx(lm_scoring.rate_of(bits, blocks), rel=0.1, abs=5e-5)
+        assert lm_scoring.rate_of(bits, blocks) == pytest.approx(lm_scoring.block_rate(room) ** blocks, rel=0.2)
+    shapes = {v: lm_scoring.shape_for(v) for v in (1, 1e4, 4e5, 1e7, 1e9)}
+    assert [b for b, _ in shapes.values()] == [3, 3, 3, 3, 4]
+    assert all(v * lm_scoring.block_rate(room) ** b <= lm_scoring.PHANTOM * 1.01 for v, (b, room) in shapes.items() if v > 1e3)
 
 
 def test_tokens_are_the_words_of_each_text():
@@ -561,7 +564,7 @@ def test_embeddings_of_extreme_size_and_repeated_ids(spark):
     rows = [(1, (v * 1e160).tolist(), "a"), (2, (v * 1e-170).tolist(), "a"), (3, (v * 1e300).tolist(), "a"), (4, v.tolist(), "a"), (5, w.tolist(), "a"), (5, (v * 2 + w * 1e-3).tolist(), "a"), (6, (w * 3).tolist(), "b"), (None, v.tolist(), "a")]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
     have = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got)
-    assert have == sorted([(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False), (5, 0, 5, True), (5, 4, 1, False), (6, 0, 6, True), (0, 0, 0, True)])
+    assert have == sorted([(1, 5, 1, True), (2, 5, 1, False), (3, 5, 1, False), (4, 5, 1, False), (5, 0, 5, True), (5, 5, 1, False), (6, 0, 6, True), (0, 5, 1, False)])
 
 
 @pytest.mark.parametrize("span", [50, 100, 150])
@@ -583,6 +586,21 @@ def test_fit_of_toxicity_is_bounded_in_rows(spark, monkeypatch):
     assert not seen or seen[0] <= 50
 
 
+def test_columns_named_like_those_of_the_stages(spark):
+    names = ["_nj", "_mx_id", "_mx_words", "row", "id", "tie", "kept_id", "words", "taken", "plan_id", "size", "class_id", "grp"]
+    d = frame(spark).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names) if c != "grp"])
+    for got in (ngram_join.keep_one(d), mixing.mixed_documents(d), line_dedup.dedup_lines(d).select(*d.columns)):
+        rows = got.collect()
+        assert got.columns == d.columns and rows
+        assert all(r[c] == k for r in rows for k, c in enumerate(names) if c != "grp")
+
+
+def test_null_ids_spread_over_the_mix(spark):
+    d = spark.createDataFrame([(None, f"text number {i}", "s") for i in range(500)], "doc_id long, text string, source string")
+    keys = mixing.mix(d).select("mix_key").distinct().count()
+    assert keys == 500
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     """No rows, null texts, ids and sources, and extra columns: each stage runs and keeps the columns."""
     import corpus_pipeline
