@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -78,6 +79,12 @@ def remove(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that shuffle files that nothing reads any more go before the next ones come."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage like a checkpoint, and readers take only the columns they need."""
     path = table_path(df.sparkSession, name)
