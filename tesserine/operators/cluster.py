@@ -1,16 +1,12 @@
-"""Clusters of vectors: a density tree over a bounded set, and a cell index for approximate search."""
+"""Clusters of vectors: a density tree over a bounded set."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import search
-
 
 def density_labels(d: np.ndarray, min_samples: int, min_size: int) -> np.ndarray:
     """Flat labels (-1: noise) of the density tree with the largest excess of mass; the root is never chosen."""
@@ -103,44 +99,3 @@ def density_clusters(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
     rows = df.select(F.lit(1).alias("_g"), F.col(id_col).cast("long").alias("cx_id"), F.col(vec_col).alias("v"))
     return rows.groupBy("_g").applyInPandas(run, "cx_id long, cluster long")
-
-
-class CellIndex:
-    """Vectors in cells around k-means centroids; a query reads the nearest cells and ranks their rows exactly.
-
-    Centroids come from at most ``max_fit`` rows, the smallest by hash of the id; every row gets a cell.
-    ``write`` partitions the rows by cell, so that a search over the written table reads only the probed folders.
-    """
-
-    def __init__(self, df: DataFrame, cells: int, id_col: str = "vec_id", vec_col: str = "embedding", max_fit: int = 100_000, seed: int = 42):
-        self.id_col, self.vec_col = id_col, vec_col
-        unit = self._unit(df)
-        fit = unit.orderBy(F.xxhash64(id_col), id_col).limit(max_fit)
-        self.model: KMeansModel = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell").fit(fit)
-        self.rows = self.model.transform(unit).select(id_col, vec_col, "cell")
-
-    def _unit(self, df: DataFrame) -> DataFrame:
-        v = F.transform(self.vec_col, lambda x: x.cast("double"))
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        good = df.select(self.id_col, self.vec_col, v.alias("_v"), norm.alias("_n")).where("_n > 0 AND _n < double('infinity')")
-        return good.withColumn("_f", array_to_vector(F.transform("_v", lambda x: x / F.col("_n"))))
-
-    def write(self, path: str) -> None:
-        self.rows.write.partitionBy("cell").parquet(path)
-
-    def search(self, query: list[float], k: int, probes: int, rows: DataFrame | None = None) -> DataFrame:
-        """(cx_id, score) of the best k rows in the ``probes`` cells nearest to the query."""
-        q = np.asarray(query, float) / np.linalg.norm(query)
-        far = np.linalg.norm(np.stack(self.model.clusterCenters()) - q, axis=1)
-        near = [int(c) for c in np.argsort(far, kind="stable")[:probes]]
-        return search.knn((self.rows if rows is None else rows).where(F.col("cell").isin(near)), query, k, self.id_col, self.vec_col)
-
-    def search_many(self, queries: DataFrame, k: int, probes: int, rows: DataFrame | None = None) -> DataFrame:
-        """(query_id, cx_id, score) of the best k rows for every row of ``queries``, each in its own ``probes`` nearest cells."""
-        centers = np.stack(self.model.clusterCenters())
-
-        def near(q: np.ndarray) -> np.ndarray:
-            far = np.stack([np.linalg.norm(centers - x, axis=1) for x in q])
-            return np.argsort(far, axis=1, kind="stable")[:, :probes]
-
-        return search.knn_many(self.rows if rows is None else rows, queries, k, self.id_col, self.vec_col, near=near)

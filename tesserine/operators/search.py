@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import blocks
 
 # Fixed values of ranking.
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
@@ -36,58 +33,14 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return s.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), "cx_id").limit(k)
 
 
-def knn_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 1024, near: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, cx_id, score): exact top k by cosine for every row of ``queries``; zero and null vectors have no score.
 
-    Queries go out in blocks; each batch of rows keeps its best k per query. ``near`` maps unit queries to the cells each of them
-    may read, of ``vectors`` with a column ``cell``; others are not scored.
+    One pass: blocks of queries meet blocks of rows, and each meeting keeps its best k per query.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("cx_id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(0).alias("cell") if near is None else F.col("cell")).where("v IS NOT NULL")
-    wanted = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    out, folder = None, []
-    for r in wanted.orderBy("q").toLocalIterator(prefetchPartitions=True):
-        folder.append((r.q, r.v))
-        if len(folder) == block:
-            out, folder = _joined(out, _block(rows, folder, k, near)), []
-    out = _joined(out, _block(rows, folder, k, near)) if folder or out is None else out
-    return top_k(out, k, ["query_id"]).drop("rank")
-
-
-def _joined(out: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if out is None else out.unionByName(more)
-
-
-def _unit(v: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors and which rows have a finite positive length."""
-    a = np.array(v, float)
-    n = np.linalg.norm(a, axis=1)
-    good = (n > 0) & np.isfinite(n)
-    return a[good] / n[good, None], good
-
-
-def _block(rows: DataFrame, queries: list[tuple], k: int, near: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
-    ids, q = np.array([i for i, _ in queries], np.int64), np.zeros((0, 0))
-    if queries:
-        q, good = _unit([v for _, v in queries])
-        ids = ids[good]
-    cells = near(q) if near is not None and len(q) else np.zeros((len(q), 1), np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast((ids, q, cells))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q, cells = sent.value
-        for pdf in batches:
-            if not len(pdf) or not len(q):
-                continue
-            v, good = _unit(pdf["v"].tolist())
-            pdf = pdf[good]
-            for cell in np.unique(pdf["cell"]):
-                here, reads = (pdf["cell"] == cell).to_numpy(), np.flatnonzero((cells == cell).any(axis=1))
-                name, scores = pdf["cx_id"].to_numpy()[here], q[reads] @ v[here].T
-                for i, s in zip(reads, scores, strict=True):
-                    best = np.lexsort((name, -s))[:k]
-                    yield pd.DataFrame({"query_id": ids[i], "cx_id": name[best], "score": s[best]})
-
-    return rows.mapInPandas(run, "query_id long, cx_id long, score double")
+    lanes = 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = blocks.top(blocks.unit_rows(vectors, id_col, vec_col), blocks.unit_rows(queries, id_col, vec_col), k, blocks.dots, lanes)
+    return top_k(found, k, ["query_id"]).drop("rank")
 
 
 def bm25(docs: DataFrame, terms: list[str], mode: str = "or", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

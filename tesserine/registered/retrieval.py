@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import paths as H
 from ..functions import temporal as T
 from ..functions import vectors as V
+from ..operators import ann as A
 from ..operators import retrieval as X
 from ..operators import search as S
+from ..operators.lineage import shared_path
 from ..registry import _DAY, _HOUR, _RANKED, _bm25_sql, _cos_sql, _ranked, QUERY, _QL, query, r6, read
 
 _TERMS = ["idiot", "thing", "estion"]
@@ -144,3 +146,24 @@ def _(s, d):
 @query("path_proximity", "WITH p AS (SELECT p_partkey, string_split(replace(p_type, ' ', '/'), '/') AS a, string_split('STANDARD/ANODIZED/TIN', '/') AS b FROM part) SELECT p_partkey, round((CASE WHEN a[1] IS DISTINCT FROM b[1] THEN 0 WHEN a[2] IS DISTINCT FROM b[2] THEN 1 WHEN a[3] IS DISTINCT FROM b[3] THEN 2 ELSE 3 END) / CAST(greatest(len(a), 3) AS DOUBLE), 6) AS near FROM p")
 def _(s, d):
     return read(s, d, "part").select("p_partkey", r6(H.proximity(F.translate("p_type", " ", "/"), F.lit("STANDARD/ANODIZED/TIN"))).alias("near"))
+
+
+@query("cell_search")
+def _(s, d):
+    """4 of 64 cells by product codes; 100 rows of a query are decided by their vectors."""
+    e = read(s, d, "embeddings")
+    table = A.CellTable(e, shared_path(s, "cells"))
+    return table.search_many(e.where("vec_id % 20 = 0"), 20).withColumn("score", r6("score"))
+
+
+@query("graph_search")
+def _(s, d):
+    """Beam search over a neighbour graph by product codes; the beam is decided by its vectors."""
+    e = read(s, d, "embeddings")
+    return A.NeighbourGraph(e).search_many(e.where("vec_id % 20 = 0"), 20).withColumn("score", r6("score"))
+
+
+@query("neighbour_graph")
+def _(s, d):
+    """The neighbours that the rounds found, before thinning: 24 of every row."""
+    return A.NeighbourGraph(read(s, d, "embeddings")).near.select("node", "nbr", r6("score").alias("score"))

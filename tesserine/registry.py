@@ -807,12 +807,6 @@ query("bootstrap_mean")(lambda s, d: H.bootstrap_mean(_hourly(s, d), "v"))
 query("density_clusters")(lambda s, d: C.density_clusters(read(s, d, "embeddings")))
 
 
-@query("cell_search")
-def _(s, d):
-    e = read(s, d, "embeddings")
-    return C.CellIndex(e, 16).search_many(e.where("vec_id % 20 = 0"), 20, 12).withColumn("score", r6("score"))
-
-
 @query("hawkes")
 def _(s, d):
     e = read(s, d, "events").select("user_id", "event_type", (T.epoch("ts") / 3600).alias("t"))

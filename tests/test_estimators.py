@@ -52,20 +52,6 @@ def test_density_clusters_and_noise():
     assert labels[60] == -1 and len(set(labels[:30])) == len(set(labels[30:60])) == 1 and labels[0] != labels[30]
 
 
-def test_cell_search_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    index, hits = cluster.CellIndex(e, 16), 0
-    rows = index.rows.persist()
-    vectors = [r.embedding for r in e.where("vec_id % 20 = 0").select("embedding").orderBy("vec_id").collect()]
-    v = np.array([r.embedding for r in e.orderBy("vec_id").select("embedding").collect()], float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    ids = [r.vec_id for r in e.orderBy("vec_id").select("vec_id").collect()]
-    for q in vectors:
-        best = np.argsort(-(v @ (np.array(q) / np.linalg.norm(q))), kind="stable")[:10]
-        hits += len({ids[i] for i in best} & {r.cx_id for r in index.search(q, 10, 12, rows).collect()})
-    assert hits >= 0.9 * 10 * len(vectors)
-
-
 def test_feedback_vertices_match_brute_force(spark):
     for _ in range(5):
         pairs = {(str(a), str(b)) for a, b in RNG.integers(0, 7, (14, 2))}
