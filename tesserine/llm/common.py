@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut as cut_lineage
+from ..operators.lineage import ensure_checkpoint_dir  # noqa: F401
+from ..operators.lineage import shared_path as table_path
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,30 +51,6 @@ class WordHashes(dict):
         return value
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Unset, it is a temporary one in local mode and an error on a cluster."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir()
-    if current is None:
-        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-        current = sc.getCheckpointDir()
-    return named or current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the shared folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new name in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
