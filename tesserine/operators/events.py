@@ -156,9 +156,30 @@ def boosted_order(hits: DataFrame, start: int, end: int, fuse: Column, recurrenc
     return again(again(inside, T.boosted(F.col("score"), fuse, recurrence, alpha)), F.col("score") * gate).select("cx_id", "score", "rank")
 
 
-def recall_budget(k: int, selectivity: float, cap: int = 10_000) -> int:
-    """Hits to fetch so that k are left after a window that keeps that share."""
-    return min(cap, math.ceil(k / max(selectivity, 1e-9)))
+DEEPEN = 4
+
+
+def windowed_recall(hits: DataFrame, k: int, budget: int, in_window: Column, most: int | None = None) -> tuple[DataFrame, dict]:
+    """(the best k of ``hits`` (cx_id, score, ...) in the window, a report).
+
+    Without ``most`` all hits are looked at. With it, the best ``budget`` hits are, then four times as many, and so on,
+    until k of them lie in the window or there are no more; if ``most`` is reached before that, it is an error.
+    """
+    if k < 1 or budget < 1 or (most is not None and most < budget):
+        raise ValueError("k and budget start at 1, and most is no less than the budget")
+    order = [F.col("score").desc(), F.col("cx_id").asc()]
+    report = {"policy": "exhaustive" if most is None else "bounded", "requested_k": k, "rounds": 0}
+    while True:
+        report["rounds"] += 1
+        some = hits if most is None else hits.orderBy(*order).limit(budget)
+        seen, inside = some.agg(F.count(F.lit(1)), F.count_if(in_window)).first()
+        done = most is None or seen < budget
+        report |= {"budget": seen if most is None else budget, "fetched": seen, "in_window": inside, "exhausted": done}
+        if inside >= k or done:
+            return some.where(in_window).orderBy(*order).limit(k), report
+        if budget == most:
+            raise ValueError(f"{inside} of {k} hits lie in the window among the best {most}")
+        budget = min(budget * DEEPEN, most)
 
 
 def integer_boost(scores: DataFrame, recency: DataFrame, alpha_millis: int) -> DataFrame:
