@@ -68,3 +68,26 @@ def unit_rows(df: DataFrame, id_col: str, vec_col: str, cell: str | None = None)
 
 def dots(q: bytes, r: bytes, n: int, m: int) -> np.ndarray:
     return np.frombuffer(q).reshape(n, -1) @ np.frombuffer(r).reshape(m, -1).T
+
+
+def pairs(rows: DataFrame, worst: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b, score): pairs a < b of rows (cell, id, v) in one cell or in cells next to each other whose ``worst`` is not negative.
+
+    Blocks are numbered within their cell by a hash, and every meeting of two blocks is a row of a join.
+    """
+    packed = _packed(rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))), ROWS_PER_BLOCK).withColumn("block", F.xxhash64("ids"))
+    p = packed.select("cell", F.col("block").alias("p_block"), F.col("ids").alias("p_ids"), F.col("vs").alias("p_vs"))
+    q = packed.select(F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"), F.col("cell").alias("home"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p_ids, p_vs, q_ids, q_vs in zip(*(b.column(i) for i in range(4)), strict=True):
+                p_id, q_id = np.frombuffer(p_ids.as_py(), "<i8"), np.frombuffer(q_ids.as_py(), "<i8")
+                s = worst(np.frombuffer(p_vs.as_py()).reshape(len(p_id), -1), np.frombuffer(q_vs.as_py()).reshape(len(q_id), -1))
+                # A block that meets itself holds each pair twice.
+                hit = (s >= 0) & ((p_id[:, None] < q_id[None]) if p_ids == q_ids else (p_id[:, None] != q_id[None]))
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p_id[i], q_id[j])), pa.array(np.maximum(p_id[i], q_id[j])), pa.array(s[i, j])], names=["a", "b", "score"])
+
+    met = p.join(q, "cell").where((F.col("home") > F.col("cell")) | (F.col("p_block") <= F.col("q_block")))
+    return met.select("p_ids", "p_vs", "q_ids", "q_vs").mapInArrow(run, "a long, b long, score double")

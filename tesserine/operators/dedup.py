@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from . import blocks
 from .lineage import cut
 
 #: Hashes of a signature, tokens a text needs, and the prime of the permutations.
@@ -19,21 +22,34 @@ def slot_pairs(vectors: DataFrame, tau: dict[int, float], width: int, id_col: st
     """(a, b, worst): pairs a < b whose cosine reaches ``tau`` in every required slot; ``worst`` is the smallest excess.
 
     Unit vectors at a cosine of at least tau differ by at most r = sqrt(2 - 2 tau) in every
-    component, so the strictest slot's first two components are cut into cells of width r and
-    a row meets the cells around its own. Equal vectors are one row first. A zero slot matches nothing.
+    component, so the strictest slot's first component is cut into slabs of width r and packed
+    blocks of a slab meet those of its own and of the next one; only pairs that pass leave a
+    meeting. Equal vectors are one row first. A zero slot matches nothing.
     """
+    slots = sorted(tau)
     strict = max(tau, key=lambda k: (tau[k], -k))
     r = math.sqrt(max(2 - 2 * tau[strict], 1e-12)) + 1e-9
-    u = V.normalised(V.slot(F.col(vec_col), strict, width))
+    bars = np.array([tau[k] for k in slots])
     rows = vectors.groupBy(F.col(vec_col).alias("v")).agg(F.min(id_col).alias("id"))
-    rows = rows.withColumn("u", V.normalised(V.slot(F.col("v"), strict, width))).where("u IS NOT NULL")
-    cell = [F.floor(F.col("u")[i] / r).alias(f"c{i}") for i in (0, 1)]
-    own = rows.select(F.col("id").alias("a"), F.col("v").alias("va"), *cell)
-    around = F.array(*[F.struct((F.floor(F.col("u")[0] / r) + x).alias("c0"), (F.floor(F.col("u")[1] / r) + y).alias("c1")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    met = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(around).alias("c")).select("b", "vb", "c.c0", "c.c1")
-    cos = [V.cosine(V.slot(F.col("va"), k, width), V.slot(F.col("vb"), k, width)) - t for k, t in sorted(tau.items())]
-    j = own.join(met, ["c0", "c1"]).where("a < b")
-    return j.select("a", "b", *[c.alias(f"_{i}") for i, c in enumerate(cos)]).where(" AND ".join(f"_{i} >= 0" for i in range(len(cos)))).select("a", "b", F.least(*[f"_{i}" for i in range(len(cos))], F.lit(2.0)).alias("worst"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The required slots of a vector, each of length one, end to end."""
+        for b in batches:
+            ids, cells, out = [], [], []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.array([v[k * width : (k + 1) * width] for k in slots], float) if len(v) >= (slots[-1] + 1) * width else np.zeros((1, 1))
+                n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                if (n > 0).all() and np.isfinite(n).all():
+                    x = x / n
+                    ids.append(i), cells.append(math.floor(x[slots.index(strict), 0] / r)), out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cell", "id", "v"])
+
+    def worst(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        p, q = p.reshape(len(p), len(slots), width), q.reshape(len(q), len(slots), width)
+        return np.min([p[:, k] @ q[:, k].T - bar for k, bar in enumerate(bars)], axis=0)
+
+    unit = rows.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(parts, "cell int, id long, v binary")
+    return blocks.pairs(cut(unit), worst).select("a", "b", F.col("score").alias("worst"))
 
 
 def conflicts(pairs: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def centrality(edges: DataFrame, rounds: int = 20, tol: float | None = None) ->
     for _ in range(rounds):
         got = both.join(value, both.dst == value.node).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("v")).alias("a"))
         old, value = value, value.join(got, "node").withColumn("v", F.col("v") + F.col("a"))
-        value = value.select("node", (F.col("v") / F.max("v").over(Window.partitionBy())).alias("v"))
+        value = with_total(cut(value), top=F.max("v")).select("node", (F.col("v") / F.col("top")).alias("v"))
         if tol is not None:
             value = cut(value)
             if _moved(old, value) <= tol:

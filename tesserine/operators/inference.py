@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, with_total
 from .stats import contingency, value_ranks
 
 # Fixed values of lens admission, of a reliable base rate, and of a full screen.
@@ -153,8 +154,9 @@ def mutual_bits(df: DataFrame, x: Column, y: Column, by: list[str] | None = None
     """(by, bits, target_bits): mutual information of two columns and the entropy of the second, per group."""
     by = by or []
     c = df.groupBy(*by, x.alias("_x"), y.alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("o"))
-    w = lambda *k: Window.partitionBy(*by, *k) if by or k else Window.partitionBy()
-    c = c.withColumns({"n": F.sum("o").over(w()), "r": F.sum("o").over(w("_x")), "c": F.sum("o").over(w("_y"))})
+    w = lambda *k: Window.partitionBy(*by, *k)
+    c = c.withColumn("n", F.sum("o").over(w())) if by else with_total(cut(c), n=F.sum("o"))
+    c = c.withColumns({"r": F.sum("o").over(w("_x")), "c": F.sum("o").over(w("_y"))})
     bits = F.greatest(F.sum(F.col("o") / F.col("n") * F.log2(F.col("o") * F.col("n") / (F.col("r") * F.col("c")))), F.lit(0.0))
     # Each cell carries its share of its column's term, so that the terms add up to the entropy.
     return c.groupBy(*by).agg(bits.alias("bits"), (-F.sum(F.col("o") / F.col("n") * F.log2(F.col("c") / F.col("n")))).alias("target_bits"))

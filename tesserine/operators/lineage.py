@@ -38,6 +38,7 @@ def running(by: DataFrame, order: str, sums: list[str], parts: int = 64) -> Data
     Values are cut into ranges at approximate quantiles; ranges are added up on at most
     ``parts`` rows, and rows within their range, so no task holds all of them.
     """
+    by = cut(by)  # read three times
     bounds = sorted(set(by.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)))
     cuts = F.lit(bounds).cast("array<double>") if bounds else F.array().cast("array<double>")
     cells = by.withColumn("_range", F.size(F.filter(cuts, lambda x: x <= F.col(order).cast("double"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import blocks
+from .lineage import cut
 
 # Fixed values of ranking.
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
@@ -51,6 +52,7 @@ def bm25(docs: DataFrame, terms: list[str], mode: str = "or", id_col: str = "doc
     terms = list(dict.fromkeys(terms))
     d = docs.select(F.col(id_col).alias("cx_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     d = d.select("cx_id", F.size("w").alias("len"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    d = cut(d)  # texts are tokenised once; a row holds its length and the counts of the query's terms
     st = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     j = d.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))))
     score = F.lit(0.0)

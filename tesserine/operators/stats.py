@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import running
+from .lineage import cut, running, with_total
 
 
 def value_ranks(df: DataFrame, col: str) -> DataFrame:
@@ -34,7 +34,7 @@ def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
 def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
     """Cells (x, y, o) with row, column and total sums."""
     c = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("o"))
-    return c.withColumns({"r": F.sum("o").over(Window.partitionBy("x")), "c": F.sum("o").over(Window.partitionBy("y")), "n": F.sum("o").over(Window.partitionBy())})
+    return with_total(cut(c), n=F.sum("o")).withColumns({"r": F.sum("o").over(Window.partitionBy("x")), "c": F.sum("o").over(Window.partitionBy("y"))})
 
 
 def categorical(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -56,7 +56,7 @@ def _nodes(s, d):
     return sup.unionByName(nat).unionByName(reg)
 
 
-_POOR, _RICH = "bal < 3000", "bal > 2000"
+_POOR, _RICH = "bal < 3000", "bal > 900"
 
 
 @query(

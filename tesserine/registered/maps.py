@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import indexing as I
 from ..operators import probes as P
-from ..operators import retrieval as R
 from ..operators import search as S
 from ..operators import spectral as L
+from ..operators.ann import NeighbourGraph
 from ..operators.kernel_index import KernelIndex
 from ..operators.lineage import cut, shared_path
 from ..registry import _EDGES, _edges, query, r6, read
@@ -19,8 +19,8 @@ from ..registry import _EDGES, _edges, query, r6, read
 def _index(s, d):
     """The kernel of the graph of nearest neighbours, a quarter of the rows, as an index; and that graph."""
     e = read(s, d, "embeddings")
-    near = cut(R.knn_graph(e, e, 8))
-    named = near.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
+    near = NeighbourGraph(e, degree=8, sample=8).near.where("node <> nbr")
+    named = cut(near.select(F.col("node").cast("string").alias("src"), F.col("nbr").cast("string").alias("dst"), F.col("score").alias("weight")))
     kernel = G.kernel(named, ["0", "40", "80"], 0.25)
     return e, named, KernelIndex(e, kernel, shared_path(s, "kernel"))
 

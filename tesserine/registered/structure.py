@@ -10,9 +10,10 @@ from ..operators import search as S
 from ..operators import structure as X
 from ..registry import _cos_sql, _EDGES, _edges, query, r6, read
 
-_TAU = {0: 0.9, 1: 0.9, 2: 0.9, 3: 0.9}
+#: Low enough for pairs on both sides of the bar.
+_TAU = {0: 0.25, 1: 0.25, 2: 0.25, 3: 0.25}
 _PAIRS = "(SELECT a.id AS a, b.id AS b, a.anchor AS x, b.anchor AS y FROM v a JOIN v b ON a.id < b.id WHERE " + " AND ".join(
-    _cos_sql(f"a.e[{16 * k + 1}:{16 * k + 16}]::DOUBLE[]", f"b.e[{16 * k + 1}:{16 * k + 16}]::DOUBLE[]") + " >= 0.9" for k in range(4)
+    _cos_sql(f"a.e[{16 * k + 1}:{16 * k + 16}]::DOUBLE[]", f"b.e[{16 * k + 1}:{16 * k + 16}]::DOUBLE[]") + " >= 0.25" for k in range(4)
 ) + ")"
 _V = "WITH RECURSIVE v AS (SELECT min(vec_id) AS id, embedding AS e, arg_min(CASE WHEN vec_id % 3 > 0 THEN vec_id % 2 END, vec_id) AS anchor FROM embeddings GROUP BY embedding)"
 
