@@ -23,6 +23,7 @@ CAP_MS = 30_000.0
 @dataclass
 class UniversalQuery:
     relational: tuple[DataFrame, list[tuple[str, str, object]]] | None = None
+    keyvalue: tuple[DataFrame, str, int] | None = None
     document: tuple[DataFrame, str, list[str], str | None] | None = None
     series: tuple[DataFrame, str, int, int] | None = None
     hops: tuple[DataFrame, list[str], int, str] | None = None
@@ -36,6 +37,8 @@ class UniversalQuery:
         steps = []
         if self.relational:
             steps.append(("relational", max(COSTS["scan"], COSTS["scan_rows"] * rows / 1000)))
+        if self.keyvalue:
+            steps.append(("keyvalue", COSTS["kv"]))
         if self.document:
             steps.append(("document", max(COSTS["doc"], COSTS["doc_rows"] * rows / 1000)))
         if self.series:
@@ -54,7 +57,7 @@ class UniversalQuery:
 
     def rows(self) -> int:
         """Rows of the largest table that the query scans."""
-        tables = [x[0] for x in (self.relational, self.document, self.series) if x]
+        tables = [x[0] for x in (self.relational, self.keyvalue, self.document, self.series) if x]
         return max((t.count() for t in tables), default=0)
 
     def run(self) -> DataFrame:
@@ -62,6 +65,10 @@ class UniversalQuery:
         rows: DataFrame | None = None
         if self.relational:
             rows = P.where_all(*self.relational)
+        if self.keyvalue:
+            df, expires_at, now = self.keyvalue
+            part = df.where(P.live(now, expires_at))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
         if self.document:
             df, col, path, value = self.document
             rows = df.where(P.json_path(col, path, value))

@@ -706,6 +706,25 @@ def _(s, d):
     return UniversalQuery(relational=(e, [("label", "gte", 5)]), vector=(e, QUERY, 10, "vec_id", "embedding")).run().select("cx_id", r6("score").alias("score"))
 
 
+_ALL_STEPS = f"""WITH RECURSIVE x AS (SELECT event_id % (SELECT count(*) FROM embeddings) AS vec_id, 'n' || user_id % 25 AS node, {EPOCH} AS t, props FROM events),
+r AS (SELECT vec_id, node FROM x WHERE json_extract_string(props, '$.k') = '69' UNION ALL SELECT vec_id, node FROM x WHERE t BETWEEN 1704500000 AND 1704600000),
+g(node, hop) AS (SELECT 'n3', 0 UNION SELECT dst, hop + 1 FROM g JOIN {_EDGES} ON node = src WHERE hop < 2)
+SELECT round(avg(s), 6) AS value FROM (SELECT {_cos_sql("embedding::DOUBLE[]", _QL)} AS s, vec_id FROM embeddings WHERE vec_id IN (SELECT vec_id FROM r WHERE node IN (SELECT node FROM g WHERE hop > 0)) ORDER BY s DESC, vec_id LIMIT 10)"""
+
+
+@query("universal_query_all", _ALL_STEPS)
+def _(s, d):
+    """All seven steps: the document step replaces what the relational and key-value steps found, the series adds, the graph restricts."""
+    v = read(s, d, "embeddings")
+    n = v.count()
+    x = read(s, d, "events").select((F.col("event_id") % n).alias("vec_id"), F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")).alias("node"), T.epoch("ts").alias("t"), "props", F.lit(0).alias("expires_at"))
+    q = UniversalQuery(
+        relational=(x, [("vec_id", "gte", 5)]), keyvalue=(x, "expires_at", NOW), document=(x, "props", ["k"], "69"), series=(x, "t", 1704500000, 1704600000),
+        hops=(_edges(s, d), ["n3"], 2, "node"), vector=(v, QUERY, 10, "vec_id", "embedding"), aggregate=("avg", "score"),
+    )
+    return q.run().select(r6("value").alias("value"))
+
+
 # --- estimators on bounded series: hourly activity
 
 
