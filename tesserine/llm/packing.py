@@ -451,7 +451,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
         final = number == rounds
         order = [*(f"k{i}" for i in range(KEY_TERMS)), F.xxhash64("doc_id", "tail", "n")]
         # By order and not by hash: a key that a third of all rows share is cut by the hash that ends the order.
-        ranged = rest.mapInArrow(route(0 if number % 2 else number), keyed).repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "left")
+        keys = rest.mapInArrow(route(0 if number % 2 else number), keyed)
+        # A range partition looks at its input twice; the first round routes all tokens, so its keys are kept.
+        keys = cut_lineage(keys) if number == 1 else keys
+        ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "left")
         got = ranged.mapInArrow(shards(number, None if final else near), told)
         got = got if final else cut_lineage(got)
         pieces = got.where("length IS NOT NULL").select(*names)
