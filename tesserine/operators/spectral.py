@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-EXTRA = 4
+EXTRA = 3
 
 
 def _grams(df: DataFrame, x: list[str], y: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """X'X, X'Y and Y'Y from one aggregate."""
-    pairs = [(a, b) for one, two in ((x, x), (x, y), (y, y)) for a in one for b in two]
-    r = df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"g{i}") for i, (a, b) in enumerate(pairs)]).first()
-    g = np.array([v or 0.0 for v in r], float).reshape(3, len(x), len(x))
-    return g[0], g[1], g[2]
+    """X'X, X'Y and Y'Y from one aggregate; Y is a symmetric matrix times X, so that all three are symmetric."""
+    n = len(x)
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    both = [(one[i], two[j]) for one, two in ((x, x), (x, y), (y, y)) for i, j in upper]
+    r = df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"g{k}") for k, (a, b) in enumerate(both)]).first()
+    out = np.zeros((3, n, n))
+    for k, value in enumerate(r):
+        i, j = upper[k % len(upper)]
+        out[k // len(upper), i, j] = out[k // len(upper), j, i] = value or 0.0
+    return out[0], out[1], out[2]
 
 
 def _times(columns: list[str], m: np.ndarray) -> list[Column]:
@@ -76,7 +81,7 @@ def eigenmaps(edges: DataFrame, k: int, rounds: int = 30, steps: int = 8, tol: f
         value, vector = np.linalg.eigh(xx)
         keep = value > value.max() * 1e-12
         basis = vector[:, keep] / np.sqrt(value[keep])
-        theta, v = np.linalg.eigh(basis.T @ (xy + xy.T) @ basis / 2)
+        theta, v = np.linalg.eigh(basis.T @ xy @ basis)
         theta, m = theta[::-1], basis @ v[:, ::-1]
         left = np.einsum("ij,ik,kj->j", m, yy, m) - theta**2
         new = [f"x{j}" for j in range(m.shape[1])]

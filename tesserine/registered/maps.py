@@ -25,12 +25,6 @@ def _index(s, d):
     return e, named, KernelIndex(e, kernel, shared_path(s, "kernel"))
 
 
-@query("kernel_index_search")
-def _(s, d):
-    e, _, index = _index(s, d)
-    return index.search_many(e.where("vec_id % 20 = 0"), 10, regions=24).withColumn("score", r6("score"))
-
-
 @query("kernel_index_recall")
 def _(s, d):
     e, _, index = _index(s, d)
@@ -46,7 +40,7 @@ def _(s, d):
 @query("graph_eigenmaps")
 def _(s, d):
     """Lowest eigenvectors of the graph of parts that a supplier delivers, without the signs, which are free."""
-    maps, values = L.eigenmaps(_edges(s, d), 5)
+    maps, values = L.eigenmaps(_edges(s, d), 5, tol=1e-2)
     return maps.select("node", r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("mass")).withColumn("last_value", F.lit(round(values[-1], 4)))
 
 
@@ -57,7 +51,7 @@ def _(s, d):
 )
 def _(s, d):
     """The five regions do not hang together, so that the five lowest eigenvectors tell them apart."""
-    return L.communities(L.eigenmaps(_edges(s, d), 5)[0], 5)
+    return L.communities(L.eigenmaps(_edges(s, d), 5, tol=1e-2)[0], 5)
 
 
 @query("logistic_probe")
