@@ -150,10 +150,10 @@ def _(s, d):
 
 @query("cell_search")
 def _(s, d):
-    """4 of 64 cells by product codes; 100 rows of a query are decided by their vectors."""
+    """4 of at most 64 cells of 30 rows or more by product codes; 200 rows of a query are decided by their vectors."""
     e = read(s, d, "embeddings")
-    table = A.CellTable(e, shared_path(s, "cells"))
-    return table.search_many(e.where("vec_id % 20 = 0"), 20).withColumn("score", r6("score"))
+    table = A.CellTable(e, shared_path(s, "cells"), cells=max(4, min(64, e.count() // 30)), ratio=1.2, copies=16)
+    return table.search_many(e.where("vec_id % 20 = 0"), 20, rerank=200).withColumn("score", r6("score"))
 
 
 @query("graph_search")

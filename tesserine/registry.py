@@ -709,7 +709,7 @@ def _(s, d):
 _ALL_STEPS = f"""WITH RECURSIVE x AS (SELECT event_id % (SELECT count(*) FROM embeddings) AS vec_id, 'n' || user_id % 25 AS node, {EPOCH} AS t, props FROM events),
 r AS (SELECT vec_id, node FROM x WHERE json_extract_string(props, '$.k') = '69' UNION ALL SELECT vec_id, node FROM x WHERE t BETWEEN 1704500000 AND 1704600000),
 g(node, hop) AS (SELECT 'n3', 0 UNION SELECT dst, hop + 1 FROM g JOIN {_EDGES} ON node = src WHERE hop < 2)
-SELECT round(avg(s), 6) AS value FROM (SELECT {_cos_sql("embedding::DOUBLE[]", _QL)} AS s, vec_id FROM embeddings WHERE vec_id IN (SELECT vec_id FROM r WHERE node IN (SELECT node FROM g WHERE hop > 0)) ORDER BY s DESC, vec_id LIMIT 10)"""
+SELECT round(avg(s), 6) AS value FROM (SELECT {_cos_sql("embedding::DOUBLE[]", _QL)} AS s, vec_id FROM embeddings WHERE vec_id IN (SELECT vec_id FROM r WHERE node IN (SELECT node FROM g WHERE hop > 0 AND node <> 'n3')) ORDER BY s DESC, vec_id LIMIT 10)"""
 
 
 @query("universal_query_all", _ALL_STEPS)
