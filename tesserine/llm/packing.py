@@ -41,6 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -322,7 +323,7 @@ class Shard:
 
 def portions(bt: pa.RecordBatch, kind: np.dtype, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` tokens in the column ``tail`` (or one row)."""
-    size = np.cumsum(pa.compute.binary_length(bt.column(bt.schema.get_field_index("tail"))).to_numpy(zero_copy_only=False)) // kind.itemsize
+    size = np.cumsum(pc.binary_length(bt.column(bt.schema.get_field_index("tail"))).to_numpy(zero_copy_only=False)) // kind.itemsize
     a = 0
     while a < bt.num_rows:
         z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + limit, side="right")))

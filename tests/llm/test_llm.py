@@ -740,3 +740,40 @@ def test_bands_meet_the_near_pairs_of_the_table(spark):
     pairs = [(i, j) for i, j in zip(*np.nonzero(np.triu(hit)))]
     met = sum(any(x == y for x, y in zip(keys[i], keys[j])) for i, j in pairs)
     assert pairs and met / len(pairs) >= 0.99
+
+
+def test_lm_look_ups_of_joined_slices():
+    """Look-ups in slices joined to pieces, each word and bigram once, are those of one slice after another."""
+    rng = np.random.default_rng(3)
+    u64 = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    slices = lm_scoring.Slices(7, np.array([lm_scoring.START], np.uint64))
+    words = np.sort(u64(3000))
+    u, t = words[rng.integers(0, 3000, 9000)], words[rng.integers(0, 3000, 9000)]
+    g, home, parts = lm_scoring.pair(u, t), slices.of_word(words), {}
+    for s in range(7):
+        mine, own = np.unique(lm_scoring.item(u, lm_scoring.low(g))[slices.of_pair(u, g) == s]), words[home == s]
+        counts = rng.integers(1, 400, len(mine))
+        blocks = 2 + s % 2
+        parts[s] = lm_scoring.Part(own, np.arange(len(own)) + 1, np.arange(len(own)) * 2, lm_scoring.build_filter(mine, counts, blocks, 12.0), blocks)
+    asked_u, asked_t = np.concatenate([u, u64(500), u[:99]]), np.concatenate([t, u64(500), t[:99]])
+    want, item = np.zeros(len(asked_u), np.int64), lm_scoring.item(asked_u, lm_scoring.low(lm_scoring.pair(asked_u, asked_t)))
+    at = slices.of_pair(asked_u, lm_scoring.pair(asked_u, asked_t))
+    for s, p in parts.items():
+        want[at == s] = lm_scoring.level_of(item[at == s], p.bits, p.blocks)
+    few = [lm_scoring.Piece.of({s: parts[s] for s in some}) for some in ((0, 1, 2), (3,), (4, 5, 6))]
+    for table in (lm_scoring.Table(slices, parts), lm_scoring.Table(slices, {}, few)):
+        assert table.levels(asked_u, asked_t).tolist() == want.tolist()
+        c, z = table.words(asked_t)
+        assert (c > 0).tolist() == np.isin(asked_t, words).tolist() and (z[c > 0] == 2 * (c[c > 0] - 1)).all()
+    # A segment without some slices answers for its own only.
+    c, _ = lm_scoring.Table(slices, {}, few[:1]).words(words)
+    assert (c > 0).tolist() == (home <= 2).tolist()
+
+
+def test_packing_portions_need_no_other_import():
+    """packing imports what it uses of pyarrow (a fresh interpreter has no pyarrow.compute)."""
+    import subprocess
+    import sys
+
+    code = "import pyarrow as pa, numpy as np\nfrom tesserine.llm import packing\nb = pa.RecordBatch.from_arrays([pa.array([b'abcd' * 3, b'', b'abcd'])], names=['tail'])\nprint([x.num_rows for x in packing.portions(b, np.dtype('<u4'), 3)])"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "[2, 1]"
