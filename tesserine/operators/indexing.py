@@ -5,18 +5,28 @@ Vectors are kept as rows (id, dim, x), one for each component that is not zero.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, shared_path
+
 DIMS, ENTRIES = 256, 8
+#: Terms that are broadcast with their numbers of documents.
+SMALL_VOCABULARY = 500_000
 
 
 def term_weights(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """(id, term, w): term frequency times 1 + ln((N + 1) / (df + 1))."""
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(id, term, w): term frequency times 1 + ln((N + 1) / (df + 1)), rows of an id in one partition.
+
+    Whole texts are dealt by id once, so that terms are counted where they are; a vocabulary of at most ``SMALL_VOCABULARY``
+    terms is broadcast, a larger one meets the terms in a join.
+    """
+    tf = docs.repartition(id_col).select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     n = docs.count()
-    return tf.join(df, "term").select("id", "term", (F.col("tf") * (1 + F.ln(F.lit(n + 1.0) / (F.col("df") + 1)))).alias("w"))
+    small = df.count() <= SMALL_VOCABULARY
+    met = tf.join(F.broadcast(df) if small else df, "term").select("id", "term", (F.col("tf") * (1 + F.ln(F.lit(n + 1.0) / (F.col("df") + 1)))).alias("w"))
+    return met if small else met.repartition("id")
 
 
 def directions(term: Column) -> Column:
@@ -30,17 +40,20 @@ def directions(term: Column) -> Column:
 
 
 def normalised(rows: DataFrame) -> DataFrame:
-    size = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size")).where("size > 0")
-    return rows.join(size, "id").select("id", "dim", (F.col("x") / F.col("size")).alias("x"))
+    """Vectors of length one; a window holds the components of one id, ``DIMS`` at most."""
+    size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
+    return rows.withColumn("size", size).where("size > 0").select("id", "dim", (F.col("x") / F.col("size")).alias("x"))
 
 
 def embedded(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """(id, dim, x): unit vectors of ``DIMS`` dimensions; documents without terms have none."""
+    """(id, dim, x): unit vectors of ``DIMS`` dimensions; documents without terms have none. They are written once to the shared folder."""
     weights = term_weights(docs, id_col, terms)
-    # A term's directions are taken once, then met by its documents.
-    known = weights.select("term").distinct().select("term", F.explode(directions(F.col("term"))).alias("e"))
-    rows = weights.join(known, "term").groupBy("id", F.col("e.dim").alias("dim")).agg(F.sum(F.col("w") * F.col("e.sign")).alias("x"))
-    return normalised(rows.where("x <> 0"))
+    # The rows of an id lie in one partition, so that directions are added up before anything moves.
+    e = F.explode(directions(F.col("term"))).alias("e")
+    rows = weights.select("id", "w", e).groupBy("id", F.col("e.dim").alias("dim")).agg(F.sum(F.col("w") * F.col("e.sign")).alias("x"))
+    path = shared_path(docs.sparkSession, "embedded")
+    normalised(rows.where("x <> 0")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def diffused(rows: DataFrame, edges: DataFrame, keep: float = 0.7) -> DataFrame:
@@ -48,10 +61,12 @@ def diffused(rows: DataFrame, edges: DataFrame, keep: float = 0.7) -> DataFrame:
     if not 0 <= keep <= 1:
         raise ValueError("keep lies in [0, 1]")
     e = edges.select("src", "dst").distinct()
-    n = e.join(rows.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    near = e.join(rows.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "dim").agg(F.sum("x").alias("s")).join(n, "id")
-    near = near.select("id", "dim", (F.col("s") / F.col("n") * (1 - keep)).alias("x"))
-    both = rows.select("id", "dim", (F.col("x") * keep).alias("x")).unionByName(near).groupBy("id", "dim").agg(F.sum("x").alias("x"))
+    e = e.join(rows.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    n = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    share = e.join(n, "src").select(F.col("src"), F.col("dst").alias("id"), (F.lit(1 - keep) / F.col("n")).alias("share"))
+    near = rows.join(share, "id").select(F.col("src").alias("id"), "dim", (F.col("x") * F.col("share")).alias("x"))
+    # Dealt by id once; sums and lengths stay in place.
+    both = rows.select("id", "dim", (F.col("x") * keep).alias("x")).unionByName(near).repartition("id").groupBy("id", "dim").agg(F.sum("x").alias("x"))
     return normalised(both.where("x <> 0"))
 
 

@@ -1,5 +1,7 @@
 """Larger inputs, on which the operators' exact and distributed forms must give the whole result."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -93,3 +95,21 @@ def test_eigenmaps_of_fewer_components_than_vectors(spark):
     assert np.allclose(values, want, atol=1e-6)
     x = np.array([r.x for r in maps.collect()])
     assert np.allclose(x.T @ x, np.eye(3), atol=1e-6)
+
+
+@pytest.mark.parametrize("known", [500_000, 10])
+def test_term_directions_do_not_move(spark, known, monkeypatch):
+    """Eight directions of a term are added up where the term is: no exchange by (id, dim); both ways to meet the vocabulary agree."""
+    from tesserine.operators import indexing, search
+
+    monkeypatch.setattr(indexing, "SMALL_VOCABULARY", known)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    w = indexing.term_weights(docs, "doc_id", search.tokens(F.coalesce("text", F.lit(""))))
+    summed = w.select("id", "w", F.explode(indexing.directions(F.col("term"))).alias("e")).groupBy("id", F.col("e.dim")).agg(F.sum("w"))
+    keys = re.findall(r"hashpartitioning\((.*?), \d+[,)]", summed._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("," in k for k in keys)
+    got = {(r.id, r.dim): r.x for r in indexing.embedded(docs, "doc_id", search.tokens(F.coalesce("text", F.lit("")))).collect()}
+    sizes = {}
+    for (i, _), x in got.items():
+        sizes[i] = sizes.get(i, 0) + x * x
+    assert sizes and all(abs(s - 1) < 1e-9 for s in sizes.values())
