@@ -41,8 +41,9 @@ class Postings:
         cut(spark.range(1))  # names the shared folder
         path = path or f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/postings-{uuid.uuid4().hex}"
         d = docs.select(F.col(id_col).alias("cx_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).withColumn("len", F.size("w"))
-        # A document's tokens are in one task, so that counts leave it summed: one row for each document and term.
-        terms = d.select("cx_id", "len", F.explode("w").alias("term")).groupBy("cx_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        # Whole texts are dealt by id once, so that terms are counted where they are and only the table's own rows move.
+        dealt = docs.repartition(id_col).select(F.col(id_col).alias("cx_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).withColumn("len", F.size("w"))
+        terms = dealt.select("cx_id", "len", F.explode("w").alias("term")).groupBy("cx_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
         terms.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("cx_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         d.select("len").write.parquet(f"{path}/lengths")
         got = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)), F.avg("len")).first()
