@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tesserine.operators import cluster
+from tesserine.operators import ann, cluster
 
 
 def test_density_clusters_of_more_than_3000_rows_match_the_dense_tree(spark):
@@ -16,3 +16,26 @@ def test_density_clusters_of_more_than_3000_rows_match_the_dense_tree(spark):
     labels = cluster.density_labels(np.clip(1 - v @ v.T, 0, 2), 5, 5)
     assert len(got) == 3040 and len(set(labels)) > 5
     assert got == {int(i): int(ids[order][c]) if c >= 0 else -1 for i, c in zip(ids[order], labels)}
+
+
+def test_walk_holds_the_beam_alone_and_meets_what_a_plain_search_meets(spark):
+    v = np.random.default_rng(4).normal(size=(400, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    g = ann.NeighbourGraph(df, degree=6, sample=4, rounds=2, codes=ann.ProductCodes(np.random.default_rng(5).normal(size=(4, 16, 4))))
+    edges, code = {}, {}
+    for r in g.edges.collect():
+        edges.setdefault(r.node, []).append(r.nbr)
+        code[r.nbr] = r.code
+    books, start = g.codes.books, [r.id for r in ann._sample(g.rows, 16).collect()]
+    score = lambda q, i: float(sum(v[q, 4 * p : 4 * p + 4] @ books[p, c] for p, c in enumerate(code[i])))
+    got = {}
+    for r in g.walk(df.where("vec_id < 5"), beam=20, width=3).collect():
+        got.setdefault(r.query_id, {})[r.node] = r.score
+    for q in range(5):
+        seen, done = set(start), set()
+        while front := [i for i in sorted(seen, key=lambda i: (-score(q, i), i))[:20] if i not in done][:3]:
+            done |= set(front)
+            seen |= {j for i in front for j in edges[i]}
+        assert set(got[q]) == set(sorted(seen, key=lambda i: (-score(q, i), i))[:20])
+        assert all(abs(s - score(q, i)) < 1e-9 for i, s in got[q].items())
