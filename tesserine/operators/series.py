@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .estimators import LIMIT, _one, digamma
@@ -78,46 +81,105 @@ def cross_mapping(df: DataFrame, t: str, x: str, y: str, dim: int = 2, tau: int
     return _one(df.select(F.col(t).alias("t"), x, y), ["t", x, y], fn, "x_to_y double, x_to_y_gain double, y_to_x double, y_to_x_gain double", 20)
 
 
+def _pulls(t: np.ndarray, p: np.ndarray, first: np.ndarray, size: np.ndarray, kinds: int, decay: float) -> np.ndarray:
+    """Per event and source kind the kernel sum over strictly earlier events of its group; events lie in groups, by time in each.
+
+    All groups take their i-th event in one step: sums fade by the time since the event before, and events of one time wait for the next.
+    """
+    out = np.zeros((len(t), kinds))
+    order = np.argsort(-size, kind="stable")  # the groups that have an i-th event come first
+    at, longest = first[order], size[order]
+    total, waiting = np.zeros((len(at), kinds)), np.zeros((len(at), kinds))
+    for i in range(longest[0]):
+        n = np.searchsorted(-longest, -i, side="left")
+        now = at[:n] + i
+        if i:
+            gap = (t[now] - t[now - 1])[:, None]
+            total[:n] = np.where(gap > 0, (total[:n] + waiting[:n]) * np.exp(-decay * gap), total[:n])
+            waiting[:n] = np.where(gap > 0, 0.0, waiting[:n])
+        out[now] = total[:n]
+        waiting[np.arange(n), p[now]] += decay
+    return out
+
+
+def _fits(g: np.ndarray, t: np.ndarray, p: np.ndarray, kinds: int, decay: float, rounds: int) -> tuple[np.ndarray, ...]:
+    """EM of many groups at once; g: group from 0, sorted with t within it; p: kind. (branching, baseline, seen, span) by group."""
+    size = np.bincount(g)
+    first = np.cumsum(size) - size
+    t = t - t[first][g]
+    end = t[first + size - 1]
+    at = _pulls(t, p, first, size, kinds, decay)
+    slot = g * kinds + p  # the fit of a target kind of a group
+    order = np.argsort(slot, kind="stable")
+    slot, at = slot[order], at[order]
+    starts = np.flatnonzero(np.append(True, np.diff(slot) > 0))
+    mine, have = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slot)))), slot[starts]
+    exposure = np.zeros((len(size), kinds))
+    np.add.at(exposure, (g, p), 1 - np.exp(-decay * (end[g] - t)))
+    span = end[have // kinds]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        base, branch = np.bincount(mine) / span / 2, np.full((len(starts), kinds), 0.05)
+        below = np.maximum(exposure[have // kinds], 1e-12)
+        for _ in range(rounds):
+            share = at * branch[mine]
+            mean = base[mine]
+            total = mean + share.sum(axis=1)
+            base, branch = np.add.reduceat(mean / total, starts) / span, np.add.reduceat(share / total[:, None], starts) / below
+    full, fixed, seen = np.zeros((len(size), kinds, kinds)), np.zeros((len(size), kinds)), np.zeros((len(size), kinds), bool)
+    full[have // kinds, have % kinds], fixed[have // kinds, have % kinds], seen[have // kinds, have % kinds] = branch, base, True
+    return full, fixed, seen, end
+
+
 def hawkes(df: DataFrame, t: str, process: str, decay: float, rounds: int = 50, by: str | None = None) -> DataFrame:
     """(target, source, branching, baseline) of mutually exciting processes with kernel decay * exp(-decay * age), by EM.
 
     Only strictly earlier events excite; time starts at the first event and ends at the last. With ``by`` one fit per
     group, under its column; there a group in which no time passes has null values instead of an error.
+    Groups come sorted, and all whole groups of a batch are fitted at once.
     """
+    group = "_g" if by is None else by
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > LIMIT or not np.isfinite(pdf["t"]).all():
+    def fit(rows: pa.Table) -> list[pa.RecordBatch]:
+        times = rows.column("t").to_numpy()
+        starts = np.flatnonzero(rows.column("_new").to_numpy())
+        size = np.diff(np.append(starts, len(times)))
+        if rows.column("t").null_count or rows.column("p").null_count or not np.isfinite(times).all() or size.max() > LIMIT:
             raise ValueError("too many or non-finite events")
-        names = sorted(pdf["p"].unique())
-        begin, end = pdf["t"].min(), pdf["t"].max() - pdf["t"].min()
-        if not end > 0:
-            if by is None:
-                raise ValueError("no time passes")
-            return pd.DataFrame([(a, b, None, None) for a in names for b in names], columns=["target", "source", "branching", "baseline"])
-        times = [np.sort(pdf.loc[pdf["p"] == s, "t"].to_numpy(float) - begin) for s in names]
-        exposure = np.array([(1 - np.exp(-decay * (end - e))).sum() for e in times])
-        pull = []  # per target: kernel sums of every source at each event
-        for e in times:
-            at = np.zeros((len(e), len(names)))
-            for s, src in enumerate(times):
-                for i in range(0, len(e), 512):
-                    age = e[i : i + 512, None] - src[None, :]
-                    at[i : i + 512, s] = np.where(age > 0, decay * np.exp(-decay * np.maximum(age, 0)), 0).sum(axis=1)
-            pull.append(at)
-        base, branch = np.array([len(e) / end / 2 for e in times]), np.full((len(names), len(names)), 0.05)
-        for _ in range(rounds):
-            for g, at in enumerate(pull):
-                share = at * branch[g]
-                total = base[g] + share.sum(axis=1)
-                base[g], branch[g] = (base[g] / total).sum() / end, (share / total[:, None]).sum(axis=0) / np.maximum(exposure, 1e-12)
-        return pd.DataFrame([(a, b, branch[i, j], base[i]) for i, a in enumerate(names) for j, b in enumerate(names)], columns=["target", "source", "branching", "baseline"])
+        code = rows.column("p").combine_chunks().dictionary_encode()
+        names = np.array(code.dictionary.to_pylist(), object)
+        rank = np.argsort(names)
+        turn = np.empty(len(names), int)
+        turn[rank] = np.arange(len(names))
+        branch, base, seen, end = _fits(np.repeat(np.arange(len(starts)), size), times, turn[code.indices.to_numpy()], len(names), decay, rounds)
+        if by is None and not (end > 0).all():
+            raise ValueError("no time passes")
+        who, a, b = np.nonzero(seen[:, :, None] & seen[:, None, :])
+        still, kinds = ~(end > 0)[who], pa.array(names[rank], pa.string())
+        values = [pa.array(x, pa.float64(), mask=still) for x in (branch[who, a, b], base[who, a])]
+        table = pa.table([rows.column("_g").take(pa.array(starts[who])), kinds.take(pa.array(a)), kinds.take(pa.array(b)), *values], names=[group, "target", "source", "branching", "baseline"])
+        return (table if by is not None else table.drop_columns([group])).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the group that may go on in the next batch
+        for b in batches:
+            starts = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
+            if len(starts):
+                if held or starts[-1]:
+                    yield from fit(pa.Table.from_batches([*held, b.slice(0, starts[-1])]))
+                held, b = [], b.slice(starts[-1])
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) > LIMIT:
+                raise ValueError("too many or non-finite events")
+        if held:
+            yield from fit(pa.Table.from_batches(held))
 
     rows = df.select((F.lit(1) if by is None else F.col(by)).alias("_g"), F.col(t).cast("double").alias("t"), F.col(process).cast("string").alias("p"))
-    if by is not None:
-        kind = rows.schema["_g"].dataType.simpleString()
-        keyed = lambda key, pdf: run(pdf).assign(**{by: key[0]})
-        return rows.groupBy("_g").applyInPandas(keyed, f"{by} {kind}, target string, source string, branching double, baseline double")
-    return rows.groupBy("_g").applyInPandas(run, "target string, source string, branching double, baseline double")
+    before = F.row_number().over(Window.partitionBy("_g").orderBy("t", "p"))
+    rows = rows.withColumn("_new", before == 1)
+    kind = rows.schema["_g"].dataType.simpleString()
+    fits = "target string, source string, branching double, baseline double"
+    return rows.mapInArrow(run, fits if by is None else f"{by} {kind}, {fits}")
 
 
 def _equal_frequency(v: np.ndarray, bins: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tesserine.operators import ann, cluster
+from tesserine.operators import ann, cluster, series
 
 
 def test_density_clusters_of_more_than_3000_rows_match_the_dense_tree(spark):
@@ -39,3 +39,27 @@ def test_walk_holds_the_beam_alone_and_meets_what_a_plain_search_meets(spark):
             seen |= {j for i in front for j in edges[i]}
         assert set(got[q]) == set(sorted(seen, key=lambda i: (-score(q, i), i))[:20])
         assert all(abs(s - score(q, i)) < 1e-9 for i, s in got[q].items())
+
+
+def test_hawkes_fits_whole_batches_of_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, "abc"[k], float(t)) for g in range(40) for k, t in zip(rng.integers(0, 3, 30 + g), rng.integers(0, 50, 30 + g))]
+    rows += [(77, "c", 5.0), (77, "c", 5.0), (None, "a", 1.0), (None, "b", 3.0)]
+    df = spark.createDataFrame(rows, "g long, p string, t double")
+    fits = series.hawkes(df, "t", "p", 0.5, by="g")
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no call of Python for each group
+    got = {(r.g, r.target, r.source): (r.branching, r.baseline) for r in fits.collect()}
+    assert got[77, "c", "c"] == (None, None) and (None, "a", "b") in got and len(got) == 40 * 9 + 1 + 4
+    for g in (0, 7, 39):
+        # A plain loop over one group.
+        mine = {x: np.sort([t for i, p, t in rows if i == g and p == x]) for x in "abc"}
+        begin, end = (f(np.concatenate(list(mine.values()))) for f in (np.min, np.max))
+        pull = {x: np.array([[sum(0.5 * np.exp(-0.5 * (t - u)) for u in mine[y] if u < t) for y in "abc"] for t in mine[x]]) for x in "abc"}
+        seen = np.array([sum(1 - np.exp(-0.5 * (end - t)) for t in mine[y]) for y in "abc"])
+        for x in "abc":
+            base, branch = len(mine[x]) / (end - begin) / 2, np.full(3, 0.05)
+            for _ in range(50):
+                total = base + (pull[x] * branch).sum(axis=1)
+                base, branch = (base / total).sum() / (end - begin), (pull[x] * branch / total[:, None]).sum(axis=0) / np.maximum(seen, 1e-12)
+            assert all(np.allclose(got[g, x, y], (branch[i], base), atol=1e-9) for i, y in enumerate("abc"))
