@@ -63,3 +63,13 @@ def test_hawkes_fits_whole_batches_of_groups(spark):
                 total = base + (pull[x] * branch).sum(axis=1)
                 base, branch = (base / total).sum() / (end - begin), (pull[x] * branch / total[:, None]).sum(axis=0) / np.maximum(seen, 1e-12)
             assert all(np.allclose(got[g, x, y], (branch[i], base), atol=1e-9) for i, y in enumerate("abc"))
+
+
+def test_rounds_move_half_vectors_and_end_with_exact_scores(spark):
+    v = np.random.default_rng(8).normal(size=(150, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    g = ann.NeighbourGraph(df, degree=6, sample=4, rounds=2, codes=ann.ProductCodes(np.random.default_rng(5).normal(size=(4, 4, 2))))
+    assert {len(r.v) for r in g.half.collect()} == {16}  # 2 bytes for each component
+    got = g.near.collect()
+    assert len(got) == 150 * 6 and all(abs(v[r.node] @ v[r.nbr] - r.score) < 1e-12 for r in got)
