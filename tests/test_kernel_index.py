@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tesserine.operators import ann, graph
 from tesserine.operators.kernel_index import KernelIndex, sampled_kernel
 from tesserine.registered import maps
 
@@ -48,3 +49,16 @@ def test_a_sampled_kernel_of_copies_and_of_one_row(spark):
     got = sampled_kernel(_vectors(spark, [*few, *[same] * 300]), ["0"], 0.25, most=64)
     assert got.count() == 8 and sum(int(r.node) >= 30 for r in got.collect()) <= 1
     assert [r.node for r in sampled_kernel(_vectors(spark, few[:1]), ["0"], 0.25).collect()] == ["0"]
+
+
+def test_a_graph_without_a_walk_fits_no_codes(spark, monkeypatch):
+    monkeypatch.setattr(ann.ProductCodes, "fit", None)
+    g = ann.NeighbourGraph(_vectors(spark, RNG.standard_normal((120, 16))), degree=4, sample=4)
+    assert g.near.groupBy("node").count().where("count = 4").count() == 120
+
+
+def test_hops_are_not_planned_again(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("a", "c")], "src string, dst string")
+    got = graph.groundedness(edges, ["a"], 3)
+    assert {r.node: r.hop for r in got.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert "Join" not in got._jdf.queryExecution().toString()
