@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine import registry
-from tesserine.operators import blocks, dedup, graph, spectral
+from tesserine.operators import blocks, dedup, graph, recurrence, spectral
 
 from test_queries import SF, rows
 
@@ -113,3 +113,38 @@ def test_term_directions_do_not_move(spark, known, monkeypatch):
     for (i, _), x in got.items():
         sizes[i] = sizes.get(i, 0) + x * x
     assert sizes and all(abs(s - 1) < 1e-9 for s in sizes.values())
+
+
+def test_a_full_band_is_met_by_many_tasks(spark):
+    """All rows within seconds: blocks of purchases bound what a row makes at once, and more than one task makes the pairs."""
+    a = spark.range(20).select("id", (7200 + F.col("id") % 3).alias("t"))
+    b = spark.range(5 * recurrence.BLOCK).select("id", (7210 + F.col("id") % 7).alias("t"))
+    for k, v in (off := {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}).items():
+        spark.conf.set(k, v)
+    try:
+        got = recurrence.co_occurrence(a, b, 3600).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("ida", "idb").alias("n")).collect()
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    assert sum(r.n for r in got) == 100 * recurrence.BLOCK and len(got) > 1
+
+
+def test_pairs_keep_copies_and_leave_out_rows_without_a_time(spark):
+    a = spark.createDataFrame([(1, 100), (1, 100), (None, 103), (2, None)], "id long, t long")
+    b = spark.createDataFrame([(7, 91), (7, 91), (None, 109), (8, 90), (9, None), (6, -5)], "id long, t long")
+    got = sorted(map(str, recurrence.co_occurrence(a, b, 10).collect()))
+    want = [(i, t, j, u) for i, t in [(1, 100), (1, 100), (None, 103)] for j, u in [(7, 91), (7, 91), (None, 109)] if abs(u - t) < 10]
+    assert got == sorted(f"Row(ta={t}, ida={i}, tb={u}, idb={j})" for i, t, j, u in want)
+
+
+def test_copies_of_events_add_no_pairs_of_times(spark, tmp_path):
+    """Lag and cross K of 5 copies: 25 times the pairs, from as many rows as one copy has."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.crossJoin(spark.range(5).withColumnRenamed("id", "i")).withColumn("event_id", F.col("event_id") + 100000 * F.col("i")).drop("i").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("co_occurrence_all", "lead_lag_all", "cross_k_all"):
+        df, r = registry.queries()[name](spark, str(tmp_path)), con.execute(registry.oracle_sql()[name])
+        assert rows(df.columns, df.collect()) == rows([c[0] for c in r.description], r.fetchall())
+    one, five = (recurrence.co_occurrence_counts(*registry._views_and_purchases(spark, d), 3600) for d in (SF, str(tmp_path)))
+    assert five.count() == one.count() and five.agg(F.sum("n")).first()[0] == 25 * one.agg(F.sum("n")).first()[0]
