@@ -13,10 +13,10 @@ from .search import knn_many
 LOW, MEDIUM, HIGH = 0.5, 0.65, 0.8
 
 
-def differences(vectors: DataFrame, queries: DataFrame, a: int, b: int, width: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def differences(vectors: DataFrame, queries: DataFrame, a: int, b: int, width: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_lanes: int = 8) -> DataFrame:
     """(cx_id, own, other, delta): mean similarity of a row's k nearest others in slot ``a``, by that slot and by slot ``b``, and their difference."""
     part = lambda df, s: df.select(F.col(id_col), V.slot(F.col(vec_col), s, width).alias(vec_col))
-    near = knn_many(part(vectors, a), part(queries, a), k + 1, id_col, vec_col).where("query_id <> cx_id")
+    near = knn_many(part(vectors, a), part(queries, a), k + 1, id_col, vec_col, query_lanes).where("query_id <> cx_id")
     near = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "cx_id"))), 1, k).alias("g"))  # k + 1 at most
     near = near.select("query_id", F.explode("g").alias("n")).select("query_id", F.col("n.cx_id").alias("cx_id"), (-F.col("n.s")).alias("own"))
     x = part(queries, b).select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("x"))

@@ -8,6 +8,8 @@ from ..functions import vectors as V
 from ..operators import blindspots as B
 from ..operators import discovery as X
 from ..operators import events as E
+from ..operators.lineage import cut
+from ..operators.search import ALL_LANES
 from ..registry import _cos_sql, QUERY, _QL, query, r6, read
 
 #: Parts and suppliers that share order lines, in both directions, by quantity; a node's frequency is its number of lines.
@@ -116,16 +118,23 @@ def _slot(row: str, k: int) -> str:
     return f"{row}.embedding[{16 * k + 1}:{16 * k + 16}]::DOUBLE[]"
 
 
-_DELTAS = f"""WITH p AS (SELECT q.vec_id AS cx_id, e.vec_id AS other_id, {_cos_sql(_slot('q', 0), _slot('e', 0))} AS a, {_cos_sql(_slot('q', 1), _slot('e', 1))} AS b FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+_ALL_DELTAS = f"""WITH p AS (SELECT q.vec_id AS cx_id, e.vec_id AS other_id, {_cos_sql(_slot('q', 0), _slot('e', 0))} AS a, {_cos_sql(_slot('q', 1), _slot('e', 1))} AS b FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id),
     n AS (SELECT *, row_number() OVER (PARTITION BY cx_id ORDER BY a DESC, other_id) AS k FROM p),
     d AS (SELECT cx_id, avg(a) AS own, avg(b) AS other, avg(a) - avg(b) AS delta FROM n WHERE k <= 5 GROUP BY 1)"""
 
+_DELTAS = _ALL_DELTAS.replace("q.vec_id <> e.vec_id)", "q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)")
+
 
 def _deltas(s, d):
     e = read(s, d, "embeddings")
     return B.differences(e, e.where("vec_id % 20 = 0"), 0, 1, 16, 5)
 
 
+def _all_deltas(s, d):
+    e = read(s, d, "embeddings")
+    return B.differences(e, e, 0, 1, 16, 5, query_lanes=ALL_LANES)
+
+
 @query("blind_spots", f"{_DELTAS} SELECT cx_id, round(own, 6) AS own, round(other, 6) AS other, round(delta, 6) AS delta, CASE WHEN delta >= 0.8 THEN 'high' WHEN delta >= 0.65 THEN 'medium' ELSE 'low' END AS severity FROM d WHERE delta >= 0.5")
 def _(s, d):
     return B.plain(_deltas(s, d)).withColumns({c: r6(c) for c in ("own", "other", "delta")})
@@ -133,11 +142,11 @@ def _(s, d):
 
 @query(
     "blind_spots_calibrated",
-    f"""{_DELTAS}, c AS (SELECT x.cx_id, x.delta, count(*) FILTER (WHERE y.delta <= x.delta) / CAST(count(*) AS DOUBLE) AS percentile, count(*) FILTER (WHERE y.delta >= x.delta) / CAST(count(*) AS DOUBLE) AS p_value FROM d x, d y GROUP BY 1, 2)
+    f"""{_ALL_DELTAS}, c AS (SELECT x.cx_id, x.delta, count(*) FILTER (WHERE y.delta <= x.delta) / CAST(count(*) AS DOUBLE) AS percentile, count(*) FILTER (WHERE y.delta >= x.delta) / CAST(count(*) AS DOUBLE) AS p_value FROM d x, d y GROUP BY 1, 2)
     SELECT cx_id, round(delta, 6) AS delta, round(percentile, 6) AS percentile, round(p_value, 6) AS p_value, CASE WHEN percentile >= 1 - 0.4::DOUBLE / 3 THEN 'high' WHEN percentile >= 1 - 2 * 0.4::DOUBLE / 3 THEN 'medium' ELSE 'low' END AS severity FROM c WHERE p_value <= 0.4""",
 )
 def _(s, d):
-    x = _deltas(s, d)
+    x = cut(_all_deltas(s, d))  # counted, ranked and returned
     return B.calibrated(x, x, alpha=0.4, least=20).withColumns({c: r6(c) for c in ("delta", "percentile", "p_value")})
 
 

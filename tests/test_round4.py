@@ -27,3 +27,11 @@ def test_copies_of_a_vector_rank_by_id_wherever_they_lie(spark):
         near = sorted(near)
         assert [c for _, c in near[:7]] == list(range(i // 7 * 7, i // 7 * 7 + 7)) and len({s for s, _ in near[:7]}) == 1
         assert [c for _, c in near[7:]] == list(range(near[7][1] // 7 * 7, near[7][1] // 7 * 7 + 3))
+
+
+def test_blind_spots_calibrated_asks_every_row(spark):
+    """Percentiles are shares of all rows' differences, not of every twentieth row's."""
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    alerts = registry.queries()["blind_spots_calibrated"](spark, SF).collect()
+    assert len(alerts) >= 0.4 * n - 1 and any(r.cx_id % 20 for r in alerts)
+    assert "% 20" not in registry.oracle_sql()["blind_spots_calibrated"]
