@@ -3,7 +3,7 @@
 import numpy as np
 
 from tesserine import registry
-from tesserine.operators import search
+from tesserine.operators import ann, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,12 @@ def test_blind_spots_calibrated_asks_every_row(spark):
     alerts = registry.queries()["blind_spots_calibrated"](spark, SF).collect()
     assert len(alerts) >= 0.4 * n - 1 and any(r.cx_id % 20 for r in alerts)
     assert "% 20" not in registry.oracle_sql()["blind_spots_calibrated"]
+
+
+def test_walk_goes_on_until_every_beam_is_open(spark):
+    """One node opened in a hop: at least as many hops as the beam has nodes, more than the former 20."""
+    v = np.random.default_rng(4).normal(size=(120, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    g = ann.NeighbourGraph(df, degree=6, sample=4, rounds=1, codes=ann.ProductCodes(np.random.default_rng(5).normal(size=(4, 16, 4))))
+    got = {(r.query_id, r.node) for r in g.walk(df.where("vec_id < 2"), beam=22, width=1).collect()}
+    assert len(got) == 44
