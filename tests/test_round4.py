@@ -2,7 +2,10 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tesserine import registry
+from tesserine.llm import lm_scoring
 from tesserine.operators import ann, search
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +47,11 @@ def test_walk_goes_on_until_every_beam_is_open(spark):
     g = ann.NeighbourGraph(df, degree=6, sample=4, rounds=1, codes=ann.ProductCodes(np.random.default_rng(5).normal(size=(4, 16, 4))))
     got = {(r.query_id, r.node) for r in g.walk(df.where("vec_id < 2"), beam=22, width=1).collect()}
     assert len(got) == 44
+
+
+def test_several_passes_score_as_one_pass_does(spark):
+    """Documents of several segments are added up in chunks like those of one; copies and null ids keep their rows."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    d = d.unionByName(d.where("doc_id < 5")).unionByName(d.where("doc_id < 3").select(F.lit(None).cast("long").alias("doc_id"), "text")).repartition(3)
+    one, many = (sorted(map(str, lm_scoring.score(d, segment_bytes=n).collect())) for n in (384 << 20, 300_000))
+    assert one == many
