@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserine import registry
 from tesserine.llm import lm_scoring
-from tesserine.operators import ann, search
+from tesserine.operators import ann, indexing, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +55,16 @@ def test_several_passes_score_as_one_pass_does(spark):
     d = d.unionByName(d.where("doc_id < 5")).unionByName(d.where("doc_id < 3").select(F.lit(None).cast("long").alias("doc_id"), "text")).repartition(3)
     one, many = (sorted(map(str, lm_scoring.score(d, segment_bytes=n).collect())) for n in (384 << 20, 300_000))
     assert one == many
+
+
+def test_embeddings_are_a_row_for_each_document_by_both_ways(spark, monkeypatch):
+    """Repeated ids are one document; terms that are broadcast and terms that are joined give the same vectors."""
+    texts = [(0, "red green blue red"), (1, "green blue"), (1, "red"), (2, ""), (None, "blue grey")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    out = []
+    for most in (indexing.MOST_SHARED, 0):
+        monkeypatch.setattr(indexing, "MOST_SHARED", most)
+        rows = indexing.embedded(docs, "id", search.tokens(F.col("text")))
+        assert rows.columns == ["id", "v"] and rows.count() == 2
+        out.append({r.id: np.array(r.v) for r in rows.collect()})
+    assert all(np.abs(out[0][i] - out[1][i]).max() < 1e-12 for i in (0, 1))
